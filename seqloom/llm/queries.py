@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, langid, mixing, simhash
-from seqloom.llm.common import id_remainder, read_table
+from seqloom.llm import bpe, langid, mixing, quality_mil, simhash, toxicity
+from seqloom.llm.common import read_table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("component_fp")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), modulus=3, held_out=1)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), modulus=4, held_out=2)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -34,7 +42,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op5_mixing, op6_bpe, op7_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op5_mixing, op6_bpe, op7_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
