@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, langid, mixing, quality_mil, simhash, toxicity
+from seqloom.llm import bpe, langid, lattice, mixing, quality_mil, quality_rules, sharding, simhash, toxicity, warc
 from seqloom.llm.common import read_table
 
 
@@ -21,6 +21,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), modulus=4, held_out=2)
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -41,8 +46,24 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), modulus=3, held_out=1)
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.write_shards(read_table(spark, sf_dir, "documents"), 40))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op5_mixing, op6_bpe, op7_langid)}
+    ops = (
+        op1_simhash, op2_toxicity, op3_quality, op4_rules, op5_mixing,
+        op6_bpe, op7_langid, op8_lattice, op9_sharding, op10_warc,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
