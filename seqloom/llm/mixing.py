@@ -5,8 +5,8 @@ is allocated to every document for certain. What is left is drawn without replac
 unequal probabilities: a document's inclusion probability is proportional to its size, and
 documents are ranked by the odds of a random number divided by the odds of inclusion (Pareto order
 sampling). The sample has a fixed size, counted in words: it ends at the rank where the words come
-nearest to what was left. Random numbers are made from the md5 of the doc_id's text, the copy's
-ordinal being no part of it, so that reruns and other engines agree.
+nearest to what was left. Random numbers are made from the md5 of the doc_id's text, so that reruns and other
+engines agree.
 
 No source is ever sorted in one task: ranks are counted in bins first, and only the documents of
 the one bin in which a source's sample ends are ordered.
@@ -71,75 +71,85 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
 
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, bins: int = BINS) -> DataFrame:
-    """``docs(doc_id, text, source)`` -> ``(doc_id, source, size, source_size, target, copies, taken)``, a row per input row.
+def _ranked(sized: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
+    """``sized(doc_id, source, size, ...)`` with its source's row of ``goals``, the rank and its bin."""
+    joined = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    chance = F.least(F.col("left") * F.col("size") / F.col("squares"), F.lit(0.999999))
+    u = uniform(F.col("doc_id"))
+    rank = F.when((F.col("size") > 0) & (F.col("left") > 0), (u / (1 - u)) / (chance / (1 - chance)))
+    return joined.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
 
-    copies: how often the mix takes the document; taken = copies * size, so at most ``most`` times
-    its size. Null texts have size 0 and get the certain copies only; rows of equal doc_id and
-    size are interchangeable and ordered by nothing else, null ids share one random number.
+
+def cutoffs(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, bins: int = BINS) -> DataFrame:
+    """``sized(doc_id, source, size)`` -> a row per source: target, certain copies, and where its sample ends.
+
+    The sample holds the bins before ``last_bin`` and, in that bin, what is ordered up to ``cut``
+    (rank, doc_id, size). ``last_bin`` is null where all documents with a rank belong to it.
     """
-    sized = materialize(
-        docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
-        "mix-sizes",
-    )
     sources = sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size").cast("decimal(20,0)") * F.col("size")).cast("double").alias("squares")
     )
-    goals = sources.join(
-        targets(sources.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s").drop("source_size"),
-        F.col("source").eqNullSafe(F.col("s")),
-    ).drop("s")
+    sources = materialize(sources, "mix-sources")
+    goals = targets(sources.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s").drop("source_size")
     goals = materialize(
-        goals.withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        sources.join(goals, F.col("source").eqNullSafe(F.col("s")))
+        .drop("s")
+        .withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size")),
         "mix-goals",
-    )  # a row per source
-    joined = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    chance = F.least(F.col("left") * F.col("size") / F.col("squares"), F.lit(0.999999))
-    u = uniform(F.col("doc_id"))
-    ranked = joined.withColumn(
-        "rank", F.when((F.col("size") > 0) & (F.col("left") > 0), (u / (1 - u)) / (chance / (1 - chance)))
-    ).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
-    ranked = materialize(ranked.drop("squares"), "mix-ranked")
-
+    )
+    ranked = _ranked(sized, goals, bins).where("bin is not null").select("doc_id", "source", "size", "left", "rank", "bin")
     # words of each bin, and of all bins before it: at most `bins` rows a source
-    counted = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    counted = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words")
-    crossing = (
+    ending = materialize(
         counted.withColumn("before", before)
         .where((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
-        .select(F.col("source").alias("s"), F.col("bin").alias("last_bin"), "before")
+        .select(F.col("source").alias("s"), F.col("bin").alias("last_bin"), "before"),
+        "mix-bins",
     )
-    open_ = ranked.join(crossing, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    in_order = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = open_.where("bin = last_bin").withColumn("end", F.col("before") + F.sum("size").over(in_order))
+    inside = ranked.join(ending, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("last_bin")))
+    in_order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("end", F.col("before") + F.sum("size").over(in_order))
     # the document at which the words pass what is left belongs to the sample if that comes nearer
     chosen = (F.col("end") <= F.col("left")) | (F.col("end") - F.col("left") < F.col("left") - (F.col("end") - F.col("size")))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure"]
-    outside = open_.where("bin is null or last_bin is null or bin <> last_bin").select(
-        *columns, F.coalesce(F.col("bin") < F.coalesce("last_bin", F.lit(bins + 1)), F.lit(False)).cast("long").alias("drawn")
-    )
-    return outside.unionByName(inside.select(*columns, chosen.cast("long").alias("drawn"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("drawn")).alias("copies"),
-        ((F.col("sure") + F.col("drawn")) * F.col("size")).alias("taken"),
-    )
+    cuts = inside.where(chosen).groupBy("s").agg(F.max(F.struct("rank", "doc_id", "size")).alias("cut")).withColumnRenamed("s", "c")
+    ends = ending.drop("before").join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")
+    return materialize(goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cutoffs")
+
+
+def _copies(sized: DataFrame, cuts: DataFrame, bins: int) -> DataFrame:
+    inside = (F.col("bin") == F.col("last_bin")) & (F.struct("rank", "doc_id", "size") <= F.col("cut"))
+    drawn = F.col("bin").isNotNull() & (F.col("last_bin").isNull() | (F.col("bin") < F.col("last_bin")) | F.coalesce(inside, F.lit(False)))
+    return _ranked(sized, cuts, bins).withColumn("copies", F.col("sure") + drawn.cast("long"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *more)
+
+
+def plan(docs: DataFrame, bins: int = BINS, **options) -> DataFrame:
+    """``docs(doc_id, text, source)`` -> ``(doc_id, source, size, source_size, target, copies, taken)``, a row per input row.
+
+    copies: how often the mix takes the document; taken = copies * size, so at most ``most`` times
+    its size. Null texts have size 0 and get the certain copies only. Null ids share one random
+    number; rows of equal doc_id and size in a source are taken or left together.
+    """
+    sized = materialize(_sized(docs), "mix-sizes")
+    out = _copies(sized, cutoffs(sized, bins=bins, **options), bins)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, bins: int = BINS, **options) -> DataFrame:
     """The mixed documents themselves: every row of ``docs`` as often as :func:`plan` says, all columns kept.
 
-    Rows that share a doc_id share the mean of their copies, rounded down, since the plan is joined
-    back by doc_id, source and size.
+    Texts are not shuffled: each row is decided upon by its source's cutoff, a row of a small table.
     """
-    copies = plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("copies")).cast("int").alias("copies"))
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"),
-        F.col("doc_id").alias("i"), F.col("source").cast("string").alias("s"), word_count(F.col("text")).alias("n"),
-    )
-    same = F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    cuts = cutoffs(materialize(_sized(docs), "mix-sizes"), bins=bins, **options)
+    rec = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")
     return (
-        packed.join(copies.where("copies > 0"), same)
-        .select("rec", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        _copies(_sized(docs, rec), cuts, bins)
+        .select("rec", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
         .select("rec.*")
     )
 

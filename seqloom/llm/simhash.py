@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize
+from seqloom.llm.common import map_texts, materialize
 from seqloom.llm.components import connected_components
 
 #: Most fingerprints of a bucket that are compared inside one task.
@@ -57,17 +57,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fp)``; fp is the unsigned value's bits as a long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_texts(named, ["doc_id"], _fp_arrays, "fp long").select("rec.doc_id", "fp")
+
+
+def _fp_arrays(texts: list[str | None]) -> list[pa.Array]:
+    return [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64), pa.int64())]
 
 
 def _first_meeting(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,3 +266,25 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return own.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp"
     )
+
+
+def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` for each component of near-duplicates: that of the smallest doc_id; all columns kept.
+
+    Texts are shuffled once at most, by doc_id, against the ids that go. Only rows whose doc_id
+    occurs more than once (nulls included) are fingerprinted again, to tell them apart.
+    """
+    found = materialize(near_duplicates(docs, bucket), "simhash-classes")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    goes = found.where(~stays).select(F.col("doc_id").alias("gone"))
+    kept = docs.join(goes, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twin")), "simhash-twins")
+    if repeated.isEmpty():
+        return kept
+    twin = F.col("doc_id").cast("long").eqNullSafe(F.col("twin"))
+    singles = kept.join(repeated, twin, "left_anti")
+    marked = map_texts(docs.join(repeated, twin, "left_semi"), None, _fp_arrays, "fp long")
+    stay = found.where(stays).select("doc_id", "fingerprint", "component_fp").distinct()
+    own = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    chosen = marked.join(stay, F.col("rec.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (own == F.col("fingerprint")))
+    return singles.unionByName(chosen.dropDuplicates(["component_fp"]).select("rec.*"))
