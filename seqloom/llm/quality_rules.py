@@ -70,8 +70,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.lit(0), lambda a, b: a + b,
     )
     lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    counted = hashed.withColumn("_lines", lines).select(
-        *[F.col(f"`{c}`") for c in keep],
+    figures = F.struct(
         count.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -84,6 +83,9 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.regexp_count("_text", F.lit(r"[0-9]")).alias("_digits"),
         F.size(F.array_distinct("_words")).alias("_distinct"),
     )
+    # the one-element explode keeps later filters from being moved, and copied, into the functions above
+    kept = [F.col(f"`{c}`") for c in keep]
+    counted = hashed.withColumn("_lines", lines).select(*kept, F.explode(F.array(figures)).alias("_figures")).select(*kept, "_figures.*")
     n, chars = F.col("n_words"), F.col("word_chars")
     return counted.select(
         *[F.col(f"`{c}`") for c in keep],

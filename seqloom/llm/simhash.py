@@ -275,16 +275,19 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     occurs more than once (nulls included) are fingerprinted again, to tell them apart.
     """
     found = materialize(near_duplicates(docs, bucket), "simhash-classes")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
+    own_id = F.col("rec.doc_id").cast("long")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     goes = found.where(~stays).select(F.col("doc_id").alias("gone"))
-    kept = docs.join(goes, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twin")), "simhash-twins")
+    kept = packed.join(goes, own_id.eqNullSafe(F.col("gone")), "left_anti")
+    counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select(F.col("doc_id").alias("twin")), "simhash-twins")
     if repeated.isEmpty():
-        return kept
-    twin = F.col("doc_id").cast("long").eqNullSafe(F.col("twin"))
+        return kept.select("rec.*")
+    twin = own_id.eqNullSafe(F.col("twin"))
     singles = kept.join(repeated, twin, "left_anti")
-    marked = map_texts(docs.join(repeated, twin, "left_semi"), None, _fp_arrays, "fp long")
+    twins = packed.join(repeated, twin, "left_semi").withColumn("text", F.col("rec.text"))
+    marked = map_texts(twins, ["rec"], _fp_arrays, "fp long").select("rec.rec", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("own"))
     stay = found.where(stays).select("doc_id", "fingerprint", "component_fp").distinct()
-    own = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    chosen = marked.join(stay, F.col("rec.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (own == F.col("fingerprint")))
-    return singles.unionByName(chosen.dropDuplicates(["component_fp"]).select("rec.*"))
+    chosen = marked.join(stay, own_id.eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("fingerprint")))
+    return singles.unionByName(chosen.dropDuplicates(["component_fp"]).select("rec")).select("rec.*")

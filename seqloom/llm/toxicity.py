@@ -37,6 +37,8 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans("013457@$!|€+", "oieastasiiet")
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»…–—"
+#: A leading '$' or '@' may stand for a letter.
+_LEFT = _EDGE.replace("$", "").replace("@", "")
 _PLAIN = re.compile(r"[^\W\d_]+", re.UNICODE)
 _INNER = re.compile(r"[^\w]|\d|_", re.UNICODE)
 _STRETCH = re.compile(r"(.)\1{2,}")
@@ -61,7 +63,7 @@ def plain_form(token: str) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    return [t.strip(_EDGE) for t in text.lower().split()]
+    return [t.lstrip(_LEFT).rstrip(_EDGE) for t in text.lower().split()]
 
 
 def _spelled(tokens: list[str]) -> list[str]:
