@@ -25,6 +25,11 @@ NAN = "double('NaN')"
 Term = Callable[[str], str]
 
 
+def defined(value: Column) -> Column:
+    """Arrow functions return null for NaN; here undefined is NaN."""
+    return F.coalesce(value, F.lit(float("nan")))
+
+
 def fold(indices: Sequence[int], term: Term) -> str:
     """SQL for the sum of ``term(i)`` over the indices, in their order."""
     if not indices:
@@ -141,7 +146,7 @@ def kendall(df: DataFrame, values: str, phenotype: Sequence[float], out: str = "
     def tau(rows: pd.Series) -> pd.Series:
         return pd.Series(kendall_tau(_matrix(rows), y) if len(rows) else [], dtype=float)
 
-    return df.withColumn(out, tau(values))
+    return df.withColumn(out, defined(tau(values)))
 
 
 def entropy(df: DataFrame, counts: str, samples: int, out: str = "entropy", pseudo: int = 1) -> DataFrame:
@@ -180,7 +185,7 @@ def welch(df: DataFrame, counts: str, classes: Sequence[int], out: str = "ttest"
     df = df.withColumn(f"{out}_stat", F.expr(f"CASE WHEN __delta = 0 THEN {NAN} ELSE (__m0_{out} - __m1_{out}) / __delta END"))
     df = df.withColumn(f"{out}_df", F.expr(f"CASE WHEN __delta = 0 OR {below} = 0 THEN {NAN} ELSE ({v0} + {v1}) * ({v0} + {v1}) / {below} END"))
     if pvalue:
-        df = df.withColumn(f"{out}_p", t_pvalue(f"{out}_stat", f"{out}_df"))
+        df = df.withColumn(f"{out}_p", defined(t_pvalue(f"{out}_stat", f"{out}_df")))
     return df.drop("__log", "__delta", *names)
 
 
@@ -194,7 +199,7 @@ def student(df: DataFrame, values: str, classes: Sequence[int], out: str = "stud
     df = df.withColumn("__delta", F.expr(pooled))
     df = df.withColumn(f"{out}_stat", F.expr(f"CASE WHEN __delta = 0 THEN {NAN} ELSE (__m0_{out} - __m1_{out}) / __delta END"))
     df = df.withColumn(f"{out}_df", F.lit(float(n0 + n1 - 2)))
-    return df.withColumn(f"{out}_p", t_pvalue(f"{out}_stat", f"{out}_df")).drop("__delta", *names)
+    return df.withColumn(f"{out}_p", defined(t_pvalue(f"{out}_stat", f"{out}_df"))).drop("__delta", *names)
 
 
 def signal_to_noise(df: DataFrame, values: str, classes: Sequence[int], out: str = "snr") -> DataFrame:
@@ -216,7 +221,7 @@ def rank_sum(df: DataFrame, values: str, classes: Sequence[int], out: str = "wrs
         spread = f"sqrt({n0 * n1 / 2 / 6!r}D * ({n + 1} - __ties / {max(n * (n - 1), 1)}))"
         df = df.withColumn("__ties", row_ties("__ranks")).withColumn("__s", F.expr(spread))
         z = f"CASE WHEN __s = 0 OR isnan(__s) THEN -double('Infinity') ELSE (greatest({out}_u1, {out}_u2) - {n0 * n1 / 2!r}D - 0.5D) / __s END"
-        df = df.withColumn(f"{out}_p", normal_pvalue(F.expr(z))).drop("__s", "__ties")
+        df = df.withColumn(f"{out}_p", defined(normal_pvalue(F.expr(z)))).drop("__s", "__ties")
     return df.drop("__ranks")
 
 
@@ -251,7 +256,7 @@ def anova(df: DataFrame, values: str, classes: Sequence[int], out: str = "anova"
     df = df.withColumn("__bg", F.expr(between)).withColumn("__wg", F.expr(f"(__sq - __sum * __sum / {n}) - __bg"))
     df = df.withColumn(f"{out}_stat", F.expr(f"CASE WHEN __wg = 0 THEN {NAN} ELSE (__bg / {c - 1}) / (__wg / {n - c}) END"))
     if pvalue:
-        df = df.withColumn(f"{out}_p", f_pvalue(f"{out}_stat", F.lit(float(c - 1)), F.lit(float(n - c))))
+        df = df.withColumn(f"{out}_p", defined(f_pvalue(f"{out}_stat", F.lit(float(c - 1)), F.lit(float(n - c)))))
     return df.drop("__sum", "__sq", "__bg", "__wg")
 
 

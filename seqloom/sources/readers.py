@@ -68,7 +68,8 @@ def _fasta(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def _multi_fasta(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Sequence lines of each record joined, so that k-mers cross line ends."""
     records = spark.read.option("lineSep", ">").text(list(paths)).where(F.trim("value") != "")
-    return records.select(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"\s", "").alias("seq"))
+    joined = records.select(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"\s", "").alias("seq"))
+    return joined.where("seq <> ''")
 
 
 FORMATS = {"fq": _fastq, "fa": _fasta, "mf": _multi_fasta}
