@@ -332,8 +332,8 @@ tt AS (SELECT kmer, CASE WHEN v0 + v1 = 0 THEN 'nan'::DOUBLE ELSE (m0 - m1) / sq
         )
     register(
         "significant_kmers",
-        lambda s, d: rounded(pvalues.significant(pvalues.correct(anova_rows(s, d), "anova_p", "bh", "p_cor"), "p_cor", 0.4), "p_cor"),
-        sql(cells(), DESEQ, corrected_sql("bh"), select="SELECT kmer, round(pc, 6) AS p_cor FROM cor WHERE pc <= 0.4"),
+        lambda s, d: rounded(pvalues.significant(pvalues.correct(anova_rows(s, d), "anova_p", "bh", "p_cor"), "p_cor", 0.998), "p_cor"),
+        sql(cells(), DESEQ, corrected_sql("bh"), select="SELECT kmer, round(pc, 6) AS p_cor FROM cor WHERE pc <= 0.998"),
     )
 
 
