@@ -5,10 +5,17 @@ independent ways, and each group is decoded to the nearest point of the E8 latti
 filed under the lattice cell it falls into and also asks in neighbouring cells: for each block, the
 ``PROBES`` lattice neighbours nearest to its projection. Whoever is filed where another one is
 filed or asks is a candidate; cosines are then computed in double precision inside the task, block
-by block, and only pairs at or above the threshold become rows.
+by block.
 
-A pair that shares its own cell in several tables is reported by the first of them only. Equal
-vectors are grouped first and never expanded into pairs. There is no limit on candidates.
+A pair may meet in several cells. Every row carries its own cells and the numbers of its probes, so
+that the place that counts a pair, the first at which it meets, is known there without asking. So
+no pair becomes a row: a task sums up the links of each of its vectors and passes on a spanning
+forest of the links, from which the components are made.
+
+Equal vectors are grouped first. A cell in which more than ``CELL`` vectors are filed is cut into
+parts by hash: a part holds its own vectors and sees those of the parts after it, and the asking
+ones, go by in batches. Every pair of a cell still meets once, and a task holds one part at a time.
+There is no limit on candidates.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.llm.common import materialize
 from seqloom.llm.components import connected_components
@@ -31,6 +39,13 @@ PROBES = 3
 #: Width of a lattice cell in units of the projections of unit vectors.
 SCALE = 2.4
 COSINE = 0.9
+#: Vectors filed in one cell that a task holds together; larger cells are cut.
+CELL = 4096
+#: Rows of a table of cut cells (16 bytes each) that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Rows that go by between two comparisons with the held ones, and sides of the blocks compared.
+PASSING = 8192
+SIDES = (512, 2048)
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -72,149 +87,286 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by a power of two first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Hasher:
     """Cells and probes of unit vectors of one dimension; the same for the same seed everywhere."""
 
     def __init__(self, dim: int, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, seed: int = 41):
         rng = np.random.default_rng([seed, dim])
-        self.tables, self.blocks, self.probes = tables, blocks, probes
+        self.dim, self.tables, self.blocks, self.probes = dim, tables, blocks, probes
         self.project = rng.normal(0, 1 / scale, (tables, blocks, dim, 8))
         self.factor = rng.integers(1, 1 << 62, (tables, blocks, 8)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.start = rng.integers(1, 1 << 62, tables).astype(np.uint64)
+        # what a step to each lattice neighbour adds to a cell's code: tables x blocks x 240
+        self.steps = np.stack([[self._code(NEIGHBOURS, t, b) for b in range(blocks)] for t in range(tables)])
 
     def _code(self, points: np.ndarray, table: int, block: int) -> np.ndarray:
         doubled = np.rint(2 * points).astype(np.int64).view(np.uint64)
         return (doubled * self.factor[table, block]).sum(axis=1, dtype=np.uint64)
 
-    def cells(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """rows x (1 + blocks * probes) keys: the own cell first, then the cells to ask."""
-        codes, probes = [], []
-        for block in range(self.blocks):
-            x = unit @ self.project[table, block]
-            point = decode_e8(x)
-            codes.append(self._code(point, table, block))
-            closeness = (x - point) @ NEIGHBOURS.T
-            best = np.argpartition(-closeness, self.probes, axis=1)[:, : self.probes]
-            step = self._code(NEIGHBOURS, table, block)
-            probes.append(step[best])
-        own = self.start[table] + sum(codes)
-        return _mixed(np.concatenate([own[:, None], *(own[:, None] + p for p in probes)], axis=1))
-
-
-def _filed(options: dict):
-    """(rep, vec) -> rows (key, asks, rep, own, vec) for every table and cell; ``own``: 4 bytes of the own cell of each table."""
-    hashers: dict[int, Hasher] = {}
+    def cells(self, unit: np.ndarray, asking: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the own cells, rows x tables, and the neighbours to ask, rows x tables x (blocks * probes)."""
+        own = np.tile(self.start, (len(unit), 1))
+        asked = np.zeros((len(unit), self.tables, self.blocks * self.probes), np.uint8)
+        for t in range(self.tables):
+            for b in range(self.blocks):
+                x = unit @ self.project[t, b]
+                point = decode_e8(x)
+                own[:, t] += self._code(point, t, b)
+                if asking:
+                    closeness = (x - point) @ NEIGHBOURS.T
+                    asked[:, t, b * self.probes : (b + 1) * self.probes] = np.argpartition(-closeness, self.probes, axis=1)[:, : self.probes]
+        return own, asked
+
+    def asks(self, own: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Codes of the cells that rows ask in: rows x tables x (blocks * probes)."""
+        block = np.repeat(np.arange(self.blocks), self.probes)
+        return own[:, :, None] + self.steps[np.arange(self.tables)[:, None], block, asked]
+
+    def keys(self, codes: np.ndarray, table: int) -> np.ndarray:
+        """Shuffle keys of cells; the last four bits name the table, so that tables never share one."""
+        mixed = _mixed(codes) ^ np.uint64(self.dim << 4)
+        return ((mixed & ~np.uint64(15)) | np.uint64(table)).view(np.int64)
+
+
+def _by_length(batch: pa.RecordBatch, column: str, kind: str, options: dict, hashers: dict) -> Iterator[tuple]:
+    """(rows, unit vectors, hasher) for each length of vectors in a batch."""
+    size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for width in np.unique(size):
+        part = batch.filter(pa.array(size == width))
+        x = np.frombuffer(b"".join(part.column(column).to_pylist()), kind).astype(float).reshape(part.num_rows, -1)
+        if x.shape[1] not in hashers:
+            hashers[x.shape[1]] = Hasher(x.shape[1], **options)
+        yield part, unit_rows(x), hashers[x.shape[1]]
+
+
+def _filed(kind: str, options: dict):
+    """(rep, members, vec) -> rows (key, asks, rep, members, code, vec) for every table and cell.
+
+    code: the codes of the own cells, 8 bytes a table, and the numbers of the neighbours asked, a byte each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers: dict[int, Hasher] = {}
         for batch in batches:
-            sizes = np.array([len(b) for b in batch.column(1).to_pylist()], dtype=np.int64)
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4").astype(float).reshape(-1, size // 4)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                hasher = hashers.setdefault(int(size), Hasher(int(size) // 4, **options))
-                keys = [hasher.cells(unit, t) for t in range(hasher.tables)]
-                own = np.stack([k[:, 0].astype(np.uint32) for k in keys], axis=1)
-                owns = pa.array([row.tobytes() for row in own], pa.binary())
-                for k in keys:
-                    n, m = k.shape
-                    at = pa.array(np.repeat(np.arange(n), m))
+            for part, unit, hasher in _by_length(batch, "vec", kind, options, hashers):
+                own, asked = hasher.cells(unit)
+                asks, n = hasher.asks(own, asked), len(own)
+                code = pa.array([o.tobytes() + a.tobytes() for o, a in zip(own, asked, strict=True)], pa.binary())
+                m = 1 + asks.shape[2]
+                at = pa.array(np.repeat(np.arange(n), m))
+                for t in range(hasher.tables):
+                    keys = hasher.keys(np.concatenate([own[:, t, None], asks[:, t]], axis=1), t)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((k.ravel() ^ np.uint64(size)).view(np.int64)),
-                            pa.array(np.tile((np.arange(m) > 0).astype(np.int32), n)),
-                            part.column(0).take(at), owns.take(at), part.column(1).take(at),
+                            pa.array(keys.ravel()), pa.array(np.tile((np.arange(m) > 0).astype(np.int32), n)),
+                            part.column("rep").take(at), part.column("members").take(at), code.take(at), part.column("vec").take(at),
                         ],
-                        ["key", "asks", "rep", "own", "vec"],
+                        ["key", "asks", "rep", "members", "code", "vec"],
                     )
 
     return run
 
 
-def _verified(cosine: float, tables: int, block: int = 512):
-    """Rows sorted by (key, asks) -> verified pairs (a, b) of reps."""
-
-    def pairs(key: int, asks: np.ndarray, rep: np.ndarray, own: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = int((asks == 0).sum())  # the filed ones come first
-        low = np.uint32(key & 0xFFFFFFFF)
-        for at in range(0, n, block):
-            filed = slice(at, min(at + block, n))
-            for to in range(at, len(rep), 4 * block):
-                others = slice(to, min(to + 4 * block, len(rep)))
-                i, j = np.nonzero(unit[filed] @ unit[others].T >= cosine)
-                i, j = i + at, j + to
-                i, j = (z[(j > i) & (rep[i] != rep[j])] for z in (i, j))
-                if not len(i):
-                    continue
-                # tables in which the two share their own cell: an earlier one than this has reported them
-                shared = own[i] == own[j]
-                here = (own[i] == low) & shared
-                first = np.where(here.any(axis=1), here.argmax(axis=1), tables)
-                earlier = (shared & (np.arange(own.shape[1]) < first[:, None])).any(axis=1)
-                a, b = np.minimum(rep[i], rep[j])[~earlier], np.maximum(rep[i], rep[j])[~earlier]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Whole runs, vectors of one length at a time."""
-        size = pc.binary_length(table.column("vec")).to_numpy()
-        for width in np.unique(size):
-            part = table.filter(pa.array(size == width))
-            key, asks, rep = (part.column(c).to_numpy() for c in ("key", "asks", "rep"))
-            x = np.frombuffer(b"".join(part.column("vec").to_pylist()), "<f4").astype(float).reshape(len(key), -1)
-            own = np.frombuffer(b"".join(part.column("own").to_pylist()), np.uint32).reshape(len(key), -1)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+def _own_cells(kind: str, options: dict):
+    """(vec) -> the key of the own cell in every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers: dict[int, Hasher] = {}
+        for batch in batches:
+            for _, unit, hasher in _by_length(batch, "vec", kind, options, hashers):
+                own, _ = hasher.cells(unit, asking=False)
+                keys = np.concatenate([hasher.keys(own[:, t], t) for t in range(hasher.tables)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+
+    return run
+
+
+def _spread(filed: DataFrame, owned: DataFrame, cell: int) -> DataFrame:
+    """``filed`` with ``chunk`` and ``role``: (key, chunk) is what a task compares, role 0 what it holds.
+
+    A cell of at most ``cell`` filed vectors is one chunk. In a larger one a filed vector is held in the
+    chunk that its hash names and goes by in the chunks before it; an asking one goes by in all.
+    """
+    crowded = owned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
+    crowded = materialize(crowded.select("key", F.ceil(F.col("n") / cell).cast("int").alias("chunks")), "lattice-crowded")
+    n = crowded.count()
+    if not n:
+        return filed.withColumn("chunk", F.lit(0)).withColumn("role", F.col("asks"))
+    sized = filed.join(F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded, "key", "left")
+    chunks = F.coalesce("chunks", F.lit(1))
+    home = F.pmod(F.xxhash64(F.lit(3), "rep"), chunks).cast("int")
+    return (
+        sized.withColumn("home", home)
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("asks") == 0, F.col("home")).otherwise(chunks - 1))))
+        .withColumn("role", F.when((F.col("asks") == 0) & (F.col("chunk") == F.col("home")), 0).otherwise(1))
+        .drop("chunks", "home")
+    )
+
+
+class _Group:
+    """Vectors of one cell, the ``held`` first of which are filed there: counts links, and keeps a forest of them."""
+
+    def __init__(self, hasher: Hasher, table: int, rep: np.ndarray, members: np.ndarray, own: np.ndarray, asked: np.ndarray, unit: np.ndarray):
+        self.table, self.rep, self.members, self.unit = table, rep, members, unit
+        self.own, self.asks = own[:, : table + 1], hasher.asks(own, asked)[:, : table + 1]
+        self.linked = np.zeros(len(rep), np.int64)
+        self.label = np.arange(len(rep))
+        self.forest: list[np.ndarray] = []
+
+    def _counted_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of linked pairs, i being filed here, those that meet here first: see the module's text."""
+        same = self.own[i] == self.own[j]
+        j_asks = (self.asks[j] == self.own[i][:, :, None]).any(axis=2)
+        i_asks = (self.asks[i] == self.own[j][:, :, None]).any(axis=2)
+        earlier = (same | j_asks | i_asks)[:, :-1].any(axis=1)
+        # in one table two vectors that ask for each other meet twice: where the smaller rep is filed counts
+        twice = ~same[:, -1] & i_asks[:, -1] & (self.rep[i] > self.rep[j])
+        return ~earlier & ~twice
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link i[k] and j[k]; pairs that join different labels become edges of the forest."""
+        while True:
+            a, b = self.label[i], self.label[j]
+            new = a != b
+            if not new.any():
+                return
+            i, j = i[new], j[new]
+            high, low = np.maximum(a, b)[new], np.minimum(a, b)[new]
+            roots, at = np.unique(high, return_index=True)
+            self.forest.append(np.stack([i[at], j[at]]))
+            self.label[roots] = low[at]
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+    def compare(self, cosine: float, held: int, inner: bool) -> None:
+        """The first ``held`` rows with the rest and, if ``inner``, with each other."""
+        rows, columns = SIDES
+        for at in range(0, held, rows):
+            end = min(at + rows, held)
+            for to in range(at if inner else held, len(self.rep), columns):
+                stop = min(to + columns, len(self.rep))
+                near_i, near_j = np.nonzero(self.unit[at:end] @ self.unit[to:stop].T >= cosine)
+                for k in range(0, len(near_i), 1 << 16):
+                    i, j = near_i[k : k + (1 << 16)] + at, near_j[k : k + (1 << 16)] + to
+                    fit = (j > i) & (self.rep[i] != self.rep[j])
+                    i, j = i[fit], j[fit]
+                    fit = self._counted_here(i, j)
+                    i, j = i[fit], j[fit]
+                    np.add.at(self.linked, i, self.members[j])
+                    np.add.at(self.linked, j, self.members[i])
+                    self._join(i, j)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows (a, b, 0), a link of the forest, and (a, null, n), n links of a counted here."""
+        names = ["a", "b", "linked"]
+        if self.forest:
+            i, j = np.concatenate(self.forest, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(self.rep[i]), pa.array(self.rep[j]), pa.array(np.zeros(len(i), np.int64))], names)
+            some = np.flatnonzero(self.linked)
+            yield pa.RecordBatch.from_arrays([pa.array(self.rep[some]), pa.nulls(len(some), pa.int64()), pa.array(self.linked[some])], names)
+
+
+def _verified(kind: str, cosine: float, options: dict, passing: int = PASSING):
+    """Rows sorted by (key, chunk, role) -> rows of :meth:`_Group.rows`."""
+
+    def met(table: pa.Table, hashers: dict, done: bool) -> Iterator[pa.RecordBatch]:
+        """Whole runs of (key, chunk); ``done``: the held ones of the first run have been compared with each other."""
+        if not table.num_rows:
+            return
+        batch = table.combine_chunks().to_batches()[0]
+        opened = batch.column("key")[0].as_py(), batch.column("chunk")[0].as_py()
+        for part, unit, hasher in _by_length(batch, "vec", kind, options, hashers):
+            key, chunk, role, rep, members = (part.column(c).to_numpy() for c in ("key", "chunk", "role", "rep", "members"))
+            raw = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
+            own = np.ascontiguousarray(raw[:, : 8 * hasher.tables]).view(np.uint64)
+            asked = raw[:, 8 * hasher.tables :].reshape(len(key), hasher.tables, -1)
+            starts = _starts(key, chunk)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                yield from pairs(int(key[s]) ^ int(width), asks[s:e], rep[s:e], own[s:e], unit[s:e])
+                held = int((role[s:e] == 0).sum())
+                group = _Group(hasher, int(key[s]) & 15, rep[s:e], members[s:e], own[s:e], asked[s:e], unit[s:e])
+                group.compare(cosine, held, not (done and (int(key[s]), int(chunk[s])) == opened))
+                yield from group.rows()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers: dict[int, Hasher] = {}
         rest: list[pa.RecordBatch] = []  # rows of the run that may go on
+        done = False  # they are held ones, compared with each other
         for batch in _with_end(batches):
             parts = [b for b in (*rest, batch) if b is not None and b.num_rows]
             if not parts:
                 continue
             table = pa.Table.from_batches(parts)
-            key, asks = table.column("key").to_numpy(), table.column("asks").to_numpy()
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, chunk, role = (table.column(c).to_numpy() for c in ("key", "chunk", "role"))
+            starts = _starts(key, chunk)
             lengths = np.diff(np.r_[starts, len(key)])
             last = len(starts) if batch is None else len(starts) - 1
-            whole = np.arange(len(starts)) < last
-            meets = whole & (lengths > 1) & (asks[starts] == 0)  # someone is filed here, and not alone
-            yield from met(table.filter(pa.array(np.repeat(meets, lengths))))
-            rest = table.slice(starts[last]).to_batches() if last < len(starts) else []
+            meets = (np.arange(len(starts)) < last) & (lengths > 1) & (role[starts] == 0)  # someone is held, and not alone
+            goes_on = done and bool(meets[0])
+            yield from met(table.filter(pa.array(np.repeat(meets, lengths))), hashers, goes_on)
+            if last == len(starts):
+                break
+            tail = table.slice(starts[last])
+            done = done and last == 0
+            if lengths[last] - (n := int((role[starts[last] :] == 0).sum())) > passing:
+                if n:
+                    yield from met(tail, hashers, done)
+                tail, done = tail.slice(0, n), n > 0
+            rest = tail.to_batches()
 
     return run
 
 
+def _starts(key: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
+
+
 def _with_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
 
 
-def links(classes: DataFrame, cosine: float = COSINE, **options) -> DataFrame:
-    """``classes(rep, vec)`` of different vectors (float32 bytes) -> distinct pairs ``(a, b)``, a < b, of cosine >= ``cosine``."""
-    filed = classes.select("rep", "vec").mapInArrow(_filed(options), "key long, asks int, rep long, own binary, vec binary")
+def links(classes: DataFrame, kind: str = "<f4", cosine: float = COSINE, cell: int = CELL, passing: int = PASSING, **options) -> DataFrame:
+    """``classes(rep, members, vec)`` of different vectors -> rows ``(a, b, linked)``.
+
+    vec holds numbers of the numpy ``kind``. Rows with b are links of cosine >= ``cosine`` that connect
+    what all such links connect; rows without b add ``linked`` to the number of a's links, each
+    link counting the members of its other end.
+    """
+    filed = classes.select("rep", "members", "vec").mapInArrow(
+        _filed(kind, options), "key long, asks int, rep long, members long, code binary, vec binary"
+    )
+    owned = classes.select("vec").mapInArrow(_own_cells(kind, options), "key long")
     return (
-        filed.repartition("key")
-        .sortWithinPartitions("key", "asks")
-        .mapInArrow(_verified(cosine, options.get("tables", TABLES)), "a long, b long")
-        .distinct()
+        _spread(filed, owned, cell)
+        .drop("asks")
+        .repartition("key", "chunk")
+        .sortWithinPartitions("key", "chunk", "role")
+        .mapInArrow(_verified(kind, cosine, options, passing), "a long, b long, linked long")
     )
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) -> (vec_id, vec): float32 bytes, null where the vector cannot be compared."""
-    for batch in batches:
-        column = batch.column(1)
-        flat = pc.list_flatten(column)
-        values = np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(float), nan=np.inf)  # nulls are NaN here
-        lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-        ends = np.cumsum(lengths)
-        out = []
-        for s, e in zip(ends - lengths, ends, strict=True):
-            v = values[s:e]
-            out.append((v + 0.0).astype("<f4").tobytes() if e > s and np.isfinite(v).all() and v.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
+def _bytes(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(vec_id, embedding) -> (vec_id, vec): the numbers' bytes, null where the vector cannot be compared."""
+        for batch in batches:
+            column = batch.column(1)
+            flat = pc.list_flatten(column)
+            values = np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(float), nan=np.inf, posinf=np.inf, neginf=-np.inf)  # nulls are NaN here
+            lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            ends = np.cumsum(lengths)
+            out = []
+            for s, e in zip(ends - lengths, ends, strict=True):
+                v = values[s:e]
+                out.append((v + 0.0).astype(kind).tobytes() if e > s and np.isfinite(v).all() and v.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> DataFrame:
@@ -226,19 +378,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
     as vectors of their own. A row with null vec_id keeps a null component_id only if all its
     component's ids are null.
     """
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = materialize(plain.mapInArrow(_bytes, "vec_id long, vec binary"), "lattice-rows")
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind, held = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(held).alias("embedding"))
+    rows = materialize(plain.mapInArrow(_bytes(kind), "vec_id long, vec binary"), "lattice-rows")
     classes = materialize(
         rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
         # a class is named by its smallest id; classes may share one if ids repeat, so the bytes decide
         .withColumn("rep", F.xxhash64("vec")),
         "lattice-classes",
     )
-    found = materialize(links(classes, cosine, **options), "lattice-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    members = classes.select(F.col("rep").alias("b"), "members")
-    direct = both.join(members, "b").groupBy("a").agg(F.sum("members").alias("linked")).withColumnRenamed("a", "rep")
-    roots = connected_components(found).withColumnRenamed("node", "rep")
+    found = materialize(links(classes, kind, cosine, **options), "lattice-links")
+    direct = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
+    roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     named = materialize(
         classes.join(direct, "rep", "left").join(roots, "rep", "left").select(
             "vec", "smallest", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")

@@ -152,6 +152,29 @@ def test_lattice_recall_and_precision(spark):
     assert all(got[i]["component_id"] >= roots[i] for i in range(len(v)))
     assert [got[i]["n_links"] for i in range(1351, 1371)] == [links[i] for i in range(1351, 1371)]
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(v)))
+    # cells cut into parts, and few rows at a time, change nothing
+    cut = {r["vec_id"]: r for r in lattice.near_duplicates(df.repartition(4), cell=20, passing=30).collect()}
+    assert cut == got
+
+
+def test_lattice_counts_and_joins_a_crowd_of_different_vectors(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(2, 32))
+    v = np.concatenate([c + rng.normal(0, 0.02, (400, 32)) for c in centre])  # doubles: no float32 holds them
+    v[5] = v[6]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    links, roots = brute(v, 0.9)
+    for options in ({}, {"cell": 64, "passing": 100}):
+        got = {r["vec_id"]: r for r in lattice.near_duplicates(df, **options).collect()}
+        assert [got[i]["n_links"] for i in range(800)] == links.tolist()
+        assert [got[i]["component_id"] for i in range(800)] == roots
+
+
+def test_lattice_tells_doubles_apart_and_takes_any_magnitude(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1.1e-300]), (3, [1.0, -1.0]), (4, [1.0, 1.0 + 1e-15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
 
 
 def test_lattice_on_odd_rows(spark):
