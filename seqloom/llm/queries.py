@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op10_warc": warc.oracle()}

@@ -246,3 +246,17 @@ def round_trip(pages: DataFrame, least: int = 0, range_bytes: int = RANGE_BYTES)
     write(pages, path, least)
     back = read(pages.sparkSession, path, range_bytes)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """The records that the archives must hold, as DuckDB SQL; five bits of the digest make a base32 letter."""
+    five = "((('0x' || substr(digest, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT"
+    return f"""
+WITH payloads AS (SELECT page_id::BIGINT AS page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS digest FROM payloads),
+named AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS response FROM digests)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {five} + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM named"""
