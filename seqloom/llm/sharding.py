@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 128
 #: Equal records up to this number stay in one bucket.
 ALIKE = 5000
+#: Tasks of the second pass at most; beyond, a task shuffles one bucket after the other.
+MOST_TASKS = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -73,11 +75,24 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES, alik
     else:
         plain = packed.join(crowds, "h", "left_anti").select("rec", "h", "h2", F.lit(0).alias("part"))
         crowd = packed.join(crowds, "h").groupBy("h", "h2", "rec").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        again = crowd.select("rec", "h", "h2", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+        # the copies of one record are made again in many tasks, ``alike`` at a time
+        lots = crowd.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / alike).cast("int"))))
+        lots = lots.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "h2", "lot")
+        copies = F.sequence(F.col("lot") * alike, F.least((F.col("lot") + 1) * alike, F.col("n")) - 1)
+        again = lots.select("rec", "h", "h2", F.explode(copies).alias("part"))
         spread = plain.unionByName(again)
     return spread.withColumn("bucket", F.pmod(F.xxhash64("h", (F.col("part") / alike).cast("int")), F.lit(buckets)).cast("int")), buckets
 
 
+def first_ranks(counts: DataFrame, group: int = 4096) -> DataFrame:
+    """``counts(bucket, n)`` -> ``(bucket, start)``: records before each bucket, summed in groups of buckets."""
+    grouped = counts.withColumn("g", F.floor(F.col("bucket") / group))
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row per group of buckets
+    groups = grouped.groupBy("g").agg(F.sum("n").alias("of_group")).select("g", F.coalesce(F.sum("of_group").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return grouped.join(groups, "g").select("bucket", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("long").alias("start"))
+
+
 def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: int = 13, bucket_bytes: int = BUCKET_BYTES, alike: int = ALIKE) -> DataFrame:
     """Shuffle ``docs`` into ``shards`` and write them under ``path`` (a new shared folder if None), a folder per shard.
 
@@ -87,17 +102,13 @@ def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: in
     empty table gives an empty result.
     """
     spread, buckets = scattered(docs, seed, bucket_bytes, alike)
-    counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a few bytes for each bucket
-    n_of = np.zeros(buckets, np.int64)
-    for r in counts:
-        n_of[r["bucket"]] = r["n"]
-    total = int(n_of.sum())
-    starts = docs.sparkSession.createDataFrame(
-        [(b, int(s)) for b, s in enumerate(np.cumsum(n_of) - n_of)], "bucket int, start long"
-    )  # a row per bucket
+    counts = materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shard-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    starts = first_ranks(counts)
     out = T.StructType([spread.schema["rec"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
-    tasks = min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 4)))
-    shuffled = spread.repartition(tasks if buckets == LEAST_BUCKETS else buckets, "bucket").groupBy("bucket").applyInArrow(_shuffled(seed), out)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(buckets, max(least, LEAST_BUCKETS // 4 if buckets == LEAST_BUCKETS else MOST_TASKS))
+    shuffled = spread.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shuffled(seed), out)
     base, longer = divmod(total, shards)
     rank = F.col("start") + F.col("place")
     head = longer * (base + 1)  # ranks in the shards that hold one more

@@ -143,3 +143,10 @@ def test_reader_skips_false_magic_and_damage():
 def test_long_records_end_with_a_zero_byte():
     big = warc.member(b"a" * (17 << 20)) + b"\x00"
     assert gzip.decompress(big) == b"a" * (17 << 20)
+
+
+def test_first_ranks_are_running_sums(spark):
+    rng = np.random.default_rng(4)
+    n = {int(b): int(c) for b, c in zip(rng.choice(5000, 700, replace=False), rng.integers(1, 50, 700), strict=True)}
+    got = dict(map(tuple, sharding.first_ranks(spark.createDataFrame(list(n.items()), "bucket int, n long"), group=64).collect()))
+    assert got == {b: sum(c for o, c in n.items() if o < b) for b in n}
