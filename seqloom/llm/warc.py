@@ -29,6 +29,8 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 16 << 20
 #: Bytes read at a time.
 BLOCK = 1 << 20
+#: Tasks of a reader at most; beyond, a task reads one range after the other.
+MOST_TASKS = 20_000
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 #: Fixed value: the profile that a revisit of an identical payload names.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -237,7 +239,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
         "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, "
         "payload_digest string, file string, offset long"
     )
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(_read, schema)  # a task each
+    return ranges.repartition(min(max(1, ranges.count()), MOST_TASKS)).mapInArrow(_read, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
