@@ -36,6 +36,8 @@ LATIN = (
 
 #: Words and pairs that a task remembers at most; beyond, the memory is emptied and fills again.
 REMEMBER = 600_000
+#: Characters of a word up to which it is remembered from one batch to the next.
+LONG = 200
 
 #: Stands for the rank of a pair that never merges.
 NEVER = 1 << 60
@@ -197,6 +199,9 @@ class Codec:
         for own in pieces:
             raw = [b"".join(map(packed, words)) + (b"" if token is None else token.to_bytes(4, "little")) for words, token in own]
             out.append(np.frombuffer(b"".join(raw), "<u4"))
+        for word in fresh:
+            if len(word) > LONG:
+                del self.words[word]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
