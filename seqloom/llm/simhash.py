@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm import shingles
 from seqloom.llm.common import map_texts, materialize
 from seqloom.llm.components import connected_components
 
@@ -253,8 +254,22 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fingerprint value that stands for the component.
     """
     own = materialize(fingerprints(docs), "simhash-fp")
+    return _classes(own, links(own.select("fp").distinct(), bucket))
+
+
+def similar(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY, bucket: int = shingles.BUCKET) -> DataFrame:
+    """Like :func:`near_duplicates`, over links of texts whose sets of ``width``-word shingles are at least ``similarity`` alike.
+
+    fingerprint: a hash of the set.
+    """
+    own = materialize(shingles.banded(docs, width), "shingle-bands")
+    return _classes(own.select("doc_id", "fp"), shingles.links(docs, own, width, similarity, bucket))
+
+
+def _classes(own: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``own(doc_id, fp)`` with the components of the links ``found(a, b)`` among their fps."""
     unique = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(links(unique.select("fp"), bucket))
+    roots = connected_components(found)
     named = materialize(
         unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
             "fp", "rep", F.coalesce("root", "fp").alias("root")
@@ -268,13 +283,19 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = BUCKET, width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component of near-duplicates: that of the smallest doc_id; all columns kept.
 
+    Near-duplicates lie within three bits of the fingerprint or, where ``similarity`` is given, have
+    sets of ``width``-word shingles that are at least that much alike (:func:`similar`).
     Texts are shuffled once at most, by doc_id, against the ids that go. Only rows whose doc_id
     occurs more than once (nulls included) are fingerprinted again, to tell them apart.
     """
-    found = materialize(near_duplicates(docs, bucket), "simhash-classes")
+    if similarity is None:
+        classes, arrays = near_duplicates(docs, bucket), _fp_arrays
+    else:
+        classes, arrays = similar(docs, width, similarity, bucket), shingles.key_arrays(width)
+    found = materialize(classes, "simhash-classes")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
     own_id = F.col("rec.doc_id").cast("long")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -287,7 +308,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     twin = own_id.eqNullSafe(F.col("twin"))
     singles = kept.join(repeated, twin, "left_anti")
     twins = packed.join(repeated, twin, "left_semi").withColumn("text", F.col("rec.text"))
-    marked = map_texts(twins, ["rec"], _fp_arrays, "fp long").select("rec.rec", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("own"))
+    marked = map_texts(twins, ["rec"], arrays, "fp long").select("rec.rec", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("own"))
     stay = found.where(stays).select("doc_id", "fingerprint", "component_fp").distinct()
     chosen = marked.join(stay, own_id.eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("fingerprint")))
     return singles.unionByName(chosen.dropDuplicates(["component_fp"]).select("rec")).select("rec.*")
