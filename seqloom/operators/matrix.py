@@ -94,7 +94,7 @@ def wide(matrix: DataFrame, values: str, names: Sequence[str], *keep: str) -> Da
     return matrix.select(*keep, *[F.col(values)[i].alias(n) for i, n in enumerate(names)])
 
 
-def intervals(matrix: DataFrame, column: Column, splits: Sequence[float]) -> DataFrame:
-    """Histogram of a column over the intervals between split points: ``(bin, n)``; bin 0 is below the first."""
+def intervals(matrix: DataFrame, column: Column, splits: Sequence[float], *keep: str) -> DataFrame:
+    """Histogram of a column over the intervals between split points: ``(*keep, bin, n)``; bin 0 is below the first."""
     bin_ = sum((F.when(column >= s, 1).otherwise(0) for s in splits), F.lit(0))
-    return matrix.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return matrix.groupBy(*keep, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

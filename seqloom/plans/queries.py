@@ -216,6 +216,11 @@ def _counting() -> None:
         lambda s, d: mx.intervals(base(s, d), F.col("counts")[0], [1, 5, 20, 100]).select(F.col("bin").cast("long"), "n"),
         sql(cells(), select="SELECT ((x >= 1)::BIGINT + (x >= 5)::BIGINT + (x >= 20)::BIGINT + (x >= 100)::BIGINT) AS bin, count(*) AS n FROM cells WHERE i = 0 GROUP BY 1"),
     )
+    register(
+        "count_intervals_all",
+        lambda s, d: mx.intervals(base(s, d).select(F.posexplode("counts")).withColumn("sample", F.concat(F.lit("src"), "pos")), F.col("col"), [1, 5, 20, 100], "sample").select("sample", F.col("bin").cast("long"), "n"),
+        sql(cells(), select="SELECT 'src' || i AS sample, ((x >= 1)::BIGINT + (x >= 5)::BIGINT + (x >= 20)::BIGINT + (x >= 100)::BIGINT) AS bin, count(*) AS n FROM cells GROUP BY 1, 2"),
+    )
 
 
 def _normalisation() -> None:

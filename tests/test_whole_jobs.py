@@ -1,4 +1,4 @@
-"""Queries that together cover all folds."""
+"""Queries that together cover all folds and all samples."""
 
 import duckdb
 import pytest
@@ -21,3 +21,7 @@ def against_sql(spark, name):
 def test_queries_cover_every_fold(spark, method):
     have = [c for name in queries.QUERIES if name.startswith(f"cv_{method}_fold") for c in against_sql(spark, name).columns]
     assert sorted(c for c in have if c != "kmer") == sorted(f"cv_{method}_{f}" for f in range(len(select.folds(queries.N, 2))))
+
+
+def test_intervals_of_every_sample(spark):
+    assert set(against_sql(spark, "count_intervals_all")["sample"]) == set(queries.SAMPLES)
