@@ -2,52 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.sources.scratch import discard, materialize, remove, scratch_path, shared_dir  # noqa: F401
+
 #: A word is a run of characters outside the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local folder made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,39 +32,51 @@ def hash_fraction(seed: int, *cols: Column) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int, seed: int
+    docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int, modulus: int = 1, held_out: int | None = None
 ) -> DataFrame:
-    """(text, label) of at most about ``max_rows`` training documents, one row per doc_id.
+    """A scratch table (doc_id, text, label) of at most about ``max_rows`` training documents, one row per doc_id.
 
     Only documents whose id remainder differs from ``held_out`` take part. The sample is drawn by
     a seeded hash of doc_id, so it does not depend on the layout of the files. Ids with several
-    labels take their mean; ids with several texts take the smallest text; null labels go.
+    labels take their mean; ids with several texts take the smallest text; null ids and labels go.
+    The drawn ids are broadcast, being about ``max_rows`` at most, so texts of other documents are
+    never shuffled.
     """
-    train = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("label"))
-        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-        .where(id_remainder(F.col("doc_id"), modulus) != held_out)
-    )
-    share = min(1.0, max_rows / max(1, train.count()))
-    drawn = hash_fraction(seed, F.col("doc_id").cast("string")) < share
-    marks = train.where(drawn).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    texts = (
-        docs.select("doc_id", "text")
-        .where(drawn & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("label")).where(
+        F.col("label").isNotNull() & F.col("doc_id").isNotNull()
     )
-    # marks holds about max_rows short rows, by the documented bound
-    return texts.join(marks, "doc_id").select("doc_id", "text", "label")
+    if held_out is not None:
+        known = known.where(id_remainder(F.col("doc_id"), modulus) != held_out)
+    share = min(1.0, max_rows / max(1, known.count()))
+    drawn = known.where(hash_fraction(seed, F.col("doc_id").cast("string")) < share)
+    marks = materialize(drawn.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label")), "sample-ids")
+    few = marks.count() <= 2 * max_rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), F.first("label").alias("label"))
+    out = materialize(sample, "sample")
+    discard(marks)
+    return out
+
+
+def slices(sizes: np.ndarray, most_rows: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first, rows) of consecutive slices of at most ``most_rows`` rows and, unless a row alone is larger, ``most_bytes`` bytes."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield at, min(end, len(sizes)) - at
+        at = end
 
 
 def map_texts(
-    docs: DataFrame, keep: list[str] | None, score: Callable[[list[str | None]], list[pa.Array]], added: str, slice_rows: int = 1000
-) -> DataFrame:
+    docs: DataFrame, keep: list[str] | None, score: Callable[[list[str | None]], list[pa.Array]], added: str,
+    slice_rows: int = 1000, slice_bytes: int = 4 << 20,
+) -> DataFrame:
     """Whole texts through a Python function, in Arrow batches, without a shuffle.
 
     Returns a column ``rec`` that holds the columns ``keep`` of ``docs`` (all if None) as a struct,
-    so that no name can clash, and beside it the columns of the DDL string ``added``.
+    so that no name can clash, and beside it the columns of the DDL string ``added``. The function
+    gets slices of a batch, bounded in rows and bytes; its answers must not depend on the slice.
     """
     names = docs.columns if keep is None else keep
     packed = docs.select(
@@ -105,8 +86,9 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for at, rows in slices(sizes, slice_rows, slice_bytes):
+                part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *score(part.column(1).to_pylist())], schema.names)
 
     return packed.mapInArrow(run, schema)

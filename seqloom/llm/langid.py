@@ -6,12 +6,12 @@ The network is trained in numpy on windows drawn from labelled text and applied
 of every text; a document's probabilities are the mean over its windows, weighted by their bytes.
 
 At inference a response at byte i needs bytes i..i+3 only, so all filters together are two table
-rows: one for the byte pair at i and one for the pair at i+2.
+rows: one for the byte pair at i and one for the pair at i+2. Every text stands alone: zero bytes
+follow its last window, and sums run in a fixed order, so an answer depends on the text only.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,19 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import hash_fraction, id_remainder, map_texts
+from seqloom.llm.common import discard, hash_fraction, id_remainder, map_texts, materialize
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: Bounds of the training sample: documents of a language, windows of a document.
+#: Bounds of the training sample: documents of a language, windows of a document, documents of all languages.
 DOCS_PER_LANGUAGE = 900
 WINDOWS_PER_DOC = 2
+MOST_DOCS = 20_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass
 class ByteCnn:
@@ -54,7 +53,11 @@ class ByteCnn:
         return np.ascontiguousarray(first), np.ascontiguousarray(second)
 
     def head(self, pooled: np.ndarray) -> np.ndarray:
-        logits = np.maximum(pooled + self.bias, 0) @ self.dense + self.offset
+        """Probabilities; one filter is added after the other, so a row's result does not depend on the rows beside it."""
+        act = np.maximum(pooled + self.bias, 0).astype(float)
+        logits = np.tile(self.offset.astype(float), (len(act), 1))
+        for j, weights in enumerate(self.dense.astype(float)):
+            logits += act[:, j, None] * weights
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -118,66 +121,69 @@ def train(texts: list[bytes], targets: list[str], seed: int = 7, epochs: int = 8
     return net
 
 
-def training_windows(docs: DataFrame, modulus: int = 3, held_out: int = 1, docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 11) -> list:
+def training_windows(
+    docs: DataFrame, modulus: int = 3, held_out: int = 1, docs_per_language: int = DOCS_PER_LANGUAGE, most_docs: int = MOST_DOCS, seed: int = 11
+) -> list:
     """A bounded sample of (bytes, language): some windows of some training documents a language.
 
-    Documents are drawn by a seeded hash of id and text, equally many a language; windows begin at
-    seeded places anywhere in the text.
+    Documents are drawn by a seeded hash of id and text, equally many a language, ``most_docs`` of all
+    languages together; windows begin at seeded places anywhere in the text.
     """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != held_out)
     ).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
+    languages = counts.count()
+    if not languages:
         return []
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * docs_per_language / n))).otherwise(share)
+    each = min(docs_per_language, max(1, most_docs // languages))
     drawn = hash_fraction(seed, F.col("doc_id").cast("string"), F.col("text"))
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     start = F.expr(f"cast(pmod(xxhash64({seed}, cast(doc_id as string), k), room) as int) + 1")
     windows = (
-        known.withColumn("draw", drawn)
-        .where(F.col("draw") < share)
-        .withColumn("room", room)
+        known.join(counts, "lang")
+        .withColumn("draw", drawn)
+        .where(F.col("draw") * F.col("n") < 1.3 * each)
+        .withColumn("room", F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC))))
         .select("lang", "draw", "k", F.substring("text", start, F.lit(WINDOW)).alias("piece"))
         .orderBy("draw", "k", "lang", "piece")
-        .limit(2 * WINDOWS_PER_DOC * docs_per_language * len(counts))
+        .limit(2 * WINDOWS_PER_DOC * each * languages)
     )
-    return [(r["piece"].encode("utf-8")[:WINDOW], r["lang"]) for r in windows.collect()]
+    rows = [(r["piece"].encode("utf-8")[:WINDOW], r["lang"]) for r in windows.collect()]
+    discard(counts)
+    return rows
 
 
 def probabilities(net: ByteCnn, texts: list[bytes], tables=None, block: int = 256) -> np.ndarray:
     """Mean language probabilities of whole texts; ``block`` windows are worked on at a time."""
     first, second = tables or net.tables()
-    spans = [-(-len(t) // WINDOW) for t in texts]
     out = np.zeros((len(texts), len(net.languages)))
-    buffer, owner, weight = [], [], []
-    for i, (t, n) in enumerate(zip(texts, spans, strict=True)):
+    # each text is laid out with zeros up to a whole window and three more, for filters that reach beyond
+    buffer, starts, owner, weight, at = [], [], [], [], 0
+    for i, t in enumerate(texts):
+        n = -(-len(t) // WINDOW)
+        if not n:
+            continue
+        room = n * WINDOW + 3
+        buffer += [t, bytes(room - len(t))]
+        starts.append(at + WINDOW * np.arange(n))
         owner.append(np.full(n, i))
-        w = np.full(n, WINDOW)
-        if n:
-            w[-1] = len(t) - (n - 1) * WINDOW
-        weight.append(w)
-        buffer.append(t)
-        buffer.append(bytes(n * WINDOW - len(t)))
-    if not sum(spans):
+        weight.append(np.minimum(WINDOW, len(t) - WINDOW * np.arange(n)))
+        at += room
+    if not at:
         return out
-    owner, weight = np.concatenate(owner), np.concatenate(weight).astype(float)
-    data = np.frombuffer(b"".join(buffer) + bytes(3), np.uint8)
-    rows = block * WINDOW
-    a, b = np.empty((rows, first.shape[1]), np.float32), np.empty((rows, first.shape[1]), np.float32)
-    for at in range(0, len(owner), block):
-        k = min(block, len(owner) - at)
-        piece = data[at * WINDOW : (at + k) * WINDOW + 3].astype(np.intp)
-        pair = piece[:-1] * 256 + piece[1:]
-        n = k * WINDOW
-        np.take(first, pair[:n], axis=0, out=a[:n], mode="clip")
-        np.take(second, pair[2:], axis=0, out=b[:n], mode="clip")
-        a[:n] += b[:n]
-        p = net.head(a[:n].reshape(k, WINDOW, -1).max(axis=1))
-        np.add.at(out, owner[at : at + k], p * weight[at : at + k, None])
+    starts, owner, weight = np.concatenate(starts), np.concatenate(owner), np.concatenate(weight).astype(float)
+    data = np.frombuffer(b"".join(buffer), np.uint8)
+    reach = np.arange(WINDOW + 3)
+    a, b = (np.empty((block, WINDOW, first.shape[1]), np.float32) for _ in range(2))
+    for at in range(0, len(starts), block):
+        k = min(block, len(starts) - at)
+        piece = data[starts[at : at + k, None] + reach].astype(np.intp)
+        pair = piece[:, :-1] * 256 + piece[:, 1:]
+        np.take(first, pair[:, :WINDOW], axis=0, out=a[:k], mode="clip")
+        np.take(second, pair[:, 2:], axis=0, out=b[:k], mode="clip")
+        a[:k] += b[:k]
+        np.add.at(out, owner[at : at + k], net.head(a[:k].max(axis=1)) * weight[at : at + k, None])
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
 
 
@@ -190,7 +196,7 @@ def _predictor(net: ByteCnn):
         texts = [t or "" for t in texts]
         p = probabilities(net, [t.encode("utf-8", "surrogatepass") for t in texts], tuple(tables))
         best = p.argmax(axis=1)
-        speaks = np.array([bool(_LETTER.search(t)) for t in texts], dtype=bool)
+        speaks = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
         names = [net.languages[k] if s else UNKNOWN for k, s in zip(best, speaks, strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.where(speaks, p[np.arange(len(best)), best], 0.0), pa.float64())]
 
@@ -206,8 +212,9 @@ def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, **bounds) -> ByteC
 def predict(docs: DataFrame, net: ByteCnn, keep: list[str] | None = None) -> DataFrame:
     """``docs(text, ...)`` -> ``(rec, lang_pred, score)``, a row per input row; rec holds the columns ``keep`` (all).
 
-    lang_pred is ``und`` with score 0 where the text is null or has no letter. Whole texts are
-    read, however long; copies get equal answers.
+    lang_pred is ``und`` with score 0 where the text is null or has no letter (a character of a
+    Unicode letter category). Whole texts are read, however long; copies get equal answers,
+    whatever partition or batch they are in.
     """
     return map_texts(docs, keep, _predictor(net), "lang_pred string, score double")
 
