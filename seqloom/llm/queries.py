@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, langid, lattice, mixing, quality_mil, quality_rules, sharding, simhash, toxicity, warc
 from seqloom.llm.common import read_table
@@ -28,7 +27,7 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(read_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def tokenizer_path() -> str:
