@@ -7,8 +7,9 @@ other; a record's rank in that sequence decides its shard and slot, so shards di
 one record (law ``rows``).
 
 Both passes depend on the seed and the records only, so a lost task is redone with the same result.
-Records that are equal in every column the hash sees are interchangeable; where more than ``ALIKE``
-of them exist they are numbered first and scattered by number as well, so no bucket overflows.
+Records that are equal in every column are interchangeable; where more than ``ALIKE`` of them exist
+they are numbered first and scattered by number as well. Records that differ in any column are
+scattered apart, so no bucket overflows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from seqloom.llm.common import materialize, scratch_path
 #: Bytes of text that a bucket is meant to hold.
 BUCKET_BYTES = 64 << 20
 #: Buckets at least, so that small tables occupy more than a few tasks.
-LEAST_BUCKETS = 128
+LEAST_BUCKETS = 32
 #: Equal records up to this number stay in one bucket.
 ALIKE = 5000
 #: Tasks of the second pass at most; beyond, a task shuffles one bucket after the other.
@@ -62,26 +63,28 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES, alik
     """First pass: ``(rec, h, h2, part, bucket)`` of all rows, and the number of buckets."""
     total = docs.agg(F.sum(size_of(F.col("text"))).alias("bytes")).first()["bytes"] or 0
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
+    whole = F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("h"),
-        F.xxhash64(F.lit(seed + 1), F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns])).alias("h2"),
+        F.xxhash64(F.lit(seed), whole).alias("h"),
+        F.xxhash64(F.lit(seed + 1), whole).alias("h2"),
     )
     # how many equal records there are is asked with the hashes alone
-    crowds = packed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alike)
+    crowds = packed.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alike)
     crowds = materialize(crowds, "shard-crowds")
     if crowds.isEmpty():
         spread = packed.withColumn("part", F.lit(0))
     else:
-        plain = packed.join(crowds, "h", "left_anti").select("rec", "h", "h2", F.lit(0).alias("part"))
-        crowd = packed.join(crowds, "h").groupBy("h", "h2", "rec").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        plain = packed.join(crowds, ["h", "h2"], "left_anti").select("rec", "h", "h2", F.lit(0).alias("part"))
+        # hashes of 128 bits name the records, so equal ones are counted in the tasks before one of them travels
+        crowd = packed.join(crowds.select("h", "h2"), ["h", "h2"]).groupBy("h", "h2").agg(F.first("rec").alias("rec"), F.count(F.lit(1)).cast("int").alias("n"))
         # the copies of one record are made again in many tasks, ``alike`` at a time
         lots = crowd.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / alike).cast("int"))))
         lots = lots.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "h2", "lot")
         copies = F.sequence(F.col("lot") * alike, F.least((F.col("lot") + 1) * alike, F.col("n")) - 1)
         again = lots.select("rec", "h", "h2", F.explode(copies).alias("part"))
         spread = plain.unionByName(again)
-    return spread.withColumn("bucket", F.pmod(F.xxhash64("h", (F.col("part") / alike).cast("int")), F.lit(buckets)).cast("int")), buckets
+    return spread.withColumn("bucket", F.pmod(F.xxhash64("h", "h2", (F.col("part") / alike).cast("int")), F.lit(buckets)).cast("int")), buckets
 
 
 def first_ranks(counts: DataFrame, group: int = 4096) -> DataFrame:
@@ -94,7 +97,9 @@ def first_ranks(counts: DataFrame, group: int = 4096) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: int = 13, bucket_bytes: int = BUCKET_BYTES, alike: int = ALIKE) -> DataFrame:
-    """Shuffle ``docs`` into ``shards`` and write them under ``path`` (a new shared folder if None), a folder per shard.
+    """Shuffle ``docs`` into ``shards`` and write them under ``path``, a folder per shard.
+
+    Without ``path`` they go to a scratch folder that lasts as long as the application.
 
     Returns what was written: ``(rec, shard, slot)``, rec holding all columns of ``docs``, shard
     0..shards-1 and slot 0.. without gaps in each shard. Law ``rows``: counts of shards differ by
@@ -106,9 +111,8 @@ def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: in
     total = counts.agg(F.sum("n")).first()[0] or 0
     starts = first_ranks(counts)
     out = T.StructType([spread.schema["rec"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = min(buckets, max(least, LEAST_BUCKETS // 4 if buckets == LEAST_BUCKETS else MOST_TASKS))
-    shuffled = spread.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shuffled(seed), out)
+    # a task a bucket, so about as many bytes a task at every size
+    shuffled = spread.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_shuffled(seed), out)
     base, longer = divmod(total, shards)
     rank = F.col("start") + F.col("place")
     head = longer * (base + 1)  # ranks in the shards that hold one more
