@@ -1,10 +1,12 @@
 """Quality rules as learned decision lists, evaluated with built-in Spark expressions only.
 
 Text statistics are columns. From the statistics of labelled documents a decision list is learned
-by sequential covering: a rule, a conjunction of thresholds, is grown on one part of the labelled
-rows by information gain and pruned on the other; the rows it covers are set aside and the next
-rule is learned, until no rule is accurate enough. The list becomes one ordered conditional
-expression: the first rule that holds gives the verdict, and what no rule covers is kept.
+by sequential covering: for either verdict a rule, a conjunction of thresholds, is grown on one part
+of the labelled rows by information gain and pruned on the other, and the more accurate of the two
+joins the list; the rows it covers are set aside and the next rule is learned, until no rule is
+accurate enough. The list becomes one ordered conditional expression: the first rule that holds
+gives the verdict, so an earlier rule that keeps shields from a later one that drops, and the last
+rule, which has no test, gives the verdict that most of the remaining rows deserve.
 
 Window repeats are found inside each row: hashes of all five-word windows are sorted and compared
 with their neighbours, so nothing is shuffled and no row is multiplied.
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WORD, hash_fraction
+from seqloom.llm.common import WORD, discard, labelled_sample
 
 #: Bound of the labelled sample the rules are learned from, in documents.
 SAMPLE = 8000
@@ -136,11 +138,11 @@ class Rule:
         return out
 
     def __str__(self) -> str:
-        return " and ".join(map(str, self.tests)) + (" -> keep" if self.keep else " -> drop")
+        return (" and ".join(map(str, self.tests)) or "otherwise") + (" -> keep" if self.keep else " -> drop")
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """The decision list as one ordered conditional expression over the statistics columns."""
+    """The decision list as one ordered conditional expression over the statistics columns; what no rule covers is kept."""
     out = None
     for r in rules:
         condition = F.lit(True)
@@ -150,26 +152,36 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def _candidates(x: np.ndarray, bad: np.ndarray, steps: int = 24) -> list[Test]:
-    """Thresholds at quantiles of each statistic, over all rows and over the bad ones."""
+def decide(rules: list[Rule], x: np.ndarray) -> np.ndarray:
+    """What :func:`verdict` says, for rows of statistics in the order of ``TESTED``."""
+    out, open_ = np.ones(len(x), bool), np.ones(len(x), bool)
+    for r in rules:
+        hit = open_ & r.holds(x)
+        out[hit] = r.keep
+        open_ &= ~hit
+    return out
+
+
+def _candidates(x: np.ndarray, wanted: np.ndarray, steps: int = 24) -> list[Test]:
+    """Thresholds at quantiles of each statistic, over all rows, the wanted ones and the others."""
     out = []
     for j, name in enumerate(TESTED):
         cuts = set()
-        for part in (x[:, j], x[bad, j]):
+        for part in (x[:, j], x[wanted, j], x[~wanted, j]):
             if len(part):
                 cuts |= set(np.unique(np.quantile(part, np.linspace(0.02, 0.98, steps))).tolist())
         out += [Test(name, above, float(f"{c:.6g}")) for c in sorted(cuts) for above in (True, False)]
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, candidates: list[Test], most: int = 4) -> list[Test]:
-    """Add the test of highest information gain until only bad rows are covered."""
+def _grow(x: np.ndarray, wanted: np.ndarray, candidates: list[Test], most: int = 4) -> list[Test]:
+    """Add the test of highest information gain until only wanted rows are covered."""
     masks = np.array([t.holds(x) for t in candidates])
     covered, tests = np.ones(len(x), bool), []
-    while len(tests) < most and (covered & ~bad).any():
-        p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
-        p = (masks & (covered & bad)).sum(axis=1)
-        n = (masks & (covered & ~bad)).sum(axis=1)
+    while len(tests) < most and (covered & ~wanted).any():
+        p0, n0 = (covered & wanted).sum(), (covered & ~wanted).sum()
+        p = (masks & (covered & wanted)).sum(axis=1)
+        n = (masks & (covered & ~wanted)).sum(axis=1)
         gain = p * (np.log2((p + 1e-9) / (p + n + 1e-9)) - np.log2(p0 / (p0 + n0)))
         best = int(gain.argmax())
         if gain[best] <= 1e-6:
@@ -179,37 +191,50 @@ def _grow(x: np.ndarray, bad: np.ndarray, candidates: list[Test], most: int = 4)
     return tests
 
 
-def _worth(tests: list[Test], x: np.ndarray, bad: np.ndarray) -> float:
-    hit = Rule(tuple(tests), False).holds(x)
-    p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
+def _counts(tests: list[Test], x: np.ndarray, wanted: np.ndarray) -> tuple[int, int]:
+    hit = Rule(tuple(tests), True).holds(x)
+    return int((hit & wanted).sum()), int((hit & ~wanted).sum())
+
+
+def _worth(tests: list[Test], x: np.ndarray, wanted: np.ndarray) -> float:
+    p, n = _counts(tests, x, wanted)
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def _best_rule(keep: bool, x: np.ndarray, good: np.ndarray, part: np.ndarray, least: int, precision: float) -> tuple[float, Rule] | None:
+    """A grown and pruned rule of one verdict with its accuracy, if it covers enough rows and is right often enough."""
+    wanted = good == keep
+    if (wanted & part).sum() < least or not (~wanted).any():
+        return None
+    tests = _grow(x[part], wanted[part], _candidates(x[part], wanted[part]))
+    while len(tests) > 1 and _worth(tests[:-1], x[~part], wanted[~part]) >= _worth(tests, x[~part], wanted[~part]):
+        tests = tests[:-1]
+    p, n = _counts(tests, x, wanted)
+    if not tests or p < least or p < precision * (p + n):
+        return None
+    return (p + 1) / (p + n + 2), Rule(tuple(tests), keep)
+
+
 def learn(x: np.ndarray, good: np.ndarray, most_rules: int = 12, precision: float = 0.8, least: int = 5, seed: int = 17) -> list[Rule]:
-    """Sequential covering of the bad rows; ``x`` has the columns of ``TESTED``.
+    """Sequential covering with rules of both verdicts; ``x`` has the columns of ``TESTED``.
 
     Rules are grown on two thirds of the rows not yet covered and pruned on the rest, by dropping
-    last tests while that does not lower (p - n) / (p + n). Learning ends when a rule covers
-    fewer than ``least`` bad rows or is right less often than ``precision``.
+    last tests while that does not lower (p - n) / (p + n). Of a rule that drops and one that keeps,
+    the one that is right more often comes first. Learning ends when no rule covers ``least`` rows
+    and is right as often as ``precision``. The last rule holds for all that is left.
     """
     rules: list[Rule] = []
-    bad = ~good.astype(bool)
+    good = good.astype(bool)
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     left = np.ones(len(x), bool)
-    while len(rules) < most_rules and (left & bad & part).sum() >= least:
-        grow, prune = left & part, left & ~part
-        tests = _grow(x[grow], bad[grow], _candidates(x[grow], bad[grow]))
-        while len(tests) > 1 and _worth(tests[:-1], x[prune], bad[prune]) >= _worth(tests, x[prune], bad[prune]):
-            tests = tests[:-1]
-        if not tests:
-            break
-        rule = Rule(tuple(tests), False)
-        hit = rule.holds(x) & left
-        if (hit & bad).sum() < least or (hit & bad).sum() < precision * hit.sum():
+    while len(rules) < most_rules and left.any():
+        found = [r for keep in (False, True) if (r := _best_rule(keep, x[left], good[left], part[left], least, precision))]
+        if not found:
             break
+        rule = max(found, key=lambda r: r[0])[1]
         rules.append(rule)
-        left &= ~hit
-    return rules
+        left &= ~rule.holds(x)
+    return [*rules, Rule((), bool(good[left].mean() >= 0.5) if left.any() else True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE, seed: int = 31) -> list[Rule]:
@@ -217,28 +242,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE, seed: int =
 
     Documents are drawn by a seeded hash of doc_id. Ids with several labels take their mean.
     """
-    known = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("quality")).where(
-        F.col("quality").isNotNull() & F.col("l_id").isNotNull()
-    )
-    share = min(1.0, max_rows / max(1, known.count()))
-    marks = known.where(hash_fraction(seed, F.col("l_id").cast("string")) < share).groupBy("l_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    drawn = docs.where(F.col("doc_id").isNotNull() & (hash_fraction(seed, F.col("doc_id").cast("string")) < share))
-    one_each = drawn.groupBy("doc_id").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    rows = (
-        with_statistics(one_each.join(marks, F.col("doc_id") == F.col("l_id")), "doc_id", "good")
-        .select("doc_id", "good", *TESTED)
-        .orderBy("doc_id")
-        .collect()
-    )
+    sample = labelled_sample(docs, labels, "quality", max_rows, seed)
+    rows = with_statistics(sample, "doc_id", "label").select("doc_id", "label", *TESTED).orderBy("doc_id").collect()
+    discard(sample)
     x = np.array([[float(r[c]) for c in TESTED] for r in rows]).reshape(len(rows), len(TESTED))
-    return learn(x, np.array([r["good"] for r in rows], dtype=bool))
+    return learn(x, np.array([r["label"] for r in rows], dtype=bool))
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs(doc_id, text)`` -> base statistics, ``base_failed`` and ``kept``, a row per input row.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated windows. kept:
-    false if base_failed, else the verdict of the list.
+    false if base_failed, else the verdict of the list. Null and empty texts have no words and fail;
+    repeated rows get equal answers; a long text costs memory for its own words only; an empty table
+    gives an empty result.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return with_statistics(docs, "doc_id").select(
