@@ -114,12 +114,10 @@ def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 1.0) -> Isoto
     return Isotonic(knots, np.maximum.accumulate(values))
 
 
-def cross_margins(x: np.ndarray, y: np.ndarray, folds: int = 4, seed: int = 3, **options) -> np.ndarray:
-    """Margins of each row from trees that did not see it, for calibration."""
-    fold = np.random.default_rng(seed).permutation(len(y)) % folds
+def cross_margins(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **options) -> np.ndarray:
+    """Margins of each row from trees that did not see its fold, for calibration."""
     out = np.zeros(len(y))
-    for k in range(folds):
+    for k in np.unique(fold):
         rest = fold != k
-        if (~rest).any():
-            out[~rest] = fit_trees(x[rest], y[rest], **options).margin(x[~rest])
+        out[~rest] = fit_trees(x[rest], y[rest], **options).margin(x[~rest])
     return out

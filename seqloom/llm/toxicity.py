@@ -4,6 +4,10 @@ The lexicon is learned, not shipped: words and word beginnings that toxic traini
 far more often than others, with their log-odds. Features are densities of lexicon words (plain,
 beginnings, and words that match only after undoing obfuscation), how near they stand to
 second-person words, and rates of capitals, punctuation and obfuscation. Every whole text is read.
+
+Trees and calibration are fitted on features whose lexicon was learned without the document's own
+fold, so a document's label never reaches its own features; texts to be scored get the lexicon of
+all training documents.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.boosting import Isotonic, Trees, cross_margins, fit_isotonic, fit_trees
-from seqloom.llm.common import discard, id_remainder, labelled_sample, map_texts, materialize
+from seqloom.llm.common import discard, id_remainder, labelled_sample, map_texts
 
 #: Bound of the labelled sample that everything is learned from, in documents.
 SAMPLE = 6000
+#: Folds that lexicons are learned without.
+FOLDS = 4
 #: Entries of the learned lexicon: words, and beginnings of words.
 ENTRIES = (400, 400)
 BEGINNINGS = (4, 5, 6, 7)
@@ -156,59 +162,78 @@ class ToxicityModel:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> the different words (kind 0) and beginnings (their length) of each text."""
+    """(text, label, fold) -> the different words (kind 0) and beginnings (their length) of each text."""
     for batch in batches:
-        kinds, terms, labels = [], [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        kinds, terms, at = [], [], []
+        for i, text in enumerate(batch.column(0).to_pylist()):
             own = {(0, t) for t in tokens_of(text) if t and t.isalpha()}
             own |= {(k, t[:k]) for _, t in own for k in BEGINNINGS if len(t) > k}
             kinds += [k for k, _ in own]
             terms += [t for _, t in own]
-            labels += [label] * len(own)
+            at += [i] * len(own)
+        rows = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["kind", "term", "label"]
+            [pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), batch.column(1).take(rows), batch.column(2).take(rows)],
+            ["kind", "term", "label", "fold"],
         )
 
 
-def learn_lexicon(sample: DataFrame, entries: tuple[int, int] = ENTRIES, least: int = 3) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings with the largest log-odds for label 1 that are surely above one, from document counts."""
-    totals = sample.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    toxic = totals["toxic"] or 0
-    clean = totals["n"] - toxic
-    if not toxic or not clean:
+Lexicon = tuple[dict[str, float], dict[str, float]]
+
+
+def choose(kinds: np.ndarray, terms: np.ndarray, toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int, entries: tuple[int, int], least: int) -> Lexicon:
+    """Of counted terms, the words and beginnings with the largest log-odds for label 1 that are surely above one."""
+    if not all_toxic or not all_clean:
         return {}, {}
-    counted = (
-        sample.select("text", "label")
-        .mapInArrow(_terms, "kind int, term string, label int")
-        .groupBy("kind", "term")
-        .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-        .where(F.col("t") >= least)
-    )
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    # lower end of about two standard errors
-    sure = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    kept = counted.withColumn("odds", odds).withColumn("sure", sure).where("sure > 0.7")
-    top = lambda df, n: df.orderBy(F.desc("sure"), "term").limit(n).collect()
-    return (
-        {r["term"]: r["odds"] for r in top(kept.where("kind = 0"), entries[0])},
-        {r["term"]: r["odds"] for r in top(kept.where("kind > 0"), entries[1])},
-    )
+    odds = np.log((toxic + 0.5) / (all_toxic + 1)) - np.log((clean + 0.5) / (all_clean + 1))
+    sure = odds - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))  # lower end of about two standard errors
+    out = []
+    for own, most in ((kinds == 0, entries[0]), (kinds > 0, entries[1])):
+        fit = np.flatnonzero(own & (toxic >= least) & (sure > 0.7))
+        best = sorted(fit.tolist(), key=lambda i: (-sure[i], terms[i]))[:most]
+        out.append({str(terms[i]): float(odds[i]) for i in best})
+    return out[0], out[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = SAMPLE, seed: int = 23) -> ToxicityModel:
-    """Learn from at most about ``max_rows`` labelled documents outside the held-out fold."""
-    sample = materialize(labelled_sample(docs, labels, "toxic", modulus, held_out, max_rows, seed), "toxicity-sample")
-    words, starts = learn_lexicon(sample)
+def learn_lexicons(sample: DataFrame, folds: int = FOLDS, entries: tuple[int, int] = ENTRIES, least: int = 3) -> tuple[Lexicon, list[Lexicon]]:
+    """``sample(text, label, fold)`` -> the lexicon of all rows, and for each fold the one of all other rows.
+
+    Terms are counted by Spark, once for all folds; those that ``least`` toxic documents hold, a
+    part of the bounded sample's vocabulary, come to the driver.
+    """
+    every = range(folds)
+    rows = {r["fold"]: r for r in sample.groupBy("fold").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect()}
+    size = np.array([[rows[k][c] if k in rows else 0 for k in every] for c in "tc"])
+    per_fold = [F.count_if((F.col("label") == (c == "t")) & (F.col("fold") == k)).alias(f"{c}{k}") for c in "tc" for k in every]
+    terms = sample.select("text", F.col("label") == 1, "fold").mapInArrow(_terms, "kind int, term string, label boolean, fold int")
+    counted = terms.groupBy("kind", "term").agg(F.count_if("label").alias("t"), *per_fold).where(F.col("t") >= least).toPandas()
+    kinds, names = counted["kind"].to_numpy(), counted["term"].to_numpy()
+    toxic, clean = (counted[[f"{c}{k}" for k in every]].to_numpy().reshape(-1, folds) for c in "tc")
+    without = lambda k: choose(
+        kinds, names, *(x.sum(axis=1) - (x[:, k] if k is not None else 0) for x in (toxic, clean)),
+        *(int(x.sum() - (x[k] if k is not None else 0)) for x in size), entries, least,
+    )
+    return without(None), [without(k) for k in every]
 
-    def run(texts: list[str | None]) -> list[pa.Array]:
-        return [pa.array([features(t or "", words, starts) for t in texts], pa.list_(pa.float64()))]
 
-    rows = map_texts(sample, ["doc_id", "label"], run, "x array<double>").select("rec.*", "x").orderBy("doc_id").collect()
-    discard(sample)
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = SAMPLE, seed: int = 23) -> ToxicityModel:
+    """Learn from at most about ``max_rows`` labelled documents outside the held-out fold."""
+    drawn = labelled_sample(docs, labels, "toxic", max_rows, seed, modulus, held_out)
+    sample = drawn.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int"))
+    (words, starts), others = learn_lexicons(sample)
+
+    def run(lexicon: Lexicon):
+        return lambda texts: [pa.array([features(t or "", *lexicon) for t in texts], pa.list_(pa.float64()))]
+
+    rows = []
+    for k, lexicon in enumerate(others):
+        own = map_texts(sample.where(F.col("fold") == k), ["doc_id", "label", "fold"], run(lexicon), "x array<double>")
+        rows += own.select("rec.*", "x").collect()
+    discard(drawn)
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(NAMES))
-    y = np.array([r["label"] for r in rows], dtype=float)
-    trees = fit_trees(x, y)
-    return ToxicityModel(words, starts, trees, fit_isotonic(cross_margins(x, y), y))
+    y, fold = (np.array([r[c] for r in rows], dtype=float) for c in ("label", "fold"))
+    return ToxicityModel(words, starts, fit_trees(x, y), fit_isotonic(cross_margins(x, y, fold), y))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
