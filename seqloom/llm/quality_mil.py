@@ -1,8 +1,9 @@
 """Quality scores by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded: the shape of its
-bytes (frequencies of byte classes and of pairs of classes), its words' lengths, how often words
-repeat inside it, and how much of it repeats earlier parts of the document. A small network turns
+bytes (frequencies of byte classes and of pairs of classes), its letters (hashed byte trigrams),
+its words' lengths, how often words repeat inside it, and how much of it repeats earlier parts of
+the document. A small network turns
 encodings into representations, gated attention weighs the passages, and the weighted mean is
 scored. Only documents carry labels; which passages matter is learned. Training is done in numpy
 on a bounded sample; scoring reads every passage of every text.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import id_remainder, labelled_sample, map_texts
+from seqloom.llm.common import discard, id_remainder, labelled_sample, map_texts
 
 PASSAGE = 64
 #: Bounds of the training sample: documents, and passages of one document (spread evenly over it).
@@ -57,8 +58,11 @@ for _c in range(256):
     else:
         _CLASS[_c] = 13
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Buckets of byte trigrams, in lower case.
+TRIGRAMS = 128
+_LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint32)
 #: Length of a passage's encoding.
-SIZE = _KINDS + _KINDS * _KINDS + 6
+SIZE = _KINDS + _KINDS * _KINDS + TRIGRAMS + 6
 
 
 def encode(text: str) -> np.ndarray:
@@ -78,6 +82,9 @@ def encode(text: str) -> np.ndarray:
     pairs = np.bincount(
         passage[:-1] * _KINDS**2 + kinds[:-1] * _KINDS + kinds[1:], minlength=passages * _KINDS**2
     ).reshape(passages, -1)
+    low = _LOW[raw]
+    bucket = ((low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(25)
+    letters = np.bincount(passage[: len(bucket)] * TRIGRAMS + bucket, minlength=passages * TRIGRAMS).reshape(passages, -1)
     size = single.sum(axis=1, keepdims=True)
     count = np.full(passages, PASSAGE, float)
     count[-1] = words - (passages - 1) * PASSAGE
@@ -97,7 +104,7 @@ def encode(text: str) -> np.ndarray:
         seen = by_code[1:][triple[by_code][1:] == triple[by_code][:-1]]
         old = np.bincount(at[seen], minlength=passages)
     return np.column_stack([
-        single / size, 4 * pairs / size, repeats / count, same / count, old / count,
+        single / size, 4 * pairs / size, 8 * letters / size, repeats / count, same / count, old / count,
         np.bincount(at, length, passages) / count / 10, np.bincount(at, length > 20, passages) / count, count / PASSAGE,
     ]).astype(np.float32)
 
@@ -170,7 +177,7 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, max_rows: int = SAMPLE, seed: int = 29) -> AttentionModel:
     """Learn from at most about ``max_rows`` labelled documents outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "quality", modulus, held_out, max_rows, seed)
+    sample = labelled_sample(docs, labels, "quality", max_rows, seed, modulus, held_out)
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         bags = [encode(t or "") for t in texts]
@@ -178,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
         return [pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())]
 
     rows = map_texts(sample, ["doc_id", "label"], run, "bag binary").select("rec.*", "bag").collect()
+    discard(sample)
     rows.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["bag"], "<f4").reshape(-1, SIZE) for r in rows]
     return train(bags, np.array([r["label"] for r in rows], np.float32))

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,12 +113,13 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
 
 def opener(path: str) -> Callable[[], object]:
     """How a task opens ``path`` for reading at any place: local files directly, other schemes by pyarrow."""
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return open(url.path if url.scheme else path, "rb")  # noqa: SIM115
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*", scheme) or not rest.startswith("/"):
+        # "file:" is followed by the path itself, in which '#', '?' and '%' are plain characters
+        return open(re.sub(r"^/{2,}", "/", rest) if scheme == "file" else path, "rb")  # noqa: SIM115
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = fs.FileSystem.from_uri(quote(path, safe="/:@"))
     return system.open_input_file(name)
 
 
