@@ -14,7 +14,7 @@ from seqloom.llm import common, mixing, sharding, warc
 
 def test_mixing_equals_its_sql_and_the_law(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.plan(docs, bins=64).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken").toPandas()
+    rows = mixing.plan(docs, bins=64).select("doc_id", "size", "source_size", "target", "taken").toPandas()
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     want = con.sql(mixing.oracle()).df()
@@ -60,6 +60,42 @@ def test_pareto_order_prefers_large_documents_and_comes_near(spark):
         assert s[s.copies == 1]["size"].mean() > s[s.copies == 0]["size"].mean()
 
 
+def mixed_as_sql(docs, spark, **options):
+    """Counts of (doc_id, size, taken) by the operator and by its SQL."""
+    got = mixing.plan(docs, **options)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())  # pandas would make ids with nulls doubles
+    want = con.sql(mixing.oracle()).df()
+    listed = lambda t: Counter((None if a != a or a is None else int(a), int(b), int(c)) for a, b, c in zip(t.doc_id, t["size"], t.taken, strict=True))
+    rows = got.toPandas()
+    assert listed(rows) == listed(want)
+    return rows
+
+
+@pytest.mark.parametrize("repeated", ["same row", "same id", "null id"])
+def test_mixing_comes_near_where_ids_repeat(spark, repeated):
+    """A source half of which shares an id; the target is met to within one document."""
+    hot = {"same row": (7, "w " * 30), "same id": (7, None), "null id": (None, None)}[repeated]
+    rows = [(hot[0], hot[1] or "w " * 30 + str(i), "s") if i % 2 else (1000 + i, "v " * 30 + str(i), "s") for i in range(1000)]
+    rows += [(5000 + i, "u " * 30, "t") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixed_as_sql(docs, spark, bins=64)
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 31
+    mixed = Counter(map(tuple, mixing.mix(docs, bins=64).collect()))
+    assert sum(len(t.split()) * n for (_, t, _), n in mixed.items()) == got.taken.sum()
+    assert all(n <= 2 * Counter(rows)[k] for k, n in mixed.items())
+
+
+def test_huge_documents_are_certain(spark):
+    rows = [(i, "w " * n, "s") for i, n in enumerate([9000, 5000, 700] + [10] * 900)] + [(5000 + i, "u " * 30, "t") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed_as_sql(docs, spark, bins=32)
+    s = got[got.source == "s"]
+    assert set(s[s["size"] >= 5000].copies - s.copies.min()) == {1}
+    assert abs(s.taken.sum() - s.target.iloc[0]) <= 10
+
+
 def check_shards(written, count, shards):
     per = Counter(r["shard"] for r in written)
     assert sum(per.values()) == count and max(per.values()) - min(per.get(s, 0) for s in range(shards)) <= 1
@@ -87,6 +123,44 @@ def test_many_equal_rows_are_split(spark):
     assert spread.where("rec.text = 'same'").select("bucket").distinct().count() > 3
 
 
+def test_rows_that_differ_in_another_column_are_scattered(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.concat(F.lit("u"), "id").alias("url"))
+    spread, buckets = sharding.scattered(docs, 13, alike=50)
+    assert spread.select("bucket").distinct().count() == buckets and spread.count() == 3000
+    rows = sharding.write_shards(docs, 4, alike=50).collect()
+    check_shards(rows, 3000, 4)
+    assert len({r["rec"]["url"] for r in rows}) == 3000
+
+
+def plain_shards(docs, shards, seed=13):
+    """Both passes in plain Python, for a table without crowds: (doc_id, shard, slot)."""
+    spread, _ = sharding.scattered(docs, seed)
+    buckets = {}
+    for r in spread.collect():
+        buckets.setdefault(r["bucket"], []).append((r["h"], r["h2"], r["rec"]["doc_id"]))
+    sequence = []
+    for b in sorted(buckets):
+        rows, rng = sorted(buckets[b], key=lambda x: x[:2]), np.random.default_rng([seed, b])
+        draws = rng.integers(0, np.arange(len(rows), 1, -1)).tolist() if len(rows) > 1 else []
+        for i, j in zip(range(len(rows) - 1, 0, -1), draws, strict=True):
+            rows[i], rows[j] = rows[j], rows[i]
+        sequence += [x[2] for x in rows]
+    base, longer = divmod(len(sequence), shards)
+    out, at = [], 0
+    for s in range(shards):
+        n = base + (s < longer)
+        out += [(i, s, k) for k, i in enumerate(sequence[at : at + n])]
+        at += n
+    return out
+
+
+def test_shards_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    written = sharding.write_shards(docs, 40)
+    got = sorted((r["doc_id"], r["shard"], r["slot"]) for r in written.select("rec.doc_id", "shard", "slot").collect())
+    assert got == sorted(plain_shards(docs, 40))
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(s))) for s in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 850
@@ -128,6 +202,12 @@ def test_archives_are_plain_concatenated_gzip(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == 10 and text.endswith(b"\r\n\r\n")
 
 
+def test_archives_in_folders_with_odd_names(spark, tmp_path):
+    path = f"file://{tmp_path}/a#b ?c%20d/w"
+    warc.write(pages(spark), path)
+    assert warc.read(spark, path).count() == 10
+
+
 def test_reader_skips_false_magic_and_damage():
     records = [warc.record(i, "u", b"p" * (i * 700), None) for i in range(6)]
     members = [warc.member(r) + b"\x00" for r in records]

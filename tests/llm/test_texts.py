@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from seqloom.llm import boosting, bpe, langid, quality_mil, quality_rules, toxicity
+from seqloom.llm import boosting, bpe, common, langid, quality_mil, quality_rules, toxicity
 
 from .conftest import words
 
@@ -70,6 +70,49 @@ def test_language_network_learns_and_tables_equal_convolution():
     assert np.allclose(net.head(pooled[None]), langid.probabilities(net, [text]), atol=1e-5)
 
 
+def test_language_depends_on_the_text_alone(spark):
+    rng = np.random.default_rng(3)
+    r = random.Random(3)
+    sizes = [*range(12), *(256 * k + d for k in (1, 2, 3) for d in range(-4, 5)), *rng.integers(0, 1500, 960).tolist()]
+    texts = ["".join(r.choice("abcdefg hij éß") for _ in range(n)) for n in sizes]
+    net = langid.train([t.encode() for t in texts[100:300]], ["x" if i % 2 else "y" for i in range(200)], epochs=1)
+    together = langid.probabilities(net, [t.encode() for t in texts], block=37)
+    alone = np.concatenate([langid.probabilities(net, [t.encode()]) for t in texts])
+    assert np.array_equal(together, alone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = [sorted(map(tuple, langid.predict(docs.repartition(n), net, ["doc_id"]).select("rec.doc_id", "lang_pred", "score").collect())) for n in (1, 5)]
+    assert told[0] == told[1]
+
+
+def test_digits_and_numerals_are_no_letters(spark):
+    net = langid.train([b"ab", b"cd"], ["x", "y"], epochs=1)
+    odd = ["½ ² Ⅷ ①", "12_3", "ß", "中", "٣"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    rows = sorted(langid.predict(docs, net).select("rec.doc_id", "lang_pred").collect())
+    assert [x["lang_pred"] == "und" for x in rows] == [True, True, False, False, True]
+
+
+def test_slices_are_bounded_in_rows_and_bytes():
+    sizes = np.array([5, 5, 100, 1, 1, 1, 0, 40])
+    parts = list(common.slices(sizes, 3, 12))
+    assert parts == [(0, 2), (2, 1), (3, 3), (6, 1), (7, 1)]
+    assert list(common.slices(np.zeros(0, int), 3, 12)) == []
+
+
+def test_sample_shuffles_labelled_texts_only(spark, monkeypatch):
+    plans = {}
+    whole = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or whole(df, name))
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = common.labelled_sample(docs, marks, "quality", 5000, 1, 4, 2)
+    known = {r["doc_id"]: r["quality"] for r in marks.where("quality is not null").collect()}
+    rows = got.collect()
+    assert rows and all(r["label"] == known[r["doc_id"]] for r in rows)
+    physical = plans["sample"].split("== Physical Plan ==")[1]
+    # the join with the broadcast ids lies below the only shuffle of texts
+    assert "SortMergeJoin" not in physical and physical.index("Exchange hashpartitioning") < physical.index("BroadcastHashJoin")
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     rows = langid.identify(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
@@ -156,8 +199,20 @@ def test_rule_statistics_equal_brute_force(spark, odd_docs, no_docs):
     joined = quality_rules.with_statistics(docs, "doc_id", "text")
     for r in joined.collect():
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_statistics(r["text"])[:5], r["text"]
-    out = quality_rules.judge(docs, [quality_rules.Rule((quality_rules.Test("symbols_per_word", True, 0.2),), False)])
-    assert out.count() == docs.count() and not out.where("base_failed and kept").count()
+    test, rule = quality_rules.Test, quality_rules.Rule
+    rules = [
+        rule((test("n_words", True, 200.0), test("distinct_share", False, 0.5)), True),
+        rule((test("symbols_per_word", True, 0.2),), False), rule((test("chars_per_word", False, 4.5), test("n_words", True, 20.0)), False), rule((), True),
+    ]
+    # every answer against the plain statistics and the list applied in numpy
+    answers = quality_rules.judge(docs, rules).collect()
+    stats = quality_rules.with_statistics(docs, "doc_id", "text").collect()
+    x = np.array([[float(r[c]) for c in quality_rules.TESTED] for r in stats])
+    want = Counter()
+    for r, kept in zip(stats, quality_rules.decide(rules, x), strict=True):
+        *figures, failed = plain_statistics(r["text"])
+        want[(r["doc_id"], *figures, failed, bool(kept) and not failed)] += 1
+    assert Counter(map(tuple, answers)) == want and len({r["kept"] for r in answers}) == 2
     marks = labels(spark, odd_docs)
     assert quality_rules.judge(no_docs, quality_rules.fit(no_docs, marks)).count() == 0
     assert isinstance(quality_rules.fit(odd_docs, marks), list)
@@ -169,7 +224,137 @@ def test_sequential_covering_finds_planted_rules():
     a, b = quality_rules.TESTED.index("symbols_per_word"), quality_rules.TESTED.index("distinct_share")
     good = ~((x[:, a] > 0.8) | ((x[:, b] < 0.2) & (x[:, 0] > 0.5)))
     rules = quality_rules.learn(x, good)
-    bad = np.zeros(len(x), bool)
-    for r in rules:
-        bad |= r.holds(x)
-    assert (bad == ~good).mean() > 0.97 and 2 <= len(rules) <= 8
+    assert (quality_rules.decide(rules, x) == good).mean() > 0.97 and 2 <= len(rules) <= 9
+    assert quality_rules.learn(x[:0], good[:0]) == [quality_rules.Rule((), True)]
+
+
+def test_order_of_rules_matters():
+    rng = np.random.default_rng(10)
+    x = rng.random((4000, len(quality_rules.TESTED)))
+    a, b = quality_rules.TESTED.index("symbols_per_word"), quality_rules.TESTED.index("distinct_share")
+    good = (x[:, a] > 0.7) | (x[:, b] > 0.4)  # what is rich in symbols stays, however few words differ
+    rules = quality_rules.learn(x, good)
+    assert {r.keep for r in rules[:-1]} == {True, False}
+    assert (quality_rules.decide(rules, x) == good).mean() > 0.98
+    assert (quality_rules.decide(rules[::-1], x) == good).mean() < 0.9
+
+
+def plain_features(text, words, starts):
+    """The figures of a text, token by token, as the operator's docstrings define them."""
+    toks = toxicity.tokens_of(text)
+    n, out = max(1, len(toks)), dict.fromkeys(toxicity.NAMES, 0.0)
+    raw = text.encode("utf-8", "surrogatepass")
+    stretch = [i for i in range(2, len(raw)) if raw[i] == raw[i - 1] == raw[i - 2] and (raw[i] >= 128 or chr(raw[i]).isalpha())]
+    kind = {}
+    for t in set(toks):
+        folded = re.sub(r"(.)\1{2,}", r"\1", t)
+        beginnings = [(starts[t[:k]], -k) for k in toxicity.BEGINNINGS if t[:k] in starts]
+        if t in words:
+            kind[t] = ("lex", t, words[t])
+        elif t and not t.isalpha():
+            if toxicity.plain_form(t) in words:
+                kind[t] = ("hidden", t, 0.0)
+        elif len(t) >= 4 and stretch and folded != t and folded in words:
+            kind[t] = ("hidden", t, 0.0)
+        elif len(t) >= 4 and beginnings:
+            weight, k = max(beginnings)
+            kind[t] = ("start", t[:-k], weight)
+    runs, run = [], []
+    if sum(len(t) == 1 for t in set(toks)) >= 3:
+        for t in [*toks, ""]:
+            if len(t) == 1 and t.isalpha():
+                run.append(t)
+            else:
+                runs += ["".join(run)] if len(run) >= 4 else []
+                run = []
+    you = [i for i, t in enumerate(toks) if t in toxicity.SECOND_PERSON]
+    of = lambda k: [i for i, t in enumerate(toks) if kind.get(t, ("",))[0] == k]
+    lex, hidden, start = of("lex"), of("hidden"), of("start")
+    spelled = [s for s in runs if s in words]
+    own = {t: w for t, (k, _, w) in kind.items() if k == "lex"}
+    begun = {(b, w) for k, b, w in kind.values() if k == "start"}
+    begun_all = [(b, w) for k, b, w in kind.values() if k == "start"]
+    hidden_all = {t for t, (k, _, _) in kind.items() if k == "hidden"} | set(spelled)
+    out |= {"log_words": np.log1p(len(toks)), "lex_hits": len(lex), "lex_density": len(lex) / n, "lex_distinct": len(own), "lex_weight": sum(own.values()), "lex_top": max(own.values(), default=0)}
+    out |= {"start_hits": len(start), "start_density": len(start) / n, "start_distinct": len(begun), "start_weight": sum(w for _, w in begun_all), "start_top": max((w for _, w in begun_all), default=0)}
+    out |= {"hidden_hits": len(hidden) + len(spelled), "hidden_density": (len(hidden) + len(spelled)) / n, "any_distinct": len(own) + len(hidden_all)}
+    out |= {"you_density": len(you) / n, "you_near": sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in lex + hidden)}
+    upper, lower = (sum(lo <= c <= hi for c in raw) for lo, hi in ((65, 90), (97, 122)))
+    out |= {"capitals": upper / max(1, upper + lower), "bangs": raw.count(b"!") / n, "punctuation": sum(chr(c) in ".,;:?'\"()-" for c in raw) / n}
+    out |= {"signs": sum(32 < c < 128 and not chr(c).isalnum() and chr(c) not in "!.,;:?'\"()-" for c in raw) / n, "digits": sum(48 <= c <= 57 for c in raw) / max(1, len(raw))}
+    mixed = [t for t in toks if t and not t.isalpha() and re.search(r"[^\W\d_]", t) and re.search(r"[^\w]|\d|_", t) and t not in toxicity.SECOND_PERSON and t not in own and kind.get(t, ("",))[0] != "hidden"]
+    disguised = [i for i in hidden if not toks[i].isalpha() and re.search(r"[^\W\d_]", toks[i])]
+    return out | {"mixed_words": (len(mixed) + len(disguised)) / n, "stretched": len(stretch) / n, "spelled": len(runs) / n}
+
+
+def test_toxicity_features_equal_a_plain_version(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks)
+    extra = ["", "You 1diot, stup1d y0u!!! s t u p i d", "aaaa bbbb!!! ###", "ÉÉÉ ßßß"]
+    some = [r["text"] for r in docs.limit(150).collect()] + [r["text"] for r in docs.join(marks.where("toxic = 1"), "doc_id").limit(60).collect()] + extra
+    lexicon = dict(list(model.words.items())[:50]) | {"stupid": 2.0, "idiot": 1.5}
+    for t in some:
+        want = plain_features(t, lexicon, model.starts)
+        got = dict(zip(toxicity.NAMES, toxicity.features(t, lexicon, model.starts), strict=True))
+        assert got == pytest.approx(want), t[:200]
+    # the trees, row by row and node by node
+    x = np.array([toxicity.features(t, model.words, model.starts) for t in some])
+    for row, margin in zip(x, model.trees.margin(x), strict=True):
+        total = model.trees.start
+        for f, th, leaf in zip(model.trees.feature, model.trees.threshold, model.trees.leaf, strict=True):
+            k = 0
+            while k < len(f):
+                k = 2 * k + (2 if row[f[k]] > th[k] else 1)
+            total += leaf[k - len(f)]
+        assert margin == pytest.approx(total)
+
+
+def test_lexicon_of_a_fold_has_not_seen_it(spark):
+    rows = [(f"only{i % 2}x word{i % 2}y und", 1, i % 2) for i in range(40)] + [("clean words here", 0, i % 2) for i in range(200)]
+    sample = spark.createDataFrame(rows, "text string, label int, fold int")
+    whole, (first, second) = toxicity.learn_lexicons(sample.repartition(3), folds=2)
+    assert not any(w.isalpha() for w in whole[0] if any(c.isdigit() for c in w)) and set(whole[0]) == {"und"}
+    rows = [(f"{'abe'[i % 2] * 4}rt und", 1, i % 2) for i in range(40)] + [("clean words here", 0, i % 2) for i in range(200)]
+    whole, (first, second) = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"), folds=2)
+    assert set(whole[0]) == {"aaaart", "bbbbrt", "und"} and set(first[0]) == {"bbbbrt", "und"} and set(second[0]) == {"aaaart", "und"}
+
+
+def test_attention_model_equals_a_plain_forward_pass():
+    texts = [words(n, n) for n in (1, 63, 64, 65, 400)] + ["", "Zeile\nnoch eine ###", "a a a a b b c é ß " * 30]
+    model = quality_mil.train([quality_mil.encode(t) for t in texts], np.arange(len(texts)) % 2.0, epochs=2)
+    bags = [quality_mil.encode(t) for t in texts]
+    together, _ = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))
+    w, b, v, u, a, c, d = model.params
+    for bag, p in zip(bags, together, strict=True):
+        hidden, raw = [], []
+        for x in bag:
+            h = np.maximum(np.clip((x - model.mean) / model.scale, -6, 6) @ w + b, 0)
+            hidden.append(h)
+            raw.append(float((np.tanh(h @ v) / (1 + np.exp(-(h @ u)))) @ a))
+        e = np.exp(np.array(raw) - max(raw))
+        pooled = sum(x * k for x, k in zip(hidden, e / e.sum(), strict=True))
+        assert p == pytest.approx(1 / (1 + np.exp(-(pooled @ c + d[0]))), rel=1e-4)
+
+
+def test_passages_are_encoded_as_defined():
+    text = " ".join(["Abc", "abc", "x1", "x1", "longwordofmorethantwenty"] * 30) + "\nlast !!"
+    tokens = text.split()
+    got = quality_mil.encode(text)
+    assert got.shape == (-(-len(tokens) // quality_mil.PASSAGE), quality_mil.SIZE)
+    seen = set()
+    for i, row in enumerate(got):
+        own = tokens[i * quality_mil.PASSAGE : (i + 1) * quality_mil.PASSAGE]
+        at = range(i * quality_mil.PASSAGE, i * quality_mil.PASSAGE + len(own))
+        repeats = len(own) - len(set(own))
+        same = sum(tokens[k] == tokens[k + 1] for k in at if k + 1 < len(tokens) and k + 1 in at) + (i > 0 and tokens[at[0]] == tokens[at[0] - 1])
+        old = 0
+        for k in at:
+            if k + 2 < len(tokens):
+                triple = tuple(tokens[k : k + 3])
+                old += triple in seen
+                seen.add(triple)
+        tail = [repeats / len(own), same / len(own), old / len(own), sum(map(len, own)) / len(own) / 10, sum(len(t) > 20 for t in own) / len(own), len(own) / quality_mil.PASSAGE]
+        assert row[-6:] == pytest.approx(tail)
+    backwards = quality_mil.encode(" ".join(t[::-1] for t in tokens))
+    letters = slice(quality_mil._KINDS * (quality_mil._KINDS + 1), quality_mil._KINDS * (quality_mil._KINDS + 1) + quality_mil.TRIGRAMS)
+    assert np.abs(got[:, letters] - backwards[:, letters]).max() > 0.1 and got[:, letters].sum() > 0
