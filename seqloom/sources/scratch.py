@@ -49,7 +49,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["_scratch_path"] = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,7 +60,7 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, folder)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` returned and nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, vars(table)["_scratch_path"])
