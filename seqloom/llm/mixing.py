@@ -83,33 +83,29 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
 
 
-def _certain(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """``goals`` with ``from_size``: documents of that size or more are certain; ``left`` and ``squares`` are of the others.
+def _certain(counted: DataFrame) -> DataFrame:
+    """``counted(source, size, words, source_size, target)`` -> a row per source with target, certain copies and certain sizes.
 
+    ``from_size``: documents of that size or more are certain; ``left`` and ``squares`` are of the others.
     Sizes are walked from the largest down, each taken for certain if the larger ones gone it would
     be included with a probability of one or more; once a size is not, no smaller one is. Goes by the
     different sizes of a source, not by its documents.
     """
-    squared = F.col("size").cast("decimal(38,0)") * F.col("size") * F.col("n")
-    counted = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).select("source", "size", (F.col("size") * F.col("n")).alias("words"), squared.cast("decimal(38,0)").alias("square"))
-    above = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    walked = counted.withColumn("words_above", before("words")).withColumn("squares_above", before("square").cast("decimal(38,0)"))
-    whole = walked.groupBy("source").agg(F.sum("square").cast("decimal(38,0)").alias("all_squares")).withColumnRenamed("source", "q")
-    joined = (
-        walked.join(goals.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
-        .join(whole, F.col("source").eqNullSafe(F.col("q")))
-        .withColumn("left", F.col("left") - F.col("words_above"))
-        .withColumn("squares", (F.col("all_squares") - F.col("squares_above")).cast("double"))
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sure_copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    walked = (
+        counted.withColumn("sure", sure_copies)
+        .withColumn("squares", F.sum((F.col("words").cast("decimal(38,0)") * F.col("size")).cast("decimal(38,0)")).over(below).cast("double"))
+        .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size") - F.coalesce(F.sum("words").over(above), F.lit(0)))
     )
-    sure = (F.col("left") > 0) & (F.col("left") * F.col("size") / F.col("squares") >= 1)
-    ends = joined.groupBy(F.col("source").alias("s")).agg(
-        F.min(F.when(sure, F.col("size"))).alias("from_size"),
-        F.max(F.when(~sure, F.struct("size", "left", "squares"))).alias("rest"),
-    )
-    return goals.drop("left").join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        *[c for c in goals.columns if c != "left"], "from_size", F.coalesce("rest.left", F.lit(0.0)).alias("left"), F.col("rest.squares").alias("squares")
+    certain = (F.col("left") > 0) & (F.col("squares") > 0) & (F.col("left") * F.col("size") / F.col("squares") >= 1)
+    ends = walked.groupBy("source").agg(
+        *[F.first(c).alias(c) for c in ("source_size", "target", "sure")],
+        F.min(F.when(certain, F.col("size"))).alias("from_size"),
+        F.max(F.when(~certain & (F.col("size") > 0), F.struct("size", "left", "squares"))).alias("rest"),
     )
+    return ends.select("source", "source_size", "target", "sure", "from_size", F.coalesce("rest.left", F.lit(0.0)).alias("left"), F.col("rest.squares").alias("squares"))
 
 
 def _ranked(sized: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
@@ -128,21 +124,16 @@ def cutoffs(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     The sample holds the bins before ``last_bin`` and, in that bin, what is ordered up to ``cut``.
     ``last_bin`` is null where all documents with a rank belong to it.
     """
-    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    goals = targets(sources, weights, share, most).withColumnRenamed("source", "s").drop("source_size")
-    due = (
-        sources.join(goals, F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size"))
-    )
-    goals = materialize(_certain(sized, due), "mix-goals")
+    # a row for each source and size: what a source's target and its certain documents go by
+    counted = materialize(sized.groupBy("source", "size").agg(F.sum("size").alias("words")), "mix-counted")
+    goals = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnRenamed("source", "s")
+    goals = materialize(_certain(counted.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s")), "mix-goals")
     ranked = _ranked(sized, goals, bins).where("bin is not null").select("source", "left", "bin", *ORDER)
     # words of each bin, and of all bins before it: at most `bins` rows a source
-    counted = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    of_bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words")
     ending = materialize(
-        counted.withColumn("before", before)
+        of_bins.withColumn("before", before)
         .where((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
         .select(F.col("source").alias("s"), F.col("bin").alias("last_bin"), "before"),
         "mix-bins",
@@ -155,8 +146,7 @@ def cutoffs(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     cuts = inside.where(chosen).groupBy("s").agg(F.max(F.struct(*ORDER)).alias("cut")).withColumnRenamed("s", "c")
     ends = ending.drop("before").join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")
     out = materialize(goals.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cutoffs")
-    for scratch in (sources, goals, ending):
-        discard(scratch)
+    discard(counted, goals, ending)
     return out
 
 
