@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def mixed_as_sql(docs, spark, **options):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())  # pandas would make ids with nulls doubles
     want = con.sql(mixing.oracle()).df()
-    listed = lambda t: Counter((None if a != a or a is None else int(a), int(b), int(c)) for a, b, c in zip(t.doc_id, t["size"], t.taken, strict=True))
+    listed = lambda t: Counter((None if pd.isna(a) else int(a), int(b), int(c)) for a, b, c in zip(t.doc_id, t["size"], t.taken, strict=True))
     rows = got.toPandas()
     assert listed(rows) == listed(want)
     return rows
