@@ -93,13 +93,14 @@ def _certain(counted: DataFrame) -> DataFrame:
     """
     down = Window.partitionBy("source").orderBy(F.desc("size"))
     above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    sure_copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    sure_copies = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     walked = (
         counted.withColumn("sure", sure_copies)
         .withColumn("squares", F.sum((F.col("words").cast("decimal(38,0)") * F.col("size")).cast("decimal(38,0)")).over(below).cast("double"))
         .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size") - F.coalesce(F.sum("words").over(above), F.lit(0)))
     )
-    certain = (F.col("left") > 0) & (F.col("squares") > 0) & (F.col("left") * F.col("size") / F.col("squares") >= 1)
+    # a source without words has no squares
+    certain = (F.col("left") > 0) & F.coalesce(F.try_divide(F.col("left") * F.col("size"), "squares") >= 1, F.lit(False))
     ends = walked.groupBy("source").agg(
         *[F.first(c).alias(c) for c in ("source_size", "target", "sure")],
         F.min(F.when(certain, F.col("size"))).alias("from_size"),
@@ -114,7 +115,8 @@ def _ranked(sized: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
     certain = F.coalesce(F.col("size") >= F.col("from_size"), F.lit(False))
     chance = F.col("left") * F.col("size") / F.col("squares")
     u = uniform(F.col("doc_id"), F.col("text_hash"), F.col("number"))
-    rank = F.when((F.col("size") > 0) & ~F.col("certain") & (F.col("left") > 0), (u / (1 - u)) / (chance / (1 - chance)))
+    odds = F.try_divide(chance, 1 - chance)  # certain documents have none
+    rank = F.when((F.col("size") > 0) & ~F.col("certain") & (F.col("left") > 0), F.try_divide(u / (1 - u), odds))
     return joined.withColumn("certain", certain).withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
 
 
