@@ -34,7 +34,11 @@ def pieces(run: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.substring(raw, i, F.lit(PIECE + k - 1)))
 
 
-def windows(piece: Column, k: int) -> Column:
-    """All windows of length k of a binary piece, as strings; binary substrings cost no scan of what is before them."""
-    at = F.sequence(F.lit(1), F.octet_length(piece) - (k - 1))
-    return F.transform(at, lambda i: F.substring(piece, i, F.lit(k)).cast("string"))
+def starts(piece: Column, k: int) -> Column:
+    """Places at which a window of length k of a binary piece begins, from one."""
+    return F.sequence(F.lit(1), F.octet_length(piece) - (k - 1))
+
+
+def window(piece: Column, at: Column, k: int) -> Column:
+    """The window of a binary piece that begins at ``at``, as a string; binary substrings cost no scan of what is before them."""
+    return F.substring(piece, at, F.lit(k)).cast("string")

@@ -23,9 +23,11 @@ def extract(reads: DataFrame, k: int, canonical: bool = True, keep: Sequence[str
 
     ``keep`` names the columns carried along in place of ``sample``.
     """
-    runs = reads.where(F.col("seq").isNotNull()).select(*keep, F.explode(kmers.runs(F.col("seq"), k)).alias("run"))
-    parts = runs.select(*keep, F.explode(kmers.pieces(F.col("run"), k)).alias("piece"))
-    cut = parts.select(*keep, F.explode(kmers.windows(F.col("piece"), k)).alias("kmer"))
+    pieces = F.flatten(F.transform(kmers.runs(F.col("seq"), k), lambda run: kmers.pieces(run, k)))
+    parts = reads.where(F.col("seq").isNotNull()).select(*keep, F.explode(pieces).alias("piece"))
+    # windows are cut in generated code, a row each; a function over an array would be interpreted
+    places = parts.select(*keep, "piece", F.explode(kmers.starts(F.col("piece"), k)).alias("at"))
+    cut = places.select(*keep, kmers.window(F.col("piece"), F.col("at"), k).alias("kmer"))
     return cut.withColumn("kmer", kmers.canonical(F.col("kmer"))) if canonical else cut
 
 

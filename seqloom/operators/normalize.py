@@ -6,13 +6,20 @@ quantiles a value per sample and count.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.scratch import discard, materialize
+
 #: Bytes up to which a quantile table is looked up as broadcast arrays; beyond, by a join.
 LOOKUP_BYTES = 64 << 20
+#: Ranges a unit of log-ratio in which values are counted before medians are taken.
+RANGES = 1024
+#: Ranges of ranks that are summed up apart for quantiles.
+PLACES = 1024
 
 
 @dataclass
@@ -54,7 +61,8 @@ class Quantiles:
 
     def _by_join(self, matrix: DataFrame, out: str) -> DataFrame:
         cells = matrix.select("kmer", F.posexplode("counts").alias("sample", "value")).join(self.mapping, ["sample", "value"], "left")
-        rows = cells.groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("sample", "mapped"))).alias("c"))
+        mapped = F.coalesce("mapped", F.raise_error(F.lit("count not learned")).cast("double"))
+        rows = cells.withColumn("mapped", mapped).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("sample", "mapped"))).alias("c"))
         return matrix.join(rows.select("kmer", F.transform("c", lambda c: c["mapped"]).alias(out)), "kmer")
 
 
@@ -64,16 +72,41 @@ def learn_frequency(matrix: DataFrame, samples: int) -> Factors:
     return Factors("freq", [1.0 / s if s else 0.0 for s in (sums[f"s{i}"] for i in range(samples))])
 
 
+def medians(cells: DataFrame) -> dict[int, float]:
+    """``cells(sample, value)`` -> each sample's exact median.
+
+    Values are counted by narrow ranges first. Only those in the one or two ranges that hold a
+    sample's middle are looked at again, grouped by value, so no task ever holds a sample's values.
+    """
+    of_range = cells.withColumn("part", F.floor(F.col("value") * RANGES).cast("long"))
+    counted = of_range.groupBy("sample", "part").agg(F.count(F.lit(1)).alias("n"))
+    upward, whole = Window.partitionBy("sample").orderBy("part"), Window.partitionBy("sample")
+    placed = counted.withColumn("upto", F.sum("n").over(upward)).withColumn("total", F.sum("n").over(whole))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1  # ranks of the middle, from one
+    middle = materialize(
+        placed.withColumn("low", low).withColumn("high", high).where("upto >= low and upto - n < high")
+        .select("sample", "part", (F.col("upto") - F.col("n")).alias("before"), "low", "high"), "median-ranges",
+    )
+    # at most two rows a sample
+    inside = of_range.join(F.broadcast(middle), ["sample", "part"]).groupBy("sample", "part", "before", "low", "high", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("sample", "part").orderBy("value")))
+    ends = ranked.where("upto >= low and upto - n < high").groupBy("sample").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    out = {r["sample"]: (r["a"] + r["b"]) / 2 for r in ends.collect()}  # a row per sample
+    discard(middle)
+    return out
+
+
 def learn_deseq(matrix: DataFrame, samples: int) -> Factors:
-    """Median of ratios to the row's geometric mean, over rows without zeros; one where there is no such row."""
+    """Median of ratios to the row's geometric mean, over rows without zeros; one where there is no such row.
+
+    The matrix is read twice: keep it before, if it is not a table yet.
+    """
     full = matrix.where(F.forall("counts", lambda c: c > 0))
     logs = full.select(F.transform("counts", lambda c: F.ln(c)).alias("l"))
     mean = F.aggregate("l", F.lit(0.0), lambda a, x: a + x) / samples
-    ratios = logs.withColumn("m", mean).select(*[(F.col("l")[i] - F.col("m")).alias(f"r{i}") for i in range(samples)])
-    medians = ratios.agg(*[F.percentile(f"r{i}", 0.5).alias(f"r{i}") for i in range(samples)]).first()
-    import math
-
-    return Factors("deseq", [1.0 / math.exp(medians[f"r{i}"] or 0.0) for i in range(samples)])
+    ratios = logs.withColumn("m", mean).select(F.posexplode(F.transform("l", lambda x: x - F.col("m"))).alias("sample", "value"))
+    found = medians(ratios)
+    return Factors("deseq", [1.0 / math.exp(found.get(i, 0.0)) for i in range(samples)])
 
 
 def learn_deseq_frequency(matrix: DataFrame, samples: int) -> Factors:
@@ -86,29 +119,38 @@ def learn_quantiles(matrix: DataFrame, samples: int) -> Quantiles:
     """The mean, over the ranks a count takes in its own sample, of the mean sorted profile of all samples.
 
     Works on histograms. The profile of all samples is a step function of the rank; its steps are
-    where any sample's sorted counts change, so running sums over those few places give it, and its
-    integral, everywhere it is needed.
+    where any sample's sorted counts change, so running sums over those few places give its integral
+    everywhere it is needed.
     """
     cells = matrix.select(F.posexplode("counts").alias("sample", "value"))
     histogram = cells.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n"))
     upward = Window.partitionBy("sample").orderBy("value")
-    spans = (
+    spans = materialize(
         histogram.withColumn("end", F.sum("n").over(upward))
         .withColumn("start", F.col("end") - F.col("n"))
-        .withColumn("jump", F.col("value") - F.coalesce(F.lag("value").over(upward), F.lit(0)))
-    )
-    steps = spans.groupBy(F.col("start").alias("at")).agg(F.sum("jump").alias("jump")).unionByName(
-        spans.agg(F.max("end").alias("at")).where("at is not null").select("at", F.lit(0).cast("long").alias("jump"))
+        .withColumn("jump", F.col("value") - F.coalesce(F.lag("value").over(upward), F.lit(0))),
+        "quantile-spans",
+    )
+    rows = spans.agg(F.max("end")).first()[0] or 1
+    whole = "decimal(38,0)"
+    # places where the profile changes, or is asked for, with the change and its first moment
+    steps = (
+        spans.select(F.col("start").alias("at"), "jump").unionByName(spans.select(F.col("end").alias("at"), F.lit(0).cast("long").alias("jump")))
+        .groupBy("at").agg(F.sum(F.col("jump").cast(whole)).cast(whole).alias("jump")).withColumn("moment", (F.col("jump") * F.col("at")).cast(whole))
+        .withColumn("part", F.floor(F.col("at") * PLACES / rows).cast("int"))
     )
-    # at most a row for each different count of each sample: rows of the histogram, not of the matrix
-    along = Window.orderBy("at")
-    level = F.sum("jump").over(along)
-    profile = steps.withColumn("level", level)
-    area = F.coalesce(F.lag("level").over(along), F.lit(0)) * (F.col("at") - F.coalesce(F.lag("at").over(along), F.lit(0)))
-    profile = profile.withColumn("area", area).select("at", F.sum("area").over(along).alias("area"))
+    # running sums inside ranges of places, and before them: a range is a task, and ranges are few
+    inside = Window.partitionBy("part").orderBy("at")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy("part").agg(*[F.sum(c).cast(whole).alias(c) for c in ("jump", "moment")])
+    offsets = sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast(whole).alias(f"{c}_before") for c in ("jump", "moment")])
+    total = lambda c: (F.sum(c).over(inside).cast(whole) + F.col(f"{c}_before")).cast(whole)
+    joined = steps.join(offsets, "part")
+    # the integral of a step function up to a place: place times the sum of changes, less the sum of their moments
+    profile = joined.select("at", (F.col("at") * total("jump") - total("moment")).cast(whole).alias("area"))
     left = profile.select(F.col("at").alias("start"), F.col("area").alias("from"))
     right = profile.select(F.col("at").alias("end"), F.col("area").alias("to"))
-    mapped = (F.col("to") - F.col("from")) / (F.col("n") * samples)
+    mapped = (F.col("to") - F.col("from")).cast("double") / (F.col("n") * samples)
     return Quantiles(spans.join(left, "start").join(right, "end").select("sample", "value", mapped.alias("mapped")), samples)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.scratch import materialize
+
 METHODS = ("b", "hb", "bh", "by")
 
 
@@ -19,7 +21,7 @@ def _ranked(df: DataFrame, p: str) -> DataFrame:
     distinct = df.where(~F.isnan(p) & F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     # ranges are cut by the logarithm of p, a thousand to a power of two: fixed, whatever the data
     part = F.when(F.col("p") > 0, F.floor(F.log2("p") * 1024).cast("int")).otherwise(-(1 << 30))
-    parts = distinct.withColumn("part", part).persist()  # read four times; the rows behind it only once
+    parts = materialize(distinct.withColumn("part", part), "p-values")  # read four times; the rows behind it only once
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("p"))

@@ -7,28 +7,37 @@ numbers) and the small rest is done with numpy on the driver; n is the number of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def gram(matrix: DataFrame, values: str, samples: int, centred: bool = True) -> np.ndarray:
-    """Sums over rows of products of samples' values, each row centred over the samples if asked."""
+    """Sums over rows of products of samples' values, each row centred over the samples if asked.
+
+    The matrix is read once. A task adds up the products of its rows, batch by batch, and passes on
+    a row for each pair of samples; Spark sums these.
+    """
+    upper = np.triu_indices(samples)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((samples, samples))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, samples)
+            if centred:
+                x = x - x.mean(axis=1, keepdims=True)
+            total += x.T @ x
+        columns = [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), pa.array(total[upper])]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "g"])
+
     rows = matrix.select(F.transform(values, lambda x: x.cast("double")).alias("v"))
-    if centred:
-        mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / samples
-        rows = rows.withColumn("m", mean).select(F.transform("v", lambda x: x - F.col("m")).alias("v"))
     out = np.zeros((samples, samples))
-    for i in range(samples):  # a job sums one line of products, which keeps generated code short
-        if i % 16 == 0:
-            block = range(i, min(i + 16, samples))
-            sums = [F.sum(F.col("v")[a] * F.col("v")[b]).alias(f"p{a}_{b}") for a in block for b in range(a, samples)]
-            got = rows.agg(*sums).first()
-            for a in block:
-                for b in range(a, samples):
-                    out[a, b] = out[b, a] = got[f"p{a}_{b}"] or 0.0
+    for r in rows.mapInArrow(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"]
     return out
 
 

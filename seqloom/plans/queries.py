@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, each with the SQL that gives the same rows.
 
 Documents serve as reads: their letters stand for bases, their source is the sample. Phenotypes are
-made from the sample's number.
+made from the sample's number. The matrix has a column for each of ``SAMPLES``; documents of another
+source, or of none, are an error, as they would have no column.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from seqloom.functions import kmers, rowstats
 from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, reduce, select
+from seqloom.sources import readers
+from seqloom.sources.scratch import materialize
 
 K = 6
 N = 20
@@ -31,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("sample"), kmers.pseudo_dna(F.col("text")).alias("seq"))
+    unknown = F.raise_error(F.concat(F.lit("no column for source "), F.coalesce("source", F.lit("null")))).cast("string")
+    sample = F.when(F.col("source").isin(SAMPLES), F.col("source")).otherwise(unknown)
+    documents = readers.spread(table(spark, sf_dir, "documents").select("source", "text"))
+    return documents.select(sample.alias("sample"), kmers.pseudo_dna(F.col("text")).alias("seq"))
 
 
 def base(spark: SparkSession, sf_dir: str, canonical: bool = True, **cutoffs) -> DataFrame:
@@ -39,7 +45,7 @@ def base(spark: SparkSession, sf_dir: str, canonical: bool = True, **cutoffs) ->
 
 
 def normalized(spark: SparkSession, sf_dir: str, method: str = "deseq") -> DataFrame:
-    matrix = base(spark, sf_dir)
+    matrix = materialize(base(spark, sf_dir), "matrix")  # read to learn and to transform, counted once
     return normalize.learn(matrix, N, method).transform(matrix)
 
 
@@ -54,7 +60,7 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 def anova_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANOVA of every row, kept for the passes of a correction."""
-    return rowstats.anova(normalized(spark, sf_dir), "norm", THREE).select("kmer", "anova_p").persist()
+    return materialize(rowstats.anova(normalized(spark, sf_dir), "norm", THREE).select("kmer", "anova_p"), "anova")
 
 
 def benchmark_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +136,13 @@ fst AS (SELECT kmer, (b / 2) / ((q - s * s / {N} - b) / {N - 3}) AS f FROM bg JO
 pv AS (SELECT kmer, f, power(1 + 2 * f / {N - 3}, -{N - 3} / 2.0) AS p FROM fst)"""
 
 
+def simpson(term: str, upto: str, steps: int = 400) -> str:
+    """The integral of ``term`` in {{x}} from 0 to ``upto``."""
+    at = term.format(x=f"({upto} * g / {steps})")
+    return f"""({upto}) / {3 * steps} * list_sum(list_transform(range({steps + 1}), lambda g:
+       (CASE WHEN g = 0 OR g = {steps} THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END) * {at}))"""
+
+
 def dids_sql(f: str) -> str:
     return f"""mxs AS (SELECT kmer, i % 3 AS c, greatest(0, max(v)) AS m FROM norm GROUP BY ALL),
 exc AS (SELECT n.kmer, m.c, sum(CASE WHEN n.v > m.m THEN {f.format(d='(n.v - m.m)')} ELSE 0 END) AS s
@@ -298,7 +311,14 @@ tt AS (SELECT kmer, CASE WHEN v0 + v1 = 0 THEN 'nan'::DOUBLE ELSE (m0 - m1) / sq
         lambda s, d: rounded(rowstats.welch(base(s, d), "counts", TWO, pvalue=False), "ttest_stat", "ttest_df"),
         sql(cells(), plain, moments("log2(v + 1)"), welch, select="SELECT kmer, round(t, 6) AS ttest_stat, round(df, 6) AS ttest_df FROM tt"),
     )
-    register("ttest_full", lambda s, d: rounded(rowstats.welch(base(s, d), "counts", TWO), "ttest_p", "ttest_df", "ttest_stat"))
+    # P(|T| >= t) = 1 - 2 / B(1/2, df/2) * integral of cos(a) ** (df - 1) from 0 to atan(t / sqrt(df)), by Simpson's rule
+    tail = f"""tp AS (SELECT kmer, t, df, CASE WHEN isnan(t) THEN 'nan'::DOUBLE ELSE greatest(0, least(1, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())
+       * {simpson("power(cos({x}), df - 1)", "atan(abs(t) / sqrt(df))")})) END AS p FROM tt)"""
+    register(
+        "ttest_full",
+        lambda s, d: rounded(rowstats.welch(base(s, d), "counts", TWO), "ttest_p", "ttest_df", "ttest_stat"),
+        sql(cells(), plain, moments("log2(v + 1)"), welch, tail, select="SELECT kmer, round(p, 6) AS ttest_p, round(df, 6) AS ttest_df, round(t, 6) AS ttest_stat FROM tp"),
+    )
     pooled = "sqrt(((n0 - 1) * s0 * s0 + (n1 - 1) * s1 * s1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1))"
     register(
         "student_stat",
@@ -319,7 +339,16 @@ tt AS (SELECT kmer, CASE WHEN v0 + v1 = 0 THEN 'nan'::DOUBLE ELSE (m0 - m1) / sq
         lambda s, d: rounded(rowstats.rank_sum(normalized(s, d), "norm", TWO, pvalue=False), "wrs_u1", "wrs_u2"),
         sql(cells(), DESEQ, RANKED, select=f"SELECT kmer, round({u1}, 6) AS wrs_u1, round({(N // 2) ** 2} - ({u1}), 6) AS wrs_u2 FROM rk GROUP BY kmer"),
     )
-    register("wrs_full", lambda s, d: rounded(rowstats.rank_sum(normalized(s, d), "norm", TWO), "wrs_p", "wrs_u1", "wrs_u2"))
+    half = N // 2
+    us = f"""us AS (SELECT kmer, {u1} AS u1, {half**2} - ({u1}) AS u2 FROM rk GROUP BY kmer),
+tied AS (SELECT kmer, sum(t * t * t - t) AS ties FROM (SELECT kmer, v, count(*)::DOUBLE AS t FROM norm GROUP BY ALL) GROUP BY kmer),
+zs AS (SELECT kmer, u1, u2, (greatest(u1, u2) - {half**2 / 2} - 0.5) / nullif(sqrt({half**2 / 2} / 6 * ({N + 1} - ties / {N * (N - 1)})), 0) AS z FROM us JOIN tied USING (kmer)),
+wp AS (SELECT kmer, u1, u2, CASE WHEN z IS NULL OR z <= 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(2 * pi()) * {simpson("exp(-{x} * {x} / 2)", "z")}) END AS p FROM zs)"""
+    register(
+        "wrs_full",
+        lambda s, d: rounded(rowstats.rank_sum(normalized(s, d), "norm", TWO), "wrs_p", "wrs_u1", "wrs_u2"),
+        sql(cells(), DESEQ, RANKED, us, select="SELECT kmer, round(p, 6) AS wrs_p, round(u1, 6) AS wrs_u1, round(u2, 6) AS wrs_u2 FROM wp"),
+    )
     register(
         "anova",
         lambda s, d: rounded(rowstats.anova(normalized(s, d), "norm", THREE), "anova_p", "anova_stat"),
@@ -378,14 +407,12 @@ def _top() -> None:
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalized(spark, sf_dir, "freq").withColumn("norm", F.transform("norm", lambda x: x * 10_000)).persist()
+    return normalized(spark, sf_dir, "freq").withColumn("norm", F.transform("norm", lambda x: x * 10_000))
 
 
 def _reduction() -> None:
     def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _scaled(spark, sf_dir)
-        g = reduce.gram(rows, "norm", N)
-        rows.unpersist()
+        g = reduce.gram(_scaled(spark, sf_dir), "norm", N)
         listed = [(i, j, round(float(g[i, j]), 4)) for i in range(N) for j in range(i, N)]
         return spark.createDataFrame(listed, "i long, j long, g double")
 
@@ -394,6 +421,31 @@ def _reduction() -> None:
         "pca_gram", gram,
         sql(cells(), FREQ, centred, select="SELECT a.i AS i, b.i AS j, round(sum(a.a * b.a), 4) AS g FROM ctr a JOIN ctr b ON a.kmer = b.kmer AND a.i <= b.i GROUP BY ALL"),
     )
+    # sums of powers of the variances are traces of powers of the products, and distances of all scores are the samples' own
+    gram_ctes = (
+        "g AS (SELECT a.i AS i, b.i AS j, sum(a.a * b.a) AS g FROM ctr a JOIN ctr b ON a.kmer = b.kmer GROUP BY ALL)",
+        "g2 AS (SELECT a.i AS i, b.j AS j, sum(a.g * b.g) AS g FROM g a JOIN g b ON a.j = b.i GROUP BY ALL)",
+    )
+    traces = f"""t1 AS (SELECT sum(g) AS t FROM g WHERE i = j)
+SELECT 1::BIGINT AS power, round(t / {N - 1}, 4) AS total FROM t1
+UNION ALL SELECT 2, round(sum(g / t / t), 8) FROM g2, t1 WHERE i = j
+UNION ALL SELECT 3, round(sum(a.g / t * b.g / t / t), 8) FROM g a JOIN g2 b ON a.i = b.j AND a.j = b.i, t1"""
+
+    def variance_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = reduce.pca(_scaled(spark, sf_dir), "norm", N)
+        rows = [(1, round(float(found.variance.sum()), 4)), *((k, round(float((found.ratio**k).sum()), 8)) for k in (2, 3))]
+        return spark.createDataFrame(rows, "power long, total double")
+
+    def score_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = reduce.pca(_scaled(spark, sf_dir), "norm", N, N - 1).scores
+        rows = [(i, j, round(float(((at[i] - at[j]) ** 2).sum()), 4)) for i in range(N) for j in range(i + 1, N)]
+        return spark.createDataFrame(rows, "i long, j long, d2 double")
+
+    register("pca_variance_powers", variance_powers, "WITH " + ",\n".join([cells(), FREQ, centred, *gram_ctes, traces]))
+    register(
+        "pca_score_distances", score_distances,
+        sql(cells(), FREQ, select="SELECT a.i AS i, b.i AS j, round(sum((10000 * a.v - 10000 * b.v) * (10000 * a.v - 10000 * b.v)), 4) AS d2 FROM norm a JOIN norm b ON a.kmer = b.kmer AND a.i < b.i GROUP BY ALL"),
+    )
     register("pca_scores", lambda s, d: reduce.coordinates_table(s, reduce.pca(_scaled(s, d), "norm", N).scores, "PCA", SAMPLES))
     register("pca_variance", lambda s, d: reduce.variance_table(s, reduce.pca(_scaled(s, d), "norm", N), 1 << 30))
     register("umap", lambda s, d: reduce.coordinates_table(s, reduce.umap(_scaled(s, d), "norm", N), "UMAP", SAMPLES))

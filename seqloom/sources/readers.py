@@ -19,6 +19,16 @@ class Sample:
     paths: tuple[str, ...]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan that has fewer parts than the session can work on at once, dealt out evenly.
+
+    Compressed files and small tables are read in one piece each. A scan of many parts, as a large
+    table's, is left alone.
+    """
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def _lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a small text file, in order."""
     text = spark.read.text(path, wholetext=True).collect()
@@ -86,7 +96,7 @@ def reads(spark: SparkSession, samples: Sequence[Sample], fmt: str = "fq") -> Da
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return spread(out)
 
 
 def filter_sequences(spark: SparkSession, path: str, k: int) -> DataFrame:

@@ -10,20 +10,31 @@ from pyspark.sql import functions as F
 
 
 def number(value: Column) -> Column:
-    """A double as text: six significant digits, without trailing zeros; nan, inf and -inf in lower case."""
-    digits = F.format_string("%.5e", value)
-    mantissa, power = F.split(digits, "e")[0], F.split(digits, "e")[1].cast("int")
-    short = F.regexp_replace(F.regexp_replace(mantissa, "0+$", ""), r"\.$", "")
-    places = F.greatest(F.lit(5) - power, F.lit(0))
-    fixed = F.coalesce(*[F.when(places == p, F.format_string(f"%.{p}f", value)) for p in range(10)])
-    fixed = F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
+    """A double as text of at most six significant digits; nan, inf and -inf in lower case.
+
+    The digits are those of the shortest decimal that gives the double, rounded half up to six if
+    there are more (zeros at the end then stay). Digits times a positive power of ten, and numbers
+    with more than three zeros after the point, are written with an exponent of a sign and two digits.
+    """
+    scientific = F.format_string("%.5e", F.abs(value))
+    power = F.get(F.split(scientific, "e"), F.lit(1)).cast("int")
+    six = F.translate(F.get(F.split(scientific, "e"), F.lit(0)), ".", "")
+    digits = F.when(scientific.cast("double") == F.abs(value), F.regexp_replace(six, "(?<=.)0+$", "")).otherwise(six)
+    n = F.length(digits)
+    shift = power - (n - 1)  # value = digits * 10 ** shift
+    exponent = F.concat(
+        F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 5))).otherwise(""),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(""), F.abs(power).cast("string"),
+    )
+    pointed = F.concat(F.substring(digits, F.lit(1), n + shift), F.lit("."), F.substring(digits, n + shift + 1, -shift))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - n), digits)
+    plain = F.when(shift == 0, digits).when((shift > 0) | (-shift >= n + 4), exponent).when(-shift < n, pointed).otherwise(small)
     return (
         F.when(value.isNull() | F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
         .when(value == 0, F.lit("0"))
-        .when((power >= -4) & (power < 6), fixed)
-        .otherwise(F.concat(short, F.lit("e"), power.cast("string")))
+        .otherwise(F.concat(F.when(value < 0, F.lit("-")).otherwise(""), plain))
     )
 
 
