@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle(), "op10_warc": warc.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op8_lattice": lattice.oracle(), "op10_warc": warc.oracle()}

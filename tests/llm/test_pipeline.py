@@ -11,7 +11,7 @@ import corpus_pipeline
 from seqloom.llm import common, langid, mixing, toxicity
 from seqloom.llm.queries import tokenizer_path
 
-from .test_near_duplicates import Union, plain_fingerprint
+from .test_shingles import brute
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -45,7 +45,8 @@ def test_language_stage(stages):
         data, p = (text or "").encode(), np.zeros(len(net.languages))
         for at in range(0, len(data), window):
             size = min(window, len(data) - at)
-            x = np.frombuffer(data[at : at + size] + bytes(window - size) + (data[at + window :] + bytes(3))[:3], np.uint8)
+            # what lies behind the text is zero
+            x = np.frombuffer((data[at:] + bytes(window + 3))[: window + 3], np.uint8)
             pooled = [sum((net.embed @ f[j])[x[j : j + window]] for j in range(len(f))).max(axis=0) for f in net.filters]
             p += size * net.head(np.concatenate(pooled)[None])[0]
         keep.append(any(c.isalpha() for c in text or "") and p.max() / p.sum() >= corpus_pipeline.LANGUAGE_SCORE)
@@ -61,18 +62,37 @@ def test_toxicity_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
+    """The stage's own contract is five words and a similarity of 0.8, by brute force over all pairs."""
     _, before, after = stages["near_duplicates"]
-    fp = {t: plain_fingerprint(t) for t in set(before.text)}
-    union = Union(set(fp.values()))
-    values = np.array(sorted(set(fp.values())), dtype=np.uint64)
-    for v in values:
-        for w in values[np.bitwise_count(values ^ v) <= 3]:
-            union.join(int(v), int(w))
-    root = before.text.map(lambda t: union.find(fp[t]))
+    root = before.text.map(dict(zip(before.text, brute(before.text.tolist()), strict=True)))
     assert same_rows(before.loc[before.doc_id.groupby(root).idxmin()], after)
     assert len(after) < len(before)
 
 
+def rows_of(df):
+    return Counter(map(repr, df.collect()))
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns."""
+    given, out = rows_of(odd_docs), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = out[name] = stage(spark, odd_docs, SMALL)
+        if name != "tokens":
+            assert after.columns == odd_docs.columns, name
+        if name in ("language", "toxicity", "near_duplicates"):
+            assert not rows_of(after) - given and rows_of(after), name
+        assert stage(spark, no_docs, SMALL).count() == 0, name
+    told = out["language"].collect()
+    assert not [r for r in told if r["doc_id"] in (1, 2, 3, 13)] and all(n == given[k] for k, n in rows_of(out["language"]).items())
+    assert all(n == given[k] for k, n in rows_of(out["toxicity"]).items())
+    texts = [r["text"] for r in odd_docs.collect()]
+    assert out["near_duplicates"].count() == len(set(brute(texts)))
+    assert all(n <= 2 * given[k] for k, n in rows_of(out["mixing"]).items())
+    tokens = out["tokens"].collect()
+    assert len(tokens) == len(texts) and {r["n_tokens"] for r in tokens if r["doc_id"] in (1, 2)} == {0}
+
+
 def test_mixing_stage(stages):
     _, before, after = stages["mixing"]
     con = duckdb.connect()
