@@ -177,12 +177,12 @@ QUALIFY rank < {q.TOP}), piv AS ({q.pivot()})"""
     )
     q.register(
         "sink_significant", significant_files,
-        q.sql(q.cells(), q.DESEQ, q.corrected_sql("bh").replace("cor AS (", "fit AS ("), f"piv AS ({q.pivot()})", select="SELECT piv.*, round(pc, 4) AS p_cor FROM fit JOIN piv USING (kmer) WHERE pc <= 0.998"),
+        q.sql(q.cells(), q.DESEQ, q.corrected_sql("bh").replace("cor AS (", "fit AS ("), f"piv AS ({q.pivot()})", select=f"SELECT piv.*, round({six('pc')}, 4) AS p_cor FROM fit JOIN piv USING (kmer) WHERE pc <= 0.998"),
     )
     half = "cells0 AS (SELECT * FROM cells WHERE kmer IN (SELECT kmer FROM cells GROUP BY kmer HAVING count(*) FILTER (x >= 2) / 20.0 >= 0.5))"
     freq = q.FREQ.replace("FROM cells", "FROM cells0")
-    q.register("run_pearson", lambda s, d: tsv_rounded(whole_run(s, d, "_pearson"), "pearson"), q.sql(q.cells(), half, freq, q.corr_sql("norm", "v", q.Y), select="SELECT kmer, round(r, 4) AS pearson FROM cor"))
-    snr = "SELECT kmer, round(CASE WHEN s0 = 0 OR s1 = 0 THEN 0 ELSE abs(m0 - m1) / (s0 + s1) END, 4) AS snr FROM two"
+    q.register("run_pearson", lambda s, d: tsv_rounded(whole_run(s, d, "_pearson"), "pearson"), q.sql(q.cells(), half, freq, q.corr_sql("norm", "v", q.Y), select=f"SELECT kmer, round({six('r')}, 4) AS pearson FROM cor"))
+    snr = f"SELECT kmer, round({six('CASE WHEN s0 = 0 OR s1 = 0 THEN 0 ELSE abs(m0 - m1) / (s0 + s1) END')}, 4) AS snr FROM two"
     q.register("run_snr", lambda s, d: tsv_rounded(whole_run(s, d, "_snr"), "snr"), q.sql(q.cells(), half, freq, q.moments("v"), select=snr))
 
 

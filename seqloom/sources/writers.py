@@ -3,39 +3,53 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def number(value: Column) -> Column:
-    """A double as text of at most six significant digits; nan, inf and -inf in lower case.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The digits are those of the shortest decimal that gives the double, rounded half up to six if
-    there are more (zeros at the end then stay). Digits times a positive power of ten, and numbers
-    with more than three zeros after the point, are written with an exponent of a sign and two digits.
-    """
-    scientific = F.format_string("%.5e", F.abs(value))
-    power = F.get(F.split(scientific, "e"), F.lit(1)).cast("int")
+
+def _digits(scientific: Column, value: Column) -> Column:
+    """Digits and decimal power of a number of six digits in scientific notation; zeros at the end go where it is exact."""
     six = F.translate(F.get(F.split(scientific, "e"), F.lit(0)), ".", "")
     digits = F.when(scientific.cast("double") == F.abs(value), F.regexp_replace(six, "(?<=.)0+$", "")).otherwise(six)
-    n = F.length(digits)
-    shift = power - (n - 1)  # value = digits * 10 ** shift
+    return F.struct(digits.alias("digits"), F.get(F.split(scientific, "e"), F.lit(1)).cast("int").alias("power"))
+
+
+def _spelled(digits: Column, power: Column, n: Column) -> Column:
+    """The text of ``n`` digits, the first of which stands at a decimal power."""
+    shift = power - (n - 1)
     exponent = F.concat(
         F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 5))).otherwise(""),
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(""), F.abs(power).cast("string"),
     )
     pointed = F.concat(F.substring(digits, F.lit(1), n + shift), F.lit("."), F.substring(digits, n + shift + 1, -shift))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - n), digits)
-    plain = F.when(shift == 0, digits).when((shift > 0) | (-shift >= n + 4), exponent).when(-shift < n, pointed).otherwise(small)
-    return (
-        F.when(value.isNull() | F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .when(value == 0, F.lit("0"))
-        .otherwise(F.concat(F.when(value < 0, F.lit("-")).otherwise(""), plain))
+    return F.when(shift == 0, digits).when((shift > 0) | (-shift >= n + 4), exponent).when(-shift < n, pointed).otherwise(small)
+
+
+def number(value: Column) -> Column:
+    """A double as text of at most six significant digits; nan, inf and -inf in lower case.
+
+    The digits are those of the shortest decimal that gives the double, rounded half up to six if
+    there are more (zeros at the end then stay). Digits times a positive power of ten, and numbers
+    with more than three zeros after the point, are written with an exponent of a sign and two digits.
+    """
+    parts = lambda x: _bound(F.format_string("%.5e", F.abs(x)), lambda s: _digits(s, x))
+    plain = lambda x: _bound(parts(x), lambda d: _spelled(d["digits"], d["power"], F.length(d["digits"])))
+    text = lambda x: (
+        F.when(x.isNull() | F.isnan(x), F.lit("nan"))
+        .when(x == float("inf"), F.lit("inf"))
+        .when(x == float("-inf"), F.lit("-inf"))
+        .when(x == 0, F.lit("0"))
+        .otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(""), plain(x)))
     )
+    return _bound(value, text)
 
 
 def _text(df: DataFrame) -> DataFrame:
