@@ -49,7 +49,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
-    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(2, args.pop("v"))])
+    console = logging.StreamHandler()
+    console.setLevel([logging.WARNING, logging.INFO, logging.DEBUG][min(2, args.pop("v"))])
+    logging.getLogger("seqloom").addHandler(console)
     samples, prefix = args.pop("samples"), args.pop("prefix")
     umap = UmapOptions(**{f.name: args.pop(f"umap_{f.name}") for f in dataclasses.fields(UmapOptions)})
     spark = SparkSession.builder.appName("seqloom").getOrCreate()

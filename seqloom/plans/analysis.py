@@ -14,6 +14,7 @@ from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, reduce, select
 from seqloom.plans.options import WITH_PVALUE, Options
 from seqloom.sources import readers, writers
+from seqloom.sources.scratch import put_text
 
 log = logging.getLogger("seqloom")
 
@@ -35,6 +36,35 @@ def _timed(step: str):
     log.info("%s: %.1f s", step, time.time() - began)
 
 
+class _Lines(logging.Handler):
+    """Keeps what is logged."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        self.lines: list[str] = []
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.lines.append(self.format(record))
+
+
+@contextmanager
+def _log_file(spark: SparkSession, path: str):
+    """What happens inside goes to a log file as well, whatever the level of messages on the console; failures too."""
+    kept, level = _Lines(), log.level
+    log.addHandler(kept)
+    log.setLevel(logging.INFO)
+    try:
+        yield
+    except Exception as e:
+        log.error("%s: %s", type(e).__name__, str(e).partition("\n")[0])
+        raise
+    finally:
+        log.removeHandler(kept)
+        log.setLevel(level)
+        put_text(spark, path, "\n".join([*kept.lines, ""]))
+
+
 class Analysis:
     """The steps of an analysis over one set of samples; each can be used by itself."""
 
@@ -145,9 +175,15 @@ class Analysis:
 
 
 def run(spark: SparkSession, options: Options, manifest: str, prefix: str) -> DataFrame:
-    """From a sample manifest to all outputs; returns the matrix."""
+    """From a sample manifest to all outputs, with ``<prefix>.log``; returns the matrix."""
+    with _log_file(spark, f"{prefix}.log"):
+        return _run(spark, options, manifest, prefix)
+
+
+def _run(spark: SparkSession, options: Options, manifest: str, prefix: str) -> DataFrame:
     samples = readers.manifest(spark, manifest)
     names = [s.name for s in samples]
+    log.info("%d samples, k = %d", len(names), options.k)
     phenotype = readers.numeric_phenotype(spark, options.phenotype, len(names)) if options.phenotype else None
     classes = readers.class_phenotype(spark, options.classes, len(names)) if options.classes else None
     analysis = Analysis(spark, options, names, phenotype, classes)

@@ -262,6 +262,17 @@ FROM norm a JOIN norm b ON a.kmer = b.kmer AND a.i < b.i)"""
         lambda s, d: rounded(rowstats.kendall(normalized(s, d), "norm", PHENOTYPE), "kendall_tau"),
         sql(cells(), DESEQ, pairs, select=f"SELECT kmer, round(CASE WHEN sum(abs(s)) = 0 THEN 'nan'::DOUBLE ELSE {tau} END, 6) AS kendall_tau FROM prs GROUP BY kmer"),
     )
+    tests = select.folds(N, 2)
+    kept = [f"i NOT IN {tuple(t)} AND j NOT IN {tuple(t)}" for t in tests]
+    by_fold = ", ".join(
+        f"round(CASE WHEN sum(abs(s)) FILTER ({c}) = 0 THEN 'nan'::DOUBLE ELSE sum(s * t) FILTER ({c}) / sqrt(sum(abs(s)) FILTER ({c})::DOUBLE * sum(abs(t)) FILTER ({c})) END, 6) AS cv_kendall_{f}"
+        for f, c in enumerate(kept)
+    )
+    register(
+        "cv_kendall_folds",
+        lambda s, d: rounded(select.cross_validate(normalized(s, d), "norm", PHENOTYPE, "kendall")[0], *[f"cv_kendall_{f}" for f in range(len(tests))]),
+        sql(cells(), DESEQ, pairs.replace("SELECT a.kmer,", "SELECT a.kmer, a.i AS i, b.i AS j,"), select=f"SELECT kmer, {by_fold} FROM prs GROUP BY kmer"),
+    )
     entropy = "SELECT kmer, (ln(sum(x + {p})) - sum((x + {p}) * ln(x + {p})) / sum(x + {p})) / ln(2) AS e FROM cells GROUP BY kmer"
     register(
         "entropy",

@@ -54,6 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, written by the driver through the file system that the path names."""
+    fs, where = _hadoop(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder."""
     fs, where = _hadoop(spark, path)

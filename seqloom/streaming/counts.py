@@ -25,6 +25,11 @@ def windowed_counts(reads: DataFrame, time: str, k: int, window: str, late: str,
     return found.groupBy(F.window(time, window).alias("window"), "sample", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def start_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each window's counts to ``path`` once the watermark has passed it; its state goes then."""
+    return counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+
+
 def start(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each state of the counts as a whole to ``path``, replaced batch by batch."""
 

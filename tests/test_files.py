@@ -49,11 +49,20 @@ def test_whole_analysis(spark, samples, tmp_path):
     for suffix in ("_matrix_norm", "_kendall_tau", "_entropy_top_matrix", "_anova_cor", "_dids", "_snr_top", "_cv_pearson_2_3_top", "_pca", "_pca_variance", "_umap"):
         assert text_rows(prefix + suffix), suffix
     assert not (tmp_path / "out_anova").exists()
+    log = (tmp_path / "out.log").read_text()
+    assert "3 samples, k = 25" in log and "matrix: begun" in log and "statistics: " in log
     again = run(spark, options, samples, prefix)
     assert "out.db/matrix" in again.inputFiles()[0]
     assert writers.load_matrix(spark, f"{prefix}.db", options.matrix_settings(["other"])) is None
 
 
+def test_a_failed_run_leaves_its_log(spark, tmp_path):
+    f = put(tmp_path / "f", ">x\nAC\n")
+    with pytest.raises(ValueError, match="empty"):
+        run(spark, Options(k=5, fmt="fa"), put(tmp_path / "m", f"s {f}\n"), f"{tmp_path}/bad")
+    assert "ValueError: the matrix is empty" in (tmp_path / "bad.log").read_text()
+
+
 def test_manifest(spark, tmp_path):
     f = put(tmp_path / "f", ">x\nACGT\n")
     assert readers.manifest(spark, put(tmp_path / "m", f"{f}\n\ns {f} {f}\n")) == [readers.Sample(f, (f,)), readers.Sample("s", (f, f))]

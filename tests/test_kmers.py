@@ -119,5 +119,21 @@ def test_streaming_counts(spark, tmp_path):
     query.stop()
     got = {(r["sample"], r["kmer"]): r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["sample1", "AAAACACACAAACAGATAAACAGAT"] == 2 and got["sample3", "ACCCCTGGGAATTAACCCACCTACG"] == 1
-    stamped = counts.read_stream(spark, folder, 1).withColumn("t", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    assert counts.windowed_counts(stamped, "t", 25, "1 hour", "10 minutes").isStreaming
+
+
+def test_late_reads_are_left_out_of_their_window(spark, tmp_path):
+    from seqloom.streaming import counts
+
+    folder = f"{tmp_path}/in"
+    schema = "sample string, seq string, t timestamp"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    query = counts.start_windows(counts.windowed_counts(stream, "t", 4, "1 hour", "10 minutes"), f"{tmp_path}/out", f"{tmp_path}/ck")
+    # in time; far ahead, which moves the watermark to 02:50; late for the first window but not for the second; far ahead again
+    for batch in ([("a", "AAAAC", "00:05:00"), ("b", "AAAA", "00:50:00")], [("a", "CCCC", "03:00:00")], [("a", "AAAA", "00:06:00"), ("b", "GAGA", "02:55:00")], [("a", "TTTT", "09:00:00")]):
+        rows = spark.createDataFrame([(s, q, f"2024-01-01 {t}") for s, q, t in batch], "sample string, seq string, t string")
+        rows.withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    query.stop()
+    got = {(r["window"]["start"].hour, r["sample"], r["kmer"]): r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, "a", "AAAA"): 1, (0, "a", "AAAC"): 1, (0, "b", "AAAA"): 1, (2, "b", "GAGA"): 1, (3, "a", "CCCC"): 1}
