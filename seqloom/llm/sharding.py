@@ -25,7 +25,7 @@ from seqloom.llm.common import materialize, scratch_path
 #: Bytes of text that a bucket is meant to hold.
 BUCKET_BYTES = 64 << 20
 #: Buckets at least, so that small tables occupy more than a few tasks.
-LEAST_BUCKETS = 32
+LEAST_BUCKETS = 64
 #: Equal records up to this number stay in one bucket.
 ALIKE = 5000
 #: Tasks of the second pass at most; beyond, a task shuffles one bucket after the other.
@@ -112,7 +112,8 @@ def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: in
     starts = first_ranks(counts)
     out = T.StructType([spread.schema["rec"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
     # a task a bucket, so about as many bytes a task at every size
-    shuffled = spread.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_shuffled(seed), out)
+    dealt = spread.repartitionById(buckets, "bucket") if buckets <= MOST_TASKS else spread.repartition(MOST_TASKS, "bucket")
+    shuffled = dealt.groupBy("bucket").applyInArrow(_shuffled(seed), out)
     base, longer = divmod(total, shards)
     rank = F.col("start") + F.col("place")
     head = longer * (base + 1)  # ranks in the shards that hold one more
