@@ -27,11 +27,15 @@ def runs(sequence: Column, k: int) -> Column:
     return F.regexp_extract_all(sequence, F.lit(f"([ACGT]{{{k},}})"), F.lit(1))
 
 
-def pieces(run: Column, k: int) -> Column:
-    """A run cut into overlapping pieces that together have the run's k-mers, each once."""
+def pieces(run: Column, k: int, canonical: bool = False) -> Column:
+    """A run cut into overlapping binary pieces that together have the run's k-mers, each once.
+
+    Structs of ``piece`` and, if asked, its reverse complement ``other``, made once a piece.
+    """
     raw = run.cast("binary")
     starts = F.sequence(F.lit(1), F.octet_length(run) - (k - 1), F.lit(PIECE))
-    return F.transform(starts, lambda i: F.substring(raw, i, F.lit(PIECE + k - 1)))
+    cut = F.transform(starts, lambda i: F.substring(raw, i, F.lit(PIECE + k - 1)))
+    return F.transform(cut, lambda p: F.struct(p.alias("piece"), *([other_strand(p).alias("other")] if canonical else [])))
 
 
 def starts(piece: Column, k: int) -> Column:
@@ -40,5 +44,15 @@ def starts(piece: Column, k: int) -> Column:
 
 
 def window(piece: Column, at: Column, k: int) -> Column:
-    """The window of a binary piece that begins at ``at``, as a string; binary substrings cost no scan of what is before them."""
-    return F.substring(piece, at, F.lit(k)).cast("string")
+    """The window of a binary piece that begins at ``at``; binary substrings cost no scan of what is before them."""
+    return F.substring(piece, at, F.lit(k))
+
+
+def other_strand(piece: Column) -> Column:
+    """The reverse complement of a binary piece."""
+    return F.reverse(F.translate(piece.cast("string"), "ACGT", "TGCA")).cast("binary")
+
+
+def canonical_window(piece: Column, other: Column, at: Column, k: int) -> Column:
+    """The smaller of a window and its reverse complement, which is a window of the other strand."""
+    return F.least(window(piece, at, k), window(other, F.octet_length(piece) - at - (k - 2), k))

@@ -23,12 +23,13 @@ def extract(reads: DataFrame, k: int, canonical: bool = True, keep: Sequence[str
 
     ``keep`` names the columns carried along in place of ``sample``.
     """
-    pieces = F.flatten(F.transform(kmers.runs(F.col("seq"), k), lambda run: kmers.pieces(run, k)))
-    parts = reads.where(F.col("seq").isNotNull()).select(*keep, F.explode(pieces).alias("piece"))
+    pieces = F.flatten(F.transform(kmers.runs(F.col("seq"), k), lambda run: kmers.pieces(run, k, canonical)))
+    parts = reads.select(*keep, F.inline(pieces))  # null sequences have none
     # windows are cut in generated code, a row each; a function over an array would be interpreted
-    places = parts.select(*keep, "piece", F.explode(kmers.starts(F.col("piece"), k)).alias("at"))
-    cut = places.select(*keep, kmers.window(F.col("piece"), F.col("at"), k).alias("kmer"))
-    return cut.withColumn("kmer", kmers.canonical(F.col("kmer"))) if canonical else cut
+    piece, at = F.col("piece"), F.col("at")
+    places = parts.select("*", F.explode(kmers.starts(piece, k)).alias("at"))
+    cut = kmers.canonical_window(piece, F.col("other"), at, k) if canonical else kmers.window(piece, at, k)
+    return places.select(*keep, cut.cast("string").alias("kmer"))
 
 
 def count(extracted: DataFrame) -> DataFrame:

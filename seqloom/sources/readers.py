@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes for each core up to which a scan is dealt out evenly.
+SMALL = 32 << 20
+
+
 @dataclass(frozen=True)
 class Sample:
     name: str
@@ -20,13 +24,15 @@ class Sample:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a file scan that has fewer parts than the session can work on at once, dealt out evenly.
+    """Rows of a file scan dealt out evenly, where the scan would keep part of the session idle.
 
-    Compressed files and small tables are read in one piece each. A scan of many parts, as a large
-    table's, is left alone.
+    A compressed file, and a row group of Parquet, are read by one task, however many there are. So a
+    scan of fewer parts than the session works on at once, or of less than ``SMALL`` bytes for each
+    of them, is dealt out; a large table is left alone.
     """
     wanted = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(wanted) if size < wanted * SMALL or rows.rdd.getNumPartitions() < wanted else rows
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
