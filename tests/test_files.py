@@ -87,6 +87,16 @@ def test_sequence_formats(spark, tmp_path):
     assert seqs(readers.sequences(spark, [fq], "fq")) == ["ACGT", "GGGG"]
 
 
+def test_small_scans_are_dealt_out(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    spark.range(100).coalesce(1).write.parquet(path)
+    whole = spark.read.parquet(path)
+    assert readers.spread(whole).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in readers.spread(whole).collect()) == list(range(100))
+    monkeypatch.setattr(readers, "SMALL", 1)
+    assert "RoundRobin" not in readers.spread(spark.read.parquet(path).repartition(8))._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+
+
 def test_filter_files(spark, tmp_path):
     assert seqs(readers.filter_sequences(spark, put(tmp_path / "f1", "\n>x\nACG\nT\n"), 4)) == ["ACGT"]
     assert seqs(readers.filter_sequences(spark, put(tmp_path / "f2", "ACGT TTTT\nCCCC\n"), 4)) == ["ACGT", "CCCC", "TTTT"]

@@ -137,6 +137,22 @@ def test_normalisation(spark):
     assert normalize.learn(counts(spark, full), 2, "deseq").values == pytest.approx(1 / np.exp(np.median(ratios, axis=0)))
 
 
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(12)
+    values = [rng.normal(size=301), rng.normal(size=300), np.r_[np.zeros(90), rng.normal(size=20)], np.array([-7.25]), np.array([1.0, 2.0]), np.round(rng.normal(size=400), 1)]
+    cells = spark.createDataFrame([(i, float(x)) for i, v in enumerate(values) for x in v], "sample int, value double").repartition(3)
+    assert normalize.medians(cells) == {i: pytest.approx(np.median(v), abs=1e-15) for i, v in enumerate(values)}
+    assert normalize.medians(cells.limit(0)) == {}
+
+
+def test_counts_not_learned_are_an_error(spark, monkeypatch):
+    learned = normalize.learn(counts(spark, [[1, 2], [3, 4]]), 2, "q")
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(normalize, "LOOKUP_BYTES", most)
+        with pytest.raises(Exception, match="not learned"):
+            learned.transform(counts(spark, [[1, 9]])).collect()
+
+
 @pytest.mark.parametrize("by_join", [False, True])
 def test_quantiles(spark, monkeypatch, by_join, tmp_path):
     if by_join:
