@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import bpe, langid, lattice, mixing, quality_mil, quality_rules, sharding, simhash, toxicity, warc
+from seqloom.llm import bpe, chat, langid, lattice, mixing, quality_mil, quality_rules, sharding, simhash, spelling, toxicity, trie, warc
 from seqloom.llm.common import read_table
 
 
@@ -57,13 +57,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_controls(read_table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.event_log(turns), chat.hot_conversations(turns))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     ops = (
         op1_simhash, op2_toxicity, op3_quality, op4_rules, op5_mixing,
         op6_bpe, op7_langid, op8_lattice, op9_sharding, op10_warc,
+        op11_chat, op12_trie, op13_spelling,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle(), "op8_lattice": lattice.oracle(), "op10_warc": warc.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op8_lattice": lattice.oracle(), "op10_warc": warc.oracle(), "op11_chat": chat.oracle(), "op12_trie": trie.oracle()}
