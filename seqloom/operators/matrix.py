@@ -2,7 +2,9 @@
 
 A matrix is a DataFrame ``(kmer STRING, counts ARRAY<BIGINT>)`` with one slot per sample, zero where
 the sample lacks the k-mer. Merging N samples is not N joins: rows of all samples are grouped by
-k-mer once, each task adding up what it has before the shuffle.
+k-mer once. :func:`of_reads` makes a matrix from reads, with k-mers as integers until the end;
+:func:`extract`, :func:`count` and :func:`merge` do it with a row of text per window, for streams and
+for keys that are no k-mers.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions import kmers
-
-#: Up to this many samples the matrix is made in one grouping with a conditional count a sample.
-WIDE = 64
+from seqloom.functions import kmers, packed
+from seqloom.operators import counting
+from seqloom.operators.counting import WIDE, cut
+from seqloom.sources.scratch import materialize
 
 
 def extract(reads: DataFrame, k: int, canonical: bool = True, keep: Sequence[str] = ("sample",)) -> DataFrame:
@@ -37,11 +39,6 @@ def count(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("sample", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cut(n: Column, ci: int = 1, cx: int = 4_000_000_000, cs: int = 65_535) -> Column:
-    """A count below ``ci`` or above ``cx`` is none in this sample; what remains is at most ``cs``."""
-    return F.when((n >= ci) & (n <= cx), F.least(n, F.lit(cs))).otherwise(F.lit(0)).cast("long")
-
-
 def merge(
     extracted: DataFrame, samples: Sequence[str], ci: int = 1, cx: int = 4_000_000_000, cs: int = 65_535, key: str = "kmer", partitions: int | None = None
 ) -> DataFrame:
@@ -81,10 +78,43 @@ def filter_rows(matrix: DataFrame, threshold: int = 1, ratio: float = 0.0, keep:
     return matrix
 
 
+def packed_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_000_000_000) -> DataFrame:
+    """Different k-mers of ``sequences(seq)`` as integers ``(w0, ...)``, for filters; those above ``cx`` do not count."""
+    return counting.packed_set(sequences, k, canonical, cx)
+
+
 def kmer_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_000_000_000) -> DataFrame:
-    """Different k-mers of ``sequences(seq)``, for filters; those above ``cx`` do not count."""
-    found = extract(sequences.select(F.lit("").alias("sample"), "seq"), k, canonical).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return found.where(F.col("n") <= cx).select("kmer")
+    """The same as text, ``(kmer)``."""
+    return packed_set(sequences, k, canonical, cx).select(packed.text(k).alias("kmer"))
+
+
+def of_reads(
+    reads: DataFrame, samples: Sequence[str], k: int, canonical: bool = True, ci: int = 1, cx: int = 4_000_000_000, cs: int = 65_535,
+    keep: DataFrame | None = None, drop: DataFrame | None = None, hot: int = counting.HOT, partitions: int | None = None,
+) -> DataFrame:
+    """``reads(sample, seq)`` -> matrix over ``samples``, without rows that no sample holds after the cutoffs.
+
+    ``keep`` and ``drop`` are sets of :func:`packed_set`. Occurrences outside ``keep`` go before the exchange,
+    as far as a Bloom filter tells them, the rest in a semi-join behind it; no k-mer of the set is lost.
+    """
+    keys = packed.columns(k)
+    if keep is not None:
+        keep = materialize(keep.select(*keys), "filter-set")  # read to build the filter, and to join
+        found = counting.bloom_filter(keep, k)
+    bloom = reads.sparkSession.sparkContext.broadcast(found) if keep is not None and found is not None else None
+    matrix = counting.packed_matrix(reads, samples, k, canonical, bloom, ci, cx, cs, hot, partitions)
+    if keep is not None:
+        matrix = matrix.join(keep, keys, "left_semi")
+    if drop is not None:
+        matrix = matrix.join(drop.select(*keys), keys, "left_anti")
+    return matrix.select(packed.text(k).alias("kmer"), "counts")
+
+
+def count_reads(reads: DataFrame, samples: Sequence[str], k: int, canonical: bool = True) -> DataFrame:
+    """``reads(sample, seq)`` -> ``(sample, kmer, n)`` of the listed samples."""
+    counted = counting.packed_counts(reads, samples, k, canonical)
+    name = F.element_at(F.array(*[F.lit(s) for s in samples]), (F.col("i") + 1).cast("int"))
+    return counted.select(name.alias("sample"), packed.text(k).alias("kmer"), "n")
 
 
 def totals(matrix: DataFrame, samples: Sequence[str]) -> DataFrame:

@@ -76,9 +76,8 @@ class Analysis:
     def build(self, reads: DataFrame, keep: DataFrame | None = None) -> DataFrame:
         """``reads(sample, seq)`` -> the filtered matrix; ``keep`` are sequences whose k-mers alone remain."""
         o = self.options
-        found = mx.merge(mx.extract(reads, o.k, o.canonical), self.names, o.ci, o.cx, o.cs)
-        wanted = None if keep is None else mx.kmer_set(keep, o.k, o.canonical, o.cx)
-        return mx.filter_rows(found, o.thr, o.thr_rat, wanted)
+        wanted = None if keep is None else mx.packed_set(keep, o.k, o.canonical, o.cx)
+        return mx.filter_rows(mx.of_reads(reads, self.names, o.k, o.canonical, o.ci, o.cx, o.cs, wanted), o.thr, o.thr_rat)
 
     def normalized(self, matrix: DataFrame) -> DataFrame:
         """Adds ``norm`` if a normalisation is asked for."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions import kmers, rowstats
+from seqloom.functions import kmers, packed, rowstats
 from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, select
 from seqloom.plans import queries as q
@@ -44,7 +44,7 @@ def sequence_files(spark: SparkSession, sf_dir: str, fmt: str, compression: str
 
 def counted(spark: SparkSession, sf_dir: str, fmt: str, compression: str = "none") -> DataFrame:
     samples = readers.manifest(spark, sequence_files(spark, sf_dir, fmt, compression))
-    return mx.count(mx.extract(readers.reads(spark, samples, fmt), q.K))
+    return mx.count_reads(readers.reads(spark, samples, fmt), q.SAMPLES, q.K)
 
 
 def filtered(spark: SparkSession, sf_dir: str, fasta: bool) -> DataFrame:
@@ -54,10 +54,9 @@ def filtered(spark: SparkSession, sf_dir: str, fasta: bool) -> DataFrame:
         bases = F.regexp_replace(kmers.pseudo_dna(F.coalesce("text", F.lit(""))), "[^ACGT]", "N")
         q.table(spark, sf_dir, "benchmark").select(RECORD["mf"](bases)).write.text(path)
     else:
-        lines = q.benchmark_set(spark, sf_dir).groupBy(F.substring("kmer", 1, 2)).agg(F.concat_ws(" ", F.collect_list("kmer")).alias("value"))
+        lines = q.benchmark_set(spark, sf_dir).select(packed.text(q.K).alias("kmer")).groupBy(F.substring("kmer", 1, 2)).agg(F.concat_ws(" ", F.collect_list("kmer")).alias("value"))
         lines.select("value").write.text(path)
-    wanted = mx.kmer_set(readers.filter_sequences(spark, path, q.K), q.K)
-    return q.wide(mx.filter_rows(q.base(spark, sf_dir), keep=wanted))
+    return q.wide(q.base(spark, sf_dir, keep=mx.packed_set(readers.filter_sequences(spark, path, q.K), q.K)))
 
 
 def tsv(spark: SparkSession, path: str, kinds: str = "double") -> DataFrame:

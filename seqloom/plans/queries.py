@@ -41,7 +41,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str, canonical: bool = True, **cutoffs) -> DataFrame:
-    return mx.merge(mx.extract(reads(spark, sf_dir), K, canonical), SAMPLES, **cutoffs)
+    return mx.of_reads(reads(spark, sf_dir), SAMPLES, K, canonical, **cutoffs)
+
+
+#: Bases of the long k-mers, which cross the ends of words: documents are read as one run of their letters.
+LONG = 25
+
+
+def long_reads(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    rows = readers.spread(table(spark, sf_dir, name))
+    sample = F.col("source") if "source" in rows.columns else F.lit("")
+    return rows.select(sample.alias("sample"), kmers.pseudo_dna(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
 def normalized(spark: SparkSession, sf_dir: str, method: str = "deseq") -> DataFrame:
@@ -64,7 +74,7 @@ def anova_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.kmer_set(table(spark, sf_dir, "benchmark").select(kmers.pseudo_dna(F.col("text")).alias("seq")), K)
+    return mx.packed_set(table(spark, sf_dir, "benchmark").select(kmers.pseudo_dna(F.col("text")).alias("seq")), K)
 
 
 # ---------------------------------------------------------------- SQL
@@ -166,6 +176,20 @@ pos AS (SELECT kmer, p, count(*) OVER () AS m, rank() OVER (ORDER BY p) - 1 AS l
 cor AS (SELECT kmer, {CORRECTED[method]} AS pc FROM pos)"""
 
 
+def long_cells() -> str:
+    """CTEs down to ``cnt(kmer, source, n)`` and ``lset(kmer)`` of the long k-mers of documents and benchmark passages."""
+    windows = lambda t, keep: f"""SELECT {keep}unnest(list_transform(range(1, greatest(len(q) - {LONG - 2}, 1)), lambda i: q[i:i+{LONG - 1}])) AS w
+FROM (SELECT {keep}translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{kmers.LETTERS}', '{kmers.BASES}') AS q FROM {t})"""
+    return f"""occ AS ({windows('documents', 'source, ')}),
+cnt AS (SELECT source, {CANON} AS kmer, count(*) AS n FROM occ GROUP BY ALL),
+lset AS (SELECT DISTINCT {CANON} AS kmer FROM ({windows('benchmark', '')}))"""
+
+
+def long_pivot(where: str) -> str:
+    listed = ", ".join(f"coalesce(max(least(n, 65535)) FILTER (source = '{s}'), 0)::BIGINT AS {c}" for s, c in zip(SAMPLES, COUNTS, strict=True))
+    return f"SELECT kmer, {listed} FROM cnt WHERE {where} GROUP BY kmer"
+
+
 def sql(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -201,7 +225,7 @@ def _counting() -> None:
     for name, canonical in (("canonical", True), ("raw", False)):
         register(
             f"kmer_count_{name}",
-            lambda s, d, c=canonical: mx.count(mx.extract(reads(s, d), K, c)),
+            lambda s, d, c=canonical: mx.count_reads(reads(s, d), SAMPLES, K, c),
             sql(OCC, select=f"SELECT source AS sample, {CANON if canonical else 'w'} AS kmer, count(*) AS n FROM occ GROUP BY ALL"),
         )
     for name, thr, ratio in (("any", 1, 0.0), ("half", 1, 0.5), ("all", 1, 1.0), ("thr", 3, 0.25)):
@@ -216,9 +240,20 @@ def _counting() -> None:
     for name, keep in (("filter_set", True), ("except_set", False)):
         register(
             f"kmer_{name}",
-            lambda s, d, k=keep: wide(mx.filter_rows(base(s, d), **{"keep" if k else "drop": benchmark_set(s, d)})),
+            lambda s, d, k=keep: wide(base(s, d, **{"keep" if k else "drop": benchmark_set(s, d)})),
             sql(cells(), BENCH, select=pivot(where=f"WHERE kmer {'' if keep else 'NOT '}IN (SELECT kmer FROM bset)")),
         )
+    shared = 4
+    register(
+        "kmer_matrix_long",
+        lambda s, d: wide(mx.filter_rows(mx.of_reads(long_reads(s, d), SAMPLES, LONG), 1, shared / N)),
+        sql(long_cells(), f"often AS (SELECT kmer FROM cnt GROUP BY kmer HAVING count(*) >= {shared})", select=long_pivot("kmer IN (SELECT kmer FROM often)")),
+    )
+    register(
+        "kmer_filter_set_long",
+        lambda s, d: wide(mx.of_reads(long_reads(s, d), SAMPLES, LONG, keep=mx.packed_set(long_reads(s, d, "benchmark").select("seq"), LONG))),
+        sql(long_cells(), select=long_pivot("kmer IN (SELECT kmer FROM lset)")),
+    )
     register(
         "tot_cnt",
         lambda s, d: mx.totals(base(s, d), SAMPLES),
