@@ -125,15 +125,83 @@ def spearman(df: DataFrame, values: str, phenotype: Sequence[float], out: str =
     return _centred(df.withColumn("__ranks", row_ranks(values)), "__ranks", list(ranks), out).drop("__ranks")
 
 
-def kendall_tau(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Tau-b of every row of ``x`` with ``y``; NaN where all pairs tie in either."""
-    n = len(y)
+def _ordered_pairs(ranks: np.ndarray) -> np.ndarray:
+    """For every row of whole numbers the pairs that rise less those that fall, from left to right.
+
+    Blocks of doubling width are merged, as in a merge sort; all rows and all blocks of one width are
+    counted at once: sorted by value, each value of a right half has the smaller ones of its left half before it.
+    """
+    rows, n = ranks.shape
+    out, width = np.zeros(rows, np.int64), 1
+    at = np.arange(n)
+    while width < n:
+        block, left = at // (2 * width), (at // width) % 2 == 0
+        size = np.bincount(block, weights=left).astype(np.int64)  # of each left half
+        base = block * np.int64(2 * (n + 1))
+        for strict in (True, False):
+            # equal values of the left half stand behind those of the right half where only smaller ones count
+            order = np.argsort(base + 2 * ranks + (left if strict else ~left), axis=1, kind="stable")
+            before = np.cumsum(left[order], axis=1) - (np.cumsum(size) - size)[block]  # blocks keep their places
+            found = np.where(left[order], 0, before).sum(axis=1)
+            out += found if strict else found - int((size[block] * ~left).sum())
+        width *= 2
+    return out
+
+
+def _untied(ranks: np.ndarray) -> np.ndarray:
+    """For every row the number of pairs that do not tie."""
+    n = ranks.shape[1]
+    ordered = np.sort(ranks, axis=1)
+    same = np.zeros(len(ranks), np.int64)
+    run = np.zeros(len(ranks), np.int64)
+    for j in range(1, n):  # a value ties with as many before it as its run is long
+        run = np.where(ordered[:, j] == ordered[:, j - 1], run + 1, 0)
+        same += run
+    return n * (n - 1) // 2 - same
+
+
+def _merge_tau(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and untied pairs of every row, in n log n steps of whole-array sorts."""
+    by_y = np.argsort(y, kind="stable")
+    ordered, y = np.sort(x, axis=1), y[by_y]
+    fresh = np.zeros(x.shape, np.int64)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    ranks = np.empty(x.shape, np.int64)
+    np.put_along_axis(ranks, np.argsort(x, axis=1, kind="stable"), np.cumsum(fresh, axis=1), 1)
+    ranks = ranks[:, by_y]
+    score = _ordered_pairs(ranks)
+    edges = np.flatnonzero(np.diff(y, prepend=np.nan, append=np.nan))
+    for a, b in zip(edges, edges[1:], strict=False):  # pairs that tie in y do not count
+        if b - a > 1:
+            score -= _ordered_pairs(ranks[:, a:b])
+    return score.astype(float), _untied(ranks).astype(float)
+
+
+def _pair_tau(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and untied pairs of every row, pair by pair."""
     score, loose = np.zeros(len(x)), np.zeros(len(x))
-    for i in range(n - 1):
+    for i in range(len(y) - 1):
         s = np.sign(x[:, i : i + 1] - x[:, i + 1 :])
         score += s @ np.sign(y[i] - y[i + 1 :])
         loose += np.abs(s).sum(axis=1)
-    loose_y = sum(np.abs(np.sign(y[i] - y[i + 1 :])).sum() for i in range(n - 1)) if n > 1 else 0.0
+    return score, loose
+
+
+#: Samples above which pairs are counted by merging, and cells that are merged at once.
+MERGE, CELLS = 64, 1 << 20
+
+
+def kendall_tau(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tau-b of every row of ``x`` with ``y``; NaN where all pairs tie in either."""
+    n = len(y)
+    if n <= MERGE:
+        score, loose = _pair_tau(x, y)
+    else:
+        step = max(1, CELLS // n)
+        parts = [_merge_tau(x[i : i + step], y) for i in range(0, len(x), step)]
+        score, loose = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0) for j in (0, 1))
+    _, ties = np.unique(y, return_counts=True)
+    loose_y = float(n * (n - 1) // 2 - (ties * (ties - 1) // 2).sum())
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where((loose > 0) & (loose_y > 0), score / np.sqrt(loose * loose_y), np.nan)
 

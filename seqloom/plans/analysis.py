@@ -14,7 +14,7 @@ from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, reduce, select
 from seqloom.plans.options import WITH_PVALUE, Options
 from seqloom.sources import readers, writers
-from seqloom.sources.scratch import put_text
+from seqloom.sources.scratch import discard, materialize, put_text
 
 log = logging.getLogger("seqloom")
 
@@ -136,23 +136,31 @@ class Analysis:
                     writers.significant(pvalues.significant(corrected, f"{p}_cor", o.max_corrected_pval), listed, path, names)
                 else:
                     writers.tsv(rows.select(F.col("kmer").alias("k-mer"), *columns), path)
-                if name not in WITH_PVALUE:
-                    writers.ranked(select.top(rows, columns[0], o.top, name in select.CORRELATIONS), columns[0], path, names)
-            if o.cv:
-                self._write_folds(rows, prefix)
+            self._write_lists(rows, prefix)
             self._write_reductions(rows, prefix)
             rows.unpersist()
 
-    def _write_folds(self, rows: DataFrame, prefix: str) -> None:
-        o = self.options
-        for method in o.cor:
-            validated, tests = select.cross_validate(rows, "norm", self.phenotype, method, o.leave, o.cv_seed)
-            for fold in range(len(tests)):
-                path = f"{prefix}_cv_{SUFFIX[method]}_{fold}_{len(tests)}"
-                best = select.fold_top(validated, method, fold, tests, self.names, o.top).coalesce(1)
-                writers.tsv(best.select(F.col("kmer").alias("k-mer"), method), f"{path}_top")
-                writers.tsv(best.drop(method).withColumnRenamed("kmer", "k-mer"), f"{path}_top_matrix")
-                writers.fasta(best, f"{path}_top.fa", F.concat(F.lit("rank"), F.monotonically_increasing_id().cast("string")))
+    def _write_lists(self, rows: DataFrame, prefix: str) -> None:
+        """The top lists of all statistics and of all folds, found in one pass over the rows."""
+        o, names = self.options, self.names
+        files = {}  # of each list: column of values, path, columns of counts
+        lists = {}
+        for name in self.asked():
+            if name not in WITH_PVALUE:
+                lists[name] = (COLUMNS[name][0], name in select.CORRELATIONS)
+                files[name] = (COLUMNS[name][0], f"{prefix}_{SUFFIX[name]}", [(s, i) for i, s in enumerate(names)])
+        for method in o.cor if o.cv else ():
+            rows, tests = select.cross_validate(rows, "norm", self.phenotype, method, o.leave, o.cv_seed)
+            for fold, test in enumerate(tests):
+                column = f"cv_{method}_{fold}"
+                lists[column] = (column, True)
+                files[column] = (method, f"{prefix}_cv_{SUFFIX[method]}_{fold}_{len(tests)}", select.fold_columns(names, test))
+        if not lists:
+            return
+        best = materialize(select.top_lists(rows, lists, o.top), "top-lists")
+        for name, (value, path, columns) in files.items():
+            writers.ranked(best.where(F.col("list") == name), value, path, columns)
+        discard(best)
 
     def _write_reductions(self, rows: DataFrame, prefix: str) -> None:
         o, n = self.options, len(self.names)

@@ -103,10 +103,27 @@ def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three files of a top list, joined: value, counts, rank."""
     rows = rowstats.pearson(q.normalized(spark, sf_dir), "norm", q.PHENOTYPE).withColumn("pearson", F.round("pearson", 6))
     path = scratch_path(spark, "sink")
-    writers.ranked(select.top(rows, "pearson", q.TOP, True), "pearson", path, q.COUNTS)
+    writers.ranked(select.top_lists(rows, {"pearson": ("pearson", True)}, q.TOP), "pearson", path, [(c, i) for i, c in enumerate(q.COUNTS)])
     return tsv(spark, f"{path}_top").join(tsv(spark, f"{path}_top_matrix", "long"), "kmer").join(_ranks(spark, f"{path}_top.fa"), "kmer")
 
 
+def fold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three files of all folds, joined: ``(fold, kmer, pearson, rank, first, sum)``, with the first training sample's count and all counts' sum."""
+    rows, tests = select.cross_validate(q.normalized(spark, sf_dir), "norm", q.PHENOTYPE)
+    names = [f"cv_pearson_{f}" for f in range(len(tests))]
+    rows = rows.withColumns({c: F.round(c, 6) for c in names})
+    best = q.materialize(select.fold_lists(rows, {"pearson": tests}, q.TOP), "folds")
+    out = None
+    for fold, test in enumerate(tests):
+        path, columns = scratch_path(spark, "sink"), select.fold_columns(q.COUNTS, test)
+        writers.ranked(best.where(F.col("list") == names[fold]), "pearson", path, columns)
+        counts = tsv(spark, f"{path}_top_matrix", "long")
+        counts = counts.select("kmer", F.col(f"`{columns[0][0]}`").alias("first"), sum((F.col(f"`{c}`") for c, _ in columns), F.lit(0)).alias("sum"))
+        part = tsv(spark, f"{path}_top").join(counts, "kmer").join(_ranks(spark, f"{path}_top.fa"), "kmer").select(F.lit(fold).cast("long").alias("fold"), "kmer", "pearson", "rank", "first", "sum")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def significant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the significant rows of a corrected test, joined: values and counts, for rows that are in the FASTA too."""
     tested = q.materialize(rowstats.anova(q.normalized(spark, sf_dir), "norm", q.THREE).select("kmer", "counts", "anova_p", "anova_stat"), "anova")
@@ -174,6 +191,17 @@ QUALIFY rank < {q.TOP}), piv AS ({q.pivot()})"""
         "sink_top", top_files,
         q.sql(q.cells(), q.DESEQ, q.corr_sql("norm", "v", q.Y), best, select=f"SELECT piv.*, {six('r')} AS pearson, rank::BIGINT AS rank FROM best JOIN piv USING (kmer)"),
     )
+    tests = select.folds(q.N, 2)
+    fitted = " UNION ALL ".join(
+        f"SELECT kmer, {f} AS fold, r FROM (WITH {q.corr_sql('norm', 'v', q.Y, f'WHERE i NOT IN ({t[0]}, {t[1]})')} SELECT * FROM cor)" for f, t in enumerate(tests)
+    )
+    first = q._case([min(set(range(q.N)) - set(t)) for t in tests], "fold")
+    chosen = f"""chosen AS (SELECT kmer, fold, round(r, 6) AS r, row_number() OVER (PARTITION BY fold ORDER BY abs(round(r, 6)) DESC, kmer) - 1 AS rank FROM ({fitted})
+QUALIFY rank < {q.TOP})"""
+    q.register(
+        "sink_cv", fold_files,
+        q.sql(q.cells(), q.DESEQ, chosen, select=f"SELECT fold::BIGINT AS fold, kmer, {six('r')} AS pearson, rank::BIGINT AS rank, (max(x) FILTER (i = {first}))::BIGINT AS first, sum(x)::BIGINT AS sum FROM chosen JOIN cells USING (kmer) GROUP BY ALL"),
+    )
     q.register(
         "sink_significant", significant_files,
         q.sql(q.cells(), q.DESEQ, q.corrected_sql("bh").replace("cor AS (", "fit AS ("), f"piv AS ({q.pivot()})", select=f"SELECT piv.*, round({six('pc')}, 4) AS p_cor FROM fit JOIN piv USING (kmer) WHERE pc <= 0.998"),

@@ -72,13 +72,15 @@ def fasta(matrix: DataFrame, path: str, name: Column | None = None) -> None:
     matrix.select(F.concat(F.lit(">"), title, F.lit("\n"), F.col("kmer"))).write.mode("overwrite").text(path)
 
 
-def ranked(best: DataFrame, value: str, path: str, samples: Sequence[str]) -> None:
-    """A top list: values, counts, and FASTA named by rank. ``best`` is sorted and bounded."""
-    one = best.coalesce(1)
-    tsv(one.select(F.col("kmer").alias("k-mer"), value), f"{path}_top")
-    matrix_text(one, f"{path}_top_matrix", samples)
-    rank = F.concat(F.lit("rank"), F.monotonically_increasing_id().cast("string"))  # one partition: 0, 1, 2, ...
-    fasta(one, f"{path}_top.fa", rank)
+def ranked(best: DataFrame, value: str, path: str, columns: Sequence[tuple[str, int]]) -> None:
+    """The three files of a top list ``best(rank, kmer, value, counts)``: values, counts, and FASTA named by rank.
+
+    ``value`` names the column of values, ``columns`` those of counts and the sample each is of.
+    """
+    one = best.coalesce(1).sortWithinPartitions("rank")
+    tsv(one.select(F.col("kmer").alias("k-mer"), F.col("value").alias(value)), f"{path}_top")
+    tsv(one.select(F.col("kmer").alias("k-mer"), *[F.col("counts")[i].alias(c) for c, i in columns]), f"{path}_top_matrix")
+    fasta(one, f"{path}_top.fa", F.concat(F.lit("rank"), F.col("rank").cast("string")))
 
 
 def significant(rows: DataFrame, columns: Sequence[str], path: str, samples: Sequence[str]) -> None:
