@@ -10,8 +10,14 @@ For verification a set travels as 40 bits of each hash, five bytes a shingle: tw
 one pair of texts of 20,000 words fall together with a probability below 0.001, and then change
 the similarity by 0.00005. Only sets with a candidate travel at all.
 
-A bucket that is too large for a task is cut into parts: a member stays in its own part and goes
-by the parts before it, in batches, so that every two members meet all the same.
+A bucket that is too large for a task is a crowd. First its members are compared with one of them, its hub;
+crowds that share most members mostly share the hub too, so a set travels to few. Members that are
+linked to the hub need no links to each other. The others stay in parts of their own and go by all parts
+before, those of the linked members first, so that every two members meet that need to. A crowd without
+others takes no further part.
+
+A set is named by 128 bits of its hashes, by which equal sets are found and numbered; at 10^11 different sets
+two share a name with a probability below 10^-16. Links, buckets and components are in numbers.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ ROWS = 5
 #: About the most sets, and the most shingles of all of them, that stay in a task at once.
 BUCKET = 2048
 SHINGLES = 1 << 22
-#: Sets with a candidate whose names (8 bytes each) are broadcast to pick them out; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Sets with a candidate whose names and numbers (40 bytes each) are broadcast to pick them out; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS, _SHIFTS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -50,8 +56,8 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts], dtype=np.uint64))
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), 42) if len(shingles) else 0
+def set_name(shingles: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(shingles.tobytes(), 42) if len(shingles) else "0" * 32
 
 
 def bands(shingles: np.ndarray) -> list[int]:
@@ -75,24 +81,20 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros((len(raw), 3), np.uint8), raw], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _longs(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
-
-
 def _lists(values: list) -> pa.Array:
     offsets = np.cumsum([0, *map(len, values)])
     flat = np.concatenate([np.zeros(0, np.uint64), *(np.array(v, dtype=np.uint64) for v in values)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def key_arrays(width: int = WIDTH):
-    return lambda texts: [_longs([set_key(shingle_set(t, width)) for t in texts])]
+def name_arrays(width: int = WIDTH):
+    return lambda texts: [pa.array([set_name(shingle_set(t, width)) for t in texts], pa.string())]
 
 
 def _band_arrays(width: int):
     def arrays(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_set(t, width) for t in texts]
-        return [_longs([set_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets])]
+        return [pa.array([set_name(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets])]
 
     return arrays
 
@@ -100,7 +102,7 @@ def _band_arrays(width: int):
 def _set_arrays(width: int):
     def arrays(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_set(t, width) for t in texts]
-        return [_longs([set_key(s) for s in sets]), pa.array([packed(s) for s in sets], pa.binary())]
+        return [pa.array([set_name(s) for s in sets], pa.string()), pa.array([packed(s) for s in sets], pa.binary())]
 
     return arrays
 
@@ -184,9 +186,61 @@ def _search(similarity: float):
     return search
 
 
-def links(docs: DataFrame, own: DataFrame, width: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """``own(doc_id, fp, size, bands)`` of ``docs`` -> links ``(a, b)`` of different sets, each verified."""
-    unique = materialize(own.groupBy("fp").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-unique")
+def _with_hub(similarity: float):
+    """mapInArrow function over rows (hub, part, member, fp, shingles) sorted by the first three; yields members linked to their hub (a, b)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, None
+        for batch in batches:
+            hub, part, member, fp = (batch.column(i).to_pylist() for i in range(4))
+            column, out = batch.column(4), []
+            for i in range(batch.num_rows):
+                one = unpacked(column[i].as_py())
+                if not member[i]:
+                    group, own = (hub[i], part[i]), one
+                elif group == (hub[i], part[i]) and _Sets([one]).near(own, similarity)[0]:
+                    out.append((hub[i], fp[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return compare
+
+
+def _hub_links(crowded: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """``crowded(band, fp, hub)`` -> verified links ``(a, b)`` of hubs with members; a hub's set goes to each ``bucket`` of its members."""
+    pairs = crowded.where("fp <> hub").select("hub", "fp").distinct()
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / bucket).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(11), "fp"), F.col("parts"))
+    members = pairs.join(sizes, "hub").select("hub", part.alias("part"), F.lit(True).alias("member"), "fp")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("hub").alias("fp"))
+    met = members.unionByName(hubs).join(sets, "fp").select("hub", "part", "member", "fp", "shingles")
+    return met.repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInArrow(_with_hub(similarity), "a long, b long")
+
+
+def _visits(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """Where members of buckets meet, ``(band, part, passes, fp)``, and the links with hubs, a scratch table if there are any crowds.
+
+    ``members(band, parts, fp)``; a bucket of one part is no crowd.
+    """
+    plain = members.where("parts = 1").select("band", F.lit(0).cast("long").alias("part"), F.lit(False).alias("passes"), "fp")
+    if members.where("parts > 1").isEmpty():
+        return plain, None
+    named = members.where("parts > 1").groupBy("band").agg(F.min_by("fp", F.struct(F.xxhash64(F.lit(5), "fp"), "fp")).alias("hub"))
+    crowded = materialize(members.where("parts > 1").join(named, "band"), "shingle-crowds")
+    linked = materialize(_hub_links(crowded, sets, similarity, bucket), "shingle-hubs")
+    near = linked.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.lit(True).alias("near"))
+    told = crowded.join(near, ["hub", "fp"], "left").withColumn("near", F.coalesce("near", F.col("fp") == F.col("hub")))
+    shares = told.groupBy("band").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_others")).where("n_others > 0")
+    needed = lambda n: F.ceil(F.col("parts") * F.col(n) / (F.col("n_near") + F.col("n_others")))
+    placed = told.join(shares, "band").withColumn("near_parts", needed("n_near"))
+    mark = F.xxhash64(F.lit(7), "fp")
+    home = F.when(F.col("near"), F.pmod(mark, F.col("near_parts"))).otherwise(F.col("near_parts") + F.pmod(mark, needed("n_others")))
+    first = F.when(F.col("near"), F.col("home")).otherwise(F.lit(0).cast("long"))
+    parts = placed.withColumn("home", home.cast("long")).select("band", "fp", "home", F.explode(F.sequence(first, F.col("home"))).alias("part"))
+    return plain.unionByName(parts.select("band", "part", (F.col("part") < F.col("home")).alias("passes"), "fp")), linked
+
+
+def links(docs: DataFrame, unique: DataFrame, width: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """``unique(fp, name, size, bands)`` of ``docs`` -> links ``(a, b)`` of different sets, each verified."""
     rows = unique.select("fp", "size", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.expr("bit_xor(xxhash64(fp))").alias("mark")
@@ -194,21 +248,26 @@ def links(docs: DataFrame, own: DataFrame, width: int, similarity: float, bucket
     needed = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("total") / SHINGLES))
     looked_at = shared.where("n > 1").groupBy("mark", "n", "total").agg(F.min("band").alias("band")).select("band", needed.alias("parts"))
     members = materialize(rows.join(looked_at, "band").select("band", "parts", "fp"), "shingle-members")
-    wanted = materialize(members.select("fp").distinct(), "shingle-wanted")
+    wanted = materialize(members.select("fp").distinct().join(unique.select("fp", "name"), "fp"), "shingle-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    sets = map_texts(docs.select("text"), [], _set_arrays(width), "fp long, shingles binary").select("fp", "shingles")
-    sets = sets.join(F.broadcast(wanted) if few else wanted, "fp", "left_semi")
+    sets = map_texts(docs.select("text"), [], _set_arrays(width), "name string, shingles binary").select("name", "shingles")
+    sets = sets.join(F.broadcast(wanted) if few else wanted, "name")
     sets = materialize(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    home = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
-    visits = members.withColumn("home", home).select("band", "fp", "home", F.explode(F.sequence(F.lit(0).cast("long"), "home")).alias("part"))
-    met = visits.join(sets, "fp").select("band", "part", (F.col("part") < F.col("home")).alias("passes"), "fp", "shingles")
+    visits, hubs = _visits(members, sets, similarity, bucket)
+    met = visits.join(sets, "fp").select("band", "part", "passes", "fp", "shingles")
     found = met.repartition("band", "part").sortWithinPartitions("band", "part", "passes", "fp").mapInArrow(_search(similarity), "a long, b long")
-    out = materialize(found, "shingle-links")
-    discard(unique, members, wanted, sets)
+    out = materialize(found if hubs is None else found.unionByName(hubs), "shingle-links")
+    discard(members, wanted, sets, *([] if hubs is None else [hubs]))
     return out
 
 
+def numbered(own: DataFrame) -> DataFrame:
+    """``own(doc_id, name, size, bands)`` -> a scratch table ``(fp, name, size, bands)`` of the different sets, numbered."""
+    different = own.groupBy("name").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    return materialize(different.select(F.monotonically_increasing_id().alias("fp"), "name", "size", "bands"), "shingle-unique")
+
+
 def banded(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp, size, bands)``; fp stands for the set."""
+    """``docs(doc_id, text)`` -> ``(doc_id, name, size, bands)``; name stands for the set."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(named, ["doc_id"], _band_arrays(width), "fp long, size long, bands array<long>").select("rec.doc_id", "fp", "size", "bands")
+    return map_texts(named, ["doc_id"], _band_arrays(width), "name string, size long, bands array<long>").select("rec.doc_id", "name", "size", "bands")

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import shingles
-from seqloom.llm.common import map_texts, materialize
+from seqloom.llm.common import discard, map_texts, materialize
 from seqloom.llm.components import connected_components
 
 #: Most fingerprints of a bucket that are compared inside one task.
@@ -254,20 +254,28 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fingerprint value that stands for the component.
     """
     own = materialize(fingerprints(docs), "simhash-fp")
-    return _classes(own, links(own.select("fp").distinct(), bucket))
+    return _classes(own, links(own.select("fp").distinct(), bucket), _digits(F.col("fp")))
+
+
+def _digits(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def similar(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY, bucket: int = shingles.BUCKET) -> DataFrame:
     """Like :func:`near_duplicates`, over links of texts whose sets of ``width``-word shingles are at least ``similarity`` alike.
 
-    fingerprint: a hash of the set.
+    fingerprint: 32 hex digits, a hash of the set.
     """
     own = materialize(shingles.banded(docs, width), "shingle-bands")
-    return _classes(own.select("doc_id", "fp"), shingles.links(docs, own, width, similarity, bucket))
+    unique = shingles.numbered(own)
+    found = shingles.links(docs, unique, width, similarity, bucket)
+    numbers = materialize(own.select("doc_id", "name").join(unique.select("fp", "name"), "name"), "shingle-numbers")
+    discard(own, unique)
+    return _classes(numbers, found, F.col("name"))
 
 
-def _classes(own: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows ``own(doc_id, fp)`` with the components of the links ``found(a, b)`` among their fps."""
+def _classes(own: DataFrame, found: DataFrame, fingerprint: Column) -> DataFrame:
+    """Rows ``own(doc_id, fp, ...)`` with the components of the links ``found(a, b)`` among their fps."""
     unique = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = connected_components(found)
     named = materialize(
@@ -278,9 +286,7 @@ def _classes(own: DataFrame, found: DataFrame) -> DataFrame:
     )
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(names, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
-    return own.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp"
-    )
+    return own.join(classes, "fp").select("doc_id", fingerprint.alias("fingerprint"), "component_id", "component_fp")
 
 
 def keep_one(docs: DataFrame, bucket: int = BUCKET, width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -292,9 +298,9 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, width: int = 3, similarity:
     occurs more than once (nulls included) are fingerprinted again, to tell them apart.
     """
     if similarity is None:
-        classes, arrays = near_duplicates(docs, bucket), _fp_arrays
+        classes, arrays, kind, own = near_duplicates(docs, bucket), _fp_arrays, "fp long", _digits(F.col("fp"))
     else:
-        classes, arrays = similar(docs, width, similarity, bucket), shingles.key_arrays(width)
+        classes, arrays, kind, own = similar(docs, width, similarity, bucket), shingles.name_arrays(width), "name string", F.col("name")
     found = materialize(classes, "simhash-classes")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
     own_id = F.col("rec.doc_id").cast("long")
@@ -308,7 +314,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, width: int = 3, similarity:
     twin = own_id.eqNullSafe(F.col("twin"))
     singles = kept.join(repeated, twin, "left_anti")
     twins = packed.join(repeated, twin, "left_semi").withColumn("text", F.col("rec.text"))
-    marked = map_texts(twins, ["rec"], arrays, "fp long").select("rec.rec", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("own"))
+    marked = map_texts(twins, ["rec"], arrays, kind).select("rec.rec", own.alias("own"))
     stay = found.where(stays).select("doc_id", "fingerprint", "component_fp").distinct()
     chosen = marked.join(stay, own_id.eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("fingerprint")))
     return singles.unionByName(chosen.dropDuplicates(["component_fp"]).select("rec")).select("rec.*")
