@@ -199,7 +199,7 @@ def _run(spark: SparkSession, options: Options, manifest: str, prefix: str) -> D
     if matrix is None:
         with _timed("matrix"):
             keep = readers.filter_sequences(spark, options.flt, options.k) if options.flt else None
-            built = analysis.build(readers.reads(spark, samples, options.fmt), keep)
+            built = analysis.build(readers.reads(spark, samples, options.fmt, options.k), keep)
             if options.reuse:
                 writers.save_matrix(built, f"{prefix}.db", settings)
                 matrix = spark.read.parquet(f"{prefix}.db/matrix")

@@ -44,7 +44,7 @@ def sequence_files(spark: SparkSession, sf_dir: str, fmt: str, compression: str
 
 def counted(spark: SparkSession, sf_dir: str, fmt: str, compression: str = "none") -> DataFrame:
     samples = readers.manifest(spark, sequence_files(spark, sf_dir, fmt, compression))
-    return mx.count_reads(readers.reads(spark, samples, fmt), q.SAMPLES, q.K)
+    return mx.count_reads(readers.reads(spark, samples, fmt, q.K), q.SAMPLES, q.K)
 
 
 def filtered(spark: SparkSession, sf_dir: str, fasta: bool) -> DataFrame:
