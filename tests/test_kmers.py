@@ -117,7 +117,7 @@ def test_streaming_counts(spark, tmp_path):
     query = counts.start(running, f"{tmp_path}/out", f"{tmp_path}/ck")
     query.processAllAvailable()
     query.stop()
-    got = {(r["sample"], r["kmer"]): r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    got = {(r["sample"], r["kmer"]): r["n"] for r in counts.current_counts(spark, f"{tmp_path}/out").collect()}
     assert got["sample1", "AAAACACACAAACAGATAAACAGAT"] == 2 and got["sample3", "ACCCCTGGGAATTAACCCACCTACG"] == 1
 
 
