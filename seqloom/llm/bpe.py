@@ -225,7 +225,9 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
 
     rec holds the columns ``keep`` of ``docs`` (all if None). A null text counts as empty. The
     hashes are of the ids as little-endian unsigned 32-bit integers and of the decoded text in
-    UTF-8. ``with_ids`` adds the ids and the decoded text themselves.
+    UTF-8. ``with_ids`` adds the ids and the decoded text themselves. A text is coded whole, however
+    long, in memory some times its size; rows repeated in every column get equal results, and an empty
+    table gives an empty one.
     """
     with open(vocab_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

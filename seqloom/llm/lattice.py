@@ -379,7 +379,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
     vec_id reachable. Null, empty and zero vectors and those with null or non-finite components
     link with nothing; vectors of different lengths do not link. Rows that repeat a vec_id count
     as vectors of their own. A row with null vec_id keeps a null component_id only if all its
-    component's ids are null.
+    component's ids are null. An empty table gives an empty result.
     """
     single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
     kind, held = ("<f4", "array<float>") if single else ("<f8", "array<double>")

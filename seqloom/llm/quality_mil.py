@@ -11,6 +11,7 @@ on a bounded sample; scoring reads every passage of every text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import discard, id_remainder, labelled_sample, map_texts
 
 PASSAGE = 64
+#: Bytes of a text that are encoded at once.
+BLOCK = 1 << 20
 #: Bounds of the training sample: documents, and passages of one document (spread evenly over it).
 SAMPLE = 5000
 TRAIN_PASSAGES = 64
@@ -65,50 +68,99 @@ _LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint32)
 SIZE = _KINDS + _KINDS * _KINDS + TRIGRAMS + 6
 
 
-def encode(text: str) -> np.ndarray:
-    """Encodings of all passages of a text, at least one (of zeros where there is no word)."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    blank = _SPACE[raw]
-    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    words = len(starts)
-    if not words:
-        return np.zeros((1, SIZE), np.float32)
-    passages = -(-words // PASSAGE)
-    begin = starts[::PASSAGE].copy()
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of a text, and where each passage begins; read ``BLOCK`` bytes at a time."""
+    codes, begins, at, words = [], [], 0, 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        while end < len(raw) and not _SPACE[raw[end]]:  # a word is not cut
+            end += 1
+        part = np.frombuffer(raw, np.uint8, end - at, at)
+        blank = _SPACE[part]
+        starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        codes.append(np.fromiter(map(hash, raw[at:end].split()), np.int64, len(starts)).view(np.uint64))
+        begins.append(at + starts[-words % PASSAGE :: PASSAGE])
+        words, at = words + len(starts), end
+    return (np.concatenate(codes), np.concatenate(begins)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _heard(code: np.ndarray) -> np.ndarray:
+    """Which words begin a trigram of words that the text has had already, looked up in a few shares of the trigrams at a time."""
+    out = np.zeros(len(code), bool)
+    if len(code) >= 3:
+        triple = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:]
+        shares = 1 + len(triple) // BLOCK
+        for share in range(shares):
+            own = np.flatnonzero(triple % np.uint64(shares) == np.uint64(share)) if shares > 1 else np.arange(len(triple))
+            order = own[np.argsort(triple[own], kind="stable")]
+            out[order[1:][triple[order][1:] == triple[order][:-1]]] = True
+    return out
+
+
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """Encodings of the passages of a text, at least one (of zeros where there is no word), some passages at a time.
+
+    Beside the text a block needs memory for its own passages, and the whole text ten bytes for each word.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    code, begin = _hashes(raw)
+    if not len(code):
+        yield np.zeros((1, SIZE), np.float32)
+        return
+    heard, same = _heard(code), np.r_[False, code[1:] == code[:-1]]
     begin[0] = 0
-    passage = np.repeat(np.arange(passages), np.diff(np.r_[begin, len(raw)]))
+    at = 0
+    while at < len(begin):
+        end = max(at + 1, int(np.searchsorted(begin, begin[at] + BLOCK, "right")) - 1) if begin[-1] > begin[at] + BLOCK else len(begin)
+        stop = int(begin[end]) if end < len(begin) else len(raw)
+        own = slice(at * PASSAGE, end * PASSAGE)
+        yield _encoded(raw[begin[at] : stop + 2], stop - int(begin[at]), begin[at:end] - begin[at], code[own], heard[own], same[own])
+        at = end
+
+
+def _encoded(data: bytes, size: int, begin: np.ndarray, code: np.ndarray, heard: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Encodings of passages that begin at ``begin`` of ``data``; up to two bytes beyond ``size`` are those that follow."""
+    raw, passages, words = np.frombuffer(data, np.uint8), len(begin), len(code)
+    passage = np.repeat(np.arange(passages), np.diff(np.r_[begin, size]))
     kinds = _CLASS[raw]
-    single = np.bincount(passage * _KINDS + kinds, minlength=passages * _KINDS).reshape(passages, -1)
-    pairs = np.bincount(
-        passage[:-1] * _KINDS**2 + kinds[:-1] * _KINDS + kinds[1:], minlength=passages * _KINDS**2
-    ).reshape(passages, -1)
-    low = _LOW[raw]
-    bucket = ((low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(25)
-    letters = np.bincount(passage[: len(bucket)] * TRIGRAMS + bucket, minlength=passages * TRIGRAMS).reshape(passages, -1)
-    size = single.sum(axis=1, keepdims=True)
+    single = np.bincount(passage * _KINDS + kinds[:size], minlength=passages * _KINDS).reshape(passages, -1)
+    n = min(size, len(raw) - 1)
+    pairs = np.bincount(passage[:n] * _KINDS**2 + kinds[:n] * _KINDS + kinds[1 : n + 1], minlength=passages * _KINDS**2).reshape(passages, -1)
+    low, n = _LOW[raw], max(0, min(size, len(raw) - 2))
+    bucket = ((low[:n] << 16 | low[1 : n + 1] << 8 | low[2 : n + 2]) * np.uint32(0x9E3779B1)) >> np.uint32(25)
+    letters = np.bincount(passage[:n] * TRIGRAMS + bucket, minlength=passages * TRIGRAMS).reshape(passages, -1)
+    total = single.sum(axis=1, keepdims=True)
     count = np.full(passages, PASSAGE, float)
     count[-1] = words - (passages - 1) * PASSAGE
     at = np.arange(words) // PASSAGE
-    tokens = raw.tobytes().split()
-    code = np.fromiter(map(hash, tokens), np.int64, words).view(np.uint64)
-    length = np.fromiter(map(len, tokens), np.int64, words)
+    length = np.fromiter(map(len, data[:size].split()), np.int64, words)
     # words that a passage has had already, words equal to their predecessor, trigrams the text has had already
     order = np.lexsort((code, at))
     again = (code[order][1:] == code[order][:-1]) & (at[order][1:] == at[order][:-1])
     repeats = np.bincount(at[order][1:][again], minlength=passages)
-    same = np.bincount(at[1:][code[1:] == code[:-1]], minlength=passages)
-    old = np.zeros(passages)
-    if words >= 3:
-        triple = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:]
-        by_code = np.argsort(triple, kind="stable")
-        seen = by_code[1:][triple[by_code][1:] == triple[by_code][:-1]]
-        old = np.bincount(at[seen], minlength=passages)
+    same, old = np.bincount(at[same], minlength=passages), np.bincount(at[heard], minlength=passages)
     return np.column_stack([
-        single / size, 4 * pairs / size, 8 * letters / size, repeats / count, same / count, old / count,
+        single / total, 4 * pairs / total, 8 * letters / total, repeats / count, same / count, old / count,
         np.bincount(at, length, passages) / count / 10, np.bincount(at, length > 20, passages) / count, count / PASSAGE,
     ]).astype(np.float32)
 
 
+def encode(text: str) -> np.ndarray:
+    """Encodings of all passages of a text in one array."""
+    return np.concatenate(list(blocks(text)))
+
+
+def _spread(text: str, most: int) -> np.ndarray:
+    """Encodings of at most ``most`` passages, spread evenly over the text."""
+    passages = max(1, -(-len(text.split()) // PASSAGE)) if len(text) < BLOCK else len(_hashes(text.encode("utf-8", "surrogatepass"))[1]) or 1
+    wanted = np.linspace(0, passages - 1, most).astype(int) if passages > most else np.arange(passages)
+    out, before = [], 0
+    for block in blocks(text):
+        out.append(block[wanted[(wanted >= before) & (wanted < before + len(block))] - before])
+        before += len(block)
+    return np.concatenate(out)
+
+
 @dataclass
 class AttentionModel:
     """Weights: encoder, gated attention, score. ``mean``/``scale`` standardise encodings."""
@@ -117,13 +169,29 @@ class AttentionModel:
     scale: np.ndarray
     params: list[np.ndarray]  # encoder W, b; attention V, U, w; score c, d
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        """Passages of bags that begin at ``first`` -> probabilities of the bags, and what training needs."""
-        w, b, v, u, a, c, d = self.params
+    def passages(self, x: np.ndarray):
+        """Encodings -> standardised ones, representations, both sides of the gate, and attention before it is normalised."""
+        w, b, v, u, a = self.params[:5]
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.maximum(z @ w + b, 0)
         left, gate = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
-        raw = (left * gate) @ a
+        return z, h, left, gate, (left * gate) @ a
+
+    def probability(self, parts: Iterator[np.ndarray]) -> float:
+        """The probability of one bag whose passages come in parts; attention is normalised as they come."""
+        c, d = self.params[5:]
+        top, total, pooled = -np.inf, 0.0, 0.0
+        for x in parts:
+            _, h, _, _, raw = self.passages(x)
+            high = max(top, float(raw.max()))
+            e, before = np.exp(raw - high), np.exp(top - high)
+            total, pooled, top = total * before + float(e.sum()), pooled * before + e @ h, high
+        return float(1 / (1 + np.exp(-(pooled / total @ c + d[0]))))
+
+    def forward(self, x: np.ndarray, first: np.ndarray):
+        """Passages of bags that begin at ``first`` -> probabilities of the bags, and what training needs."""
+        c, d = self.params[5:]
+        z, h, left, gate, raw = self.passages(x)
         bag = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
         e = np.exp(raw - np.maximum.reduceat(raw, first)[bag])
         alpha = e / np.add.reduceat(e, first)[bag]
@@ -137,8 +205,11 @@ def train(
 ) -> AttentionModel:
     """Fit by Adam on the logistic loss of documents."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate(bags) if bags else np.zeros((0, SIZE), np.float32)
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32))
+    mean, scale = np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32)
+    if bags:  # sums by bag: the sample is not held twice
+        n = sum(map(len, bags))
+        mean = (sum(b.sum(axis=0, dtype=float) for b in bags) / n).astype(np.float32)
+        scale = (np.sqrt(sum(((b - mean) ** 2).sum(axis=0, dtype=float) for b in bags) / n) + 1e-3).astype(np.float32)
     shapes = [(SIZE, hidden), (hidden,), (hidden, inner), (hidden, inner), (inner,), (hidden,), (1,)]
     params = [rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32) if len(s) > 1 or s[0] == inner else np.zeros(s, np.float32) for s in shapes]
     params[5] = rng.normal(0, 0.3, hidden).astype(np.float32)
@@ -180,27 +251,33 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     sample = labelled_sample(docs, labels, "quality", max_rows, seed, modulus, held_out)
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        bags = [encode(t or "") for t in texts]
-        bags = [b[np.linspace(0, len(b) - 1, TRAIN_PASSAGES).astype(int)] if len(b) > TRAIN_PASSAGES else b for b in bags]
-        return [pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())]
+        return [pa.array([_spread(t or "", TRAIN_PASSAGES).astype("<f2").tobytes() for t in texts], pa.binary())]
 
     rows = map_texts(sample, ["doc_id", "label"], run, "bag binary").select("rec.*", "bag").collect()
     discard(sample)
     rows.sort(key=lambda r: r["doc_id"])
-    bags = [np.frombuffer(r["bag"], "<f4").reshape(-1, SIZE) for r in rows]
+    bags = [np.frombuffer(r["bag"], "<f2").reshape(-1, SIZE) for r in rows]
     return train(bags, np.array([r["label"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: AttentionModel, keep: list[str] | None = None) -> DataFrame:
     """``docs(text, ...)`` -> ``(rec, score)``, a row per input row; rec holds the columns ``keep`` (all).
 
-    score: probability of quality label 1. Null texts count as empty: one passage without words.
+    score: probability of quality label 1. Null texts count as empty: one passage without words. A text
+    of more than ``BLOCK`` characters is encoded and pooled block by block, so beside itself it needs
+    ten bytes a word and one block's encodings, however long it is. A row repeated in every column gets
+    the score of its like, and an empty table gives an empty result.
     """
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        bags = [encode(t or "") for t in texts]
-        p, _ = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))
-        return [pa.array(p.astype(float), pa.float64())]
+        p = np.zeros(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t or "") <= BLOCK]
+        if short:
+            bags = [encode(texts[i] or "") for i in short]
+            p[short] = model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])]))[0]
+        for i in set(range(len(texts))) - set(short):
+            p[i] = model.probability(blocks(texts[i]))
+        return [pa.array(p, pa.float64())]
 
     return map_texts(docs, keep, run, "score double", slice_rows=200)
 

@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     fingerprint: 16 lower-case hex digits. component_id: the smallest doc_id reachable over links
     of at most three differing bits (null only if all ids there are null). component_fp: the
-    fingerprint value that stands for the component.
+    fingerprint value that stands for the component. An empty table gives an empty result.
     """
     own = materialize(fingerprints(docs), "simhash-fp")
     return _classes(own, links(own.select("fp").distinct(), bucket), _digits(F.col("fp")))

@@ -240,7 +240,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     """``docs(text, ...)`` -> ``(rec, score)``, a row per input row; rec holds the columns ``keep`` (all).
 
     score lies in 0..1; null texts count as empty and get the score of a text without words;
-    copies get equal scores.
+    copies, and rows repeated in every column, get equal scores. A text's tokens are read one after the
+    other and only counts are kept, so a very long text needs a few times its own size. An empty table
+    gives an empty result.
     """
     return map_texts(docs, keep, lambda texts: [pa.array(model.scores(texts), pa.float64())], "score double")
 

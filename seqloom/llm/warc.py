@@ -245,7 +245,10 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
 
 
 def round_trip(pages: DataFrame, least: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` as archives into the shared folder and read them back: a row per page."""
+    """Write ``pages(page_id, url, html)`` as archives into the shared folder and read them back: a row per page.
+
+    An empty table gives an empty result.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path, least)
     back = read(pages.sparkSession, path, range_bytes)
