@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle(), "op8_lattice": lattice.oracle(), "op10_warc": warc.oracle(), "op11_chat": chat.oracle(), "op12_trie": trie.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op8_lattice": lattice.oracle(), "op10_warc": warc.oracle(), "op11_chat": chat.oracle(), "op12_trie": trie.oracle(), "op13_spelling": spelling.oracle()}

@@ -193,3 +193,25 @@ def variants(docs: DataFrame) -> DataFrame:
     roots = _roots(listed.where("form_id is not null").select("id", F.col("form_id").alias("form")))
     named = roots.join(known.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
     return listed.join(named, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle() -> str:
+    """SQL for the variants, with near words as pairs; for small tables. Letters beyond ASCII are two bytes in UTF-8."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    table = f"list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: {step}))"
+    codes = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+    return f"""WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}')), '{upper}', '{lower}') AS run FROM documents),
+hashed AS (SELECT run, {crc} AS h FROM runs, (SELECT {table} AS crcs)),
+found AS (SELECT CASE WHEN h % {ONE_IN} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+voc AS (SELECT word, count(*) AS n FROM found WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING count(*) >= {LEAST_COUNT}),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT) AS a, substr(word, i::INT + 2) AS b FROM voc, unnest(range(length(word))) u(i)),
+shorter AS (SELECT DISTINCT word, n, a || b AS rest FROM cut),
+pairs AS (SELECT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT s.word, s.n, v.word, v.n FROM shorter s JOIN voc v ON v.word = s.rest
+  UNION ALL SELECT v.word, v.n, s.word, s.n FROM shorter s JOIN voc v ON v.word = s.rest),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * v.n THEN other END AS form, CASE WHEN m >= {TIMES} * v.n THEN m END AS form_n FROM voc v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w USING (word) JOIN formed e ON e.word = w.root AND e.form IS NULL"""
