@@ -148,11 +148,14 @@ def kept_normaliser(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 
 
 def phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and class labels, a file each, as read for the samples."""
-    numbers = text_file(spark, [" ".join(str(y) for y in q.PHENOTYPE[:7]), "\n".join(str(y) for y in q.PHENOTYPE[7:])], "numbers")
-    labels = text_file(spark, [" ".join("cab"[c] for c in q.THREE)], "labels")
-    rows = zip(q.SAMPLES, readers.numeric_phenotype(spark, numbers, q.N), readers.class_phenotype(spark, labels, q.N), strict=True)
-    return spark.createDataFrame(list(rows), "sample string, y double, class long")
+    """Numbers and class labels of the sources, a file each, as read for the samples: their characters, and whether those are odd."""
+    sums = q.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
+    have = {r["source"]: r["n"] or 0 for r in sums.where(F.col("source").isin(q.SAMPLES)).collect()}  # one a sample
+    counts = [have.get(s, 0) for s in q.SAMPLES]
+    numbers = text_file(spark, [" ".join(f"{c}.5" for c in counts[:7]), "\n".join(f"{c}.5" for c in counts[7:])], "numbers")
+    labels = text_file(spark, [" ".join("odd" if c % 2 else "even" for c in counts)], "labels")
+    read = zip(q.SAMPLES, readers.numeric_phenotype(spark, numbers, q.N), readers.class_phenotype(spark, labels, q.N), strict=True)
+    return spark.createDataFrame(list(read), "sample string, y double, class long")
 
 
 def whole_run(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
@@ -176,8 +179,12 @@ def _register() -> None:
     q.register("source_gzip", lambda s, d: counted(s, d, "fq", "gzip"), q.ORACLES["kmer_count_canonical"])
     q.register("source_filter_list", lambda s, d: filtered(s, d, False), q.ORACLES["kmer_filter_set"])
     q.register("source_filter_fasta", lambda s, d: filtered(s, d, True), q.ORACLES["kmer_filter_set"])
-    listed = ", ".join(f"('{s}', {y}::DOUBLE, {c}::BIGINT)" for s, y, c in zip(q.SAMPLES, q.PHENOTYPE, q.THREE, strict=True))
-    q.register("source_phenotypes", phenotypes, f"SELECT * FROM (VALUES {listed}) t(sample, y, class)")
+    samples = ", ".join(f"('{s}', {i})" for i, s in enumerate(q.SAMPLES))
+    q.register(
+        "source_phenotypes", phenotypes,
+        f"""WITH per AS (SELECT sample, i, (SELECT coalesce(sum(n_chars), 0) FROM documents WHERE source = sample) AS n FROM (VALUES {samples}) t(sample, i))
+SELECT sample, n + 0.5::DOUBLE AS y, (n % 2 <> (SELECT n % 2 FROM per WHERE i = 0))::BIGINT AS class FROM per""",
+    )
     q.register("sink_matrix", matrix_file, q.ORACLES["kmer_matrix_any"])
     q.register("sink_fasta", fasta_file, q.sql(q.cells(), select="SELECT DISTINCT kmer FROM cells"))
     q.register("sink_totals", totals_file, q.ORACLES["tot_cnt"].replace("SELECT coalesce(sum(x) FILTER (i = 0)", "SELECT 'tot_cnt' AS measure, coalesce(sum(x) FILTER (i = 0)"))

@@ -493,7 +493,11 @@ UNION ALL SELECT 3, round(sum(a.g / t * b.g / t / t), 8) FROM g a JOIN g2 b ON a
         sql(cells(), FREQ, select="SELECT a.i AS i, b.i AS j, round(sum((10000 * a.v - 10000 * b.v) * (10000 * a.v - 10000 * b.v)), 4) AS d2 FROM norm a JOIN norm b ON a.kmer = b.kmer AND a.i < b.i GROUP BY ALL"),
     )
     register("pca_scores", lambda s, d: reduce.coordinates_table(s, reduce.pca(_scaled(s, d), "norm", N).scores, "PCA", SAMPLES))
-    register("pca_variance", lambda s, d: reduce.variance_table(s, reduce.pca(_scaled(s, d), "norm", N), 1 << 30))
+    def variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _scaled(spark, sf_dir)
+        return reduce.variance_table(spark, reduce.pca(rows, "norm", N), rows.count())
+
+    register("pca_variance", variance)
     register("umap", lambda s, d: reduce.coordinates_table(s, reduce.umap(_scaled(s, d), "norm", N), "UMAP", SAMPLES))
 
 
