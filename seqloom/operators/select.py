@@ -204,6 +204,12 @@ def fold_lists(validated: DataFrame, methods: dict[str, list[list[int]]], n: int
     return top_lists(validated, {c: (c, True) for c in names}, n)
 
 
+def fold_top(validated: DataFrame, method: str, fold: int, tests: list[list[int]], samples: Sequence[str], n: int = 10_000) -> DataFrame:
+    """One fold's best rows by absolute correlation: value, then counts of training and of test samples."""
+    best = top(validated, f"cv_{method}_{fold}", n, absolute=True)
+    return best.select("kmer", F.col(f"cv_{method}_{fold}").alias(method), *[F.col("counts")[i].alias(c) for c, i in fold_columns(samples, tests[fold])])
+
+
 def fold_columns(samples: Sequence[str], test: Sequence[int]) -> list[tuple[str, int]]:
     """Names of a fold's count columns and the samples they are of: training samples, then test samples."""
     train = [i for i in range(len(samples)) if i not in test]
