@@ -122,6 +122,12 @@ def totals(matrix: DataFrame, samples: Sequence[str]) -> DataFrame:
     return matrix.agg(*[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)).cast("long").alias(s) for i, s in enumerate(samples)])
 
 
+def size_and_totals(matrix: DataFrame, samples: Sequence[str]) -> tuple[int, list[int]]:
+    """The number of rows and each sample's sum, in one pass."""
+    n, *sums = matrix.agg(F.count(F.lit(1)), *[F.sum(F.col("counts")[i]) for i in range(len(samples))]).first()
+    return n, [s or 0 for s in sums]
+
+
 def wide(matrix: DataFrame, values: str, names: Sequence[str], *keep: str) -> DataFrame:
     """The array column as one column per sample."""
     return matrix.select(*keep, *[F.col(values)[i].alias(n) for i, n in enumerate(names)])

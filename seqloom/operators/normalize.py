@@ -7,6 +7,7 @@ quantiles a value per sample and count.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,10 +67,11 @@ class Quantiles:
         return matrix.join(rows.select("kmer", F.transform("c", lambda c: c["mapped"]).alias(out)), "kmer")
 
 
-def learn_frequency(matrix: DataFrame, samples: int) -> Factors:
-    """One over the sample's total; zero for an empty sample."""
-    sums = matrix.agg(*[F.sum(F.col("counts")[i]).alias(f"s{i}") for i in range(samples)]).first()
-    return Factors("freq", [1.0 / s if s else 0.0 for s in (sums[f"s{i}"] for i in range(samples))])
+def learn_frequency(matrix: DataFrame, samples: int, totals: Sequence[int] | None = None) -> Factors:
+    """One over the sample's total; zero for an empty sample. The matrix is not read if the totals are known."""
+    if totals is None:
+        totals = matrix.agg(*[F.sum(F.col("counts")[i]) for i in range(samples)]).first()
+    return Factors("freq", [1.0 / s if s else 0.0 for s in totals])
 
 
 def medians(cells: DataFrame) -> dict[int, float]:
@@ -157,9 +159,9 @@ def learn_quantiles(matrix: DataFrame, samples: int) -> Quantiles:
 LEARN = {"freq": learn_frequency, "deseq": learn_deseq, "q": learn_quantiles, "deseq_freq": learn_deseq_frequency}
 
 
-def learn(matrix: DataFrame, samples: int, method: str) -> Factors | Quantiles:
-    """``method``: freq, deseq, q, or deseq_freq."""
-    return LEARN[method](matrix, samples)
+def learn(matrix: DataFrame, samples: int, method: str, totals: Sequence[int] | None = None) -> Factors | Quantiles:
+    """``method``: freq, deseq, q, or deseq_freq. ``totals`` are the samples' sums, where they are known."""
+    return learn_frequency(matrix, samples, totals) if method == "freq" else LEARN[method](matrix, samples)
 
 
 def save(model: Factors | Quantiles, spark: SparkSession, path: str) -> None:

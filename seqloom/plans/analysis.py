@@ -13,6 +13,7 @@ from seqloom.functions import rowstats
 from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, reduce, select
 from seqloom.plans.options import WITH_PVALUE, Options
+from seqloom.sources import kept as kept_matrix
 from seqloom.sources import readers, writers
 from seqloom.sources.scratch import discard, materialize, put_text
 
@@ -71,19 +72,24 @@ class Analysis:
     def __init__(self, spark: SparkSession, options: Options, names: list[str], phenotype: list[float] | None = None, classes: list[int] | None = None):
         options.check()
         options.check_samples(len(names), classes)
+        self.kept: kept_matrix.Kept | None = None  # the kept table that the matrix is, if it is one
+        self.n_rows: int | None = None  # of the matrix, and its sums by sample, once they are known
+        self.totals: list[int] | None = None
         self.spark, self.options, self.names, self.phenotype, self.classes = spark, options, names, phenotype, classes
 
-    def build(self, reads: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-        """``reads(sample, seq)`` -> the filtered matrix; ``keep`` are sequences whose k-mers alone remain."""
+    def build(self, reads: DataFrame, keep: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+        """``reads(sample, seq)`` -> the filtered matrix over ``names`` (else all); ``keep`` are sequences whose k-mers alone remain."""
         o = self.options
         wanted = None if keep is None else mx.packed_set(keep, o.k, o.canonical, o.cx)
-        return mx.filter_rows(mx.of_reads(reads, self.names, o.k, o.canonical, o.ci, o.cx, o.cs, wanted), o.thr, o.thr_rat)
+        return mx.filter_rows(mx.of_reads(reads, names or self.names, o.k, o.canonical, o.ci, o.cx, o.cs, wanted), o.thr, o.thr_rat)
 
     def normalized(self, matrix: DataFrame) -> DataFrame:
         """Adds ``norm`` if a normalisation is asked for."""
         if not self.options.normalize:
             return matrix
-        return normalize.learn(matrix, len(self.names), self.options.normalize).transform(matrix)
+        if self.kept is not None:
+            return self.kept.model(self.options.normalize).transform(matrix)
+        return normalize.learn(matrix, len(self.names), self.options.normalize, self.totals).transform(matrix)
 
     def statistics(self, matrix: DataFrame) -> DataFrame:
         """Adds every statistic asked for, in one pass over the rows."""
@@ -121,7 +127,9 @@ class Analysis:
         if "fa" in o.outputs:
             writers.fasta(matrix, f"{prefix}.fa")
         if o.totals:
-            writers.tsv(mx.totals(matrix, names).select(F.lit("tot_cnt").alias("measure"), *names), f"{prefix}_tot_cnt")
+            known = self.totals if self.totals is not None else mx.size_and_totals(matrix, names)[1]
+            row = self.spark.createDataFrame([("tot_cnt", *known)], "measure string, " + ", ".join(f"`{n}` long" for n in names))
+            writers.tsv(row, f"{prefix}_tot_cnt")
         with _timed("statistics"):
             rows = self.statistics(self.normalized(matrix)).persist()
             if o.save_normalized:
@@ -174,7 +182,7 @@ class Analysis:
     def _write_pca(self, rows: DataFrame, prefix: str, n: int) -> None:
         found = reduce.pca(rows, "norm", n, self.options.dims)
         writers.tsv(reduce.coordinates_table(self.spark, found.scores, "PCA", self.names), f"{prefix}_pca")
-        writers.tsv(reduce.variance_table(self.spark, found, rows.count()), f"{prefix}_pca_variance")
+        writers.tsv(reduce.variance_table(self.spark, found, rows.count() if self.n_rows is None else self.n_rows), f"{prefix}_pca_variance")
 
     def _write_umap(self, rows: DataFrame, prefix: str, n: int) -> None:
         at = reduce.umap(rows, "norm", n, self.options.dims, self.options.umap_options)
@@ -194,24 +202,39 @@ def _run(spark: SparkSession, options: Options, manifest: str, prefix: str) -> D
     phenotype = readers.numeric_phenotype(spark, options.phenotype, len(names)) if options.phenotype else None
     classes = readers.class_phenotype(spark, options.classes, len(names)) if options.classes else None
     analysis = Analysis(spark, options, names, phenotype, classes)
-    settings = options.matrix_settings(names)
-    matrix = writers.load_matrix(spark, f"{prefix}.db", settings) if options.reuse else None
-    if matrix is None:
-        with _timed("matrix"):
-            keep = readers.filter_sequences(spark, options.flt, options.k) if options.flt else None
-            built = analysis.build(readers.reads(spark, samples, options.fmt, options.k), keep)
-            if options.reuse:
-                writers.save_matrix(built, f"{prefix}.db", settings)
-                matrix = spark.read.parquet(f"{prefix}.db/matrix")
-                for method, wanted in (("freq", True), ("deseq", options.learn_deseq), ("q", options.learn_q)):
-                    if wanted:
-                        normalize.save(normalize.learn(matrix, len(names), method), spark, f"{prefix}.db/norm_{method}")
-            else:
-                matrix = built.persist()
-    if matrix.isEmpty():
+    with _timed("matrix"):
+        matrix = _matrix(spark, analysis, samples, f"{prefix}.db")
+    if not analysis.n_rows:
         raise ValueError("the matrix is empty: no k-mer passed the filters")
-    empty = [n for n, total in mx.totals(matrix, names).first().asDict().items() if not total]
+    empty = [n for n, total in zip(names, analysis.totals, strict=True) if not total]
     if empty:
         log.warning("samples without k-mers: %s", ", ".join(empty))
     analysis.write(matrix, prefix)
     return matrix
+
+
+def _matrix(spark: SparkSession, analysis: Analysis, samples: list[readers.Sample], path: str) -> DataFrame:
+    """The matrix, from the kept table as far as that has its samples; the analysis knows its size and totals."""
+    options, names = analysis.options, analysis.names
+    settings = options.matrix_settings(names)
+    kept = kept_matrix.load(spark, path, settings) if options.reuse else None
+    if kept is None:
+        part = kept_matrix.part(spark, path, settings) if options.reuse else None
+        new = [s for s in samples if part is None or s.name not in part.names]
+        keep = readers.filter_sequences(spark, options.flt, options.k) if options.flt else None
+        built = analysis.build(readers.reads(spark, new, options.fmt, options.k), keep, [s.name for s in new])
+        if not options.reuse:
+            matrix = built.persist()
+            analysis.n_rows, analysis.totals = mx.size_and_totals(matrix, names)
+            return matrix
+        if part is not None:
+            log.info("%d of %d samples are kept", len(part.names), len(names))
+            kept = kept_matrix.grow(part, built, [s.name for s in new], settings)
+        else:
+            kept = kept_matrix.save(built, path, settings)
+    analysis.kept, analysis.n_rows, analysis.totals = kept, kept.n_rows, kept.totals
+    if kept.n_rows:
+        for method, wanted in (("freq", True), ("deseq", options.learn_deseq), ("q", options.learn_q)):
+            if wanted:
+                kept.model(method)
+    return kept.rows

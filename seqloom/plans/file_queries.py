@@ -16,7 +16,7 @@ from seqloom.operators import normalize, pvalues, select
 from seqloom.plans import queries as q
 from seqloom.plans.analysis import run
 from seqloom.plans.options import Options
-from seqloom.sources import readers, writers
+from seqloom.sources import kept, readers, writers
 from seqloom.sources.scratch import scratch_path
 
 RECORD = {
@@ -137,8 +137,23 @@ def significant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, settings = scratch_path(spark, "kept"), Options(k=q.K).matrix_settings(q.SAMPLES)
-    writers.save_matrix(q.base(spark, sf_dir), path, settings)
-    return q.wide(writers.load_matrix(spark, path, settings))
+    kept.save(q.base(spark, sf_dir), path, settings)
+    return q.wide(kept.load(spark, path, settings).rows)
+
+
+def grown_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of all sources, of which every third came later than the others."""
+    path, reads = scratch_path(spark, "kept"), q.reads(spark, sf_dir)
+    first, later = [s for i, s in enumerate(q.SAMPLES) if i % 3], q.SAMPLES[::3]
+    kept.save(mx.of_reads(reads, first, q.K), path, Options(k=q.K).matrix_settings(first))
+    settings = Options(k=q.K).matrix_settings(q.SAMPLES)
+    return q.wide(kept.grow(kept.part(spark, path, settings), mx.of_reads(reads, later, q.K), later, settings).rows)
+
+
+def observed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and totals of the matrix as they were observed while it was written: ``(sample, total, n_rows)``."""
+    found = kept.save(q.base(spark, sf_dir), scratch_path(spark, "kept"), Options(k=q.K).matrix_settings(q.SAMPLES))
+    return spark.createDataFrame([(n, t, found.n_rows) for n, t in zip(found.names, found.totals, strict=True)], "sample string, total long, n_rows long")
 
 
 def kept_normaliser(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -190,6 +205,11 @@ SELECT sample, n + 0.5::DOUBLE AS y, (n % 2 <> (SELECT n % 2 FROM per WHERE i =
     q.register("sink_totals", totals_file, q.ORACLES["tot_cnt"].replace("SELECT coalesce(sum(x) FILTER (i = 0)", "SELECT 'tot_cnt' AS measure, coalesce(sum(x) FILTER (i = 0)"))
     q.register("sink_normalized", normalized_file, q.sql(q.cells(), q.FREQ, select=q.pivot("norm", six("v"))))
     q.register("sink_kept_matrix", kept_matrix, q.ORACLES["kmer_matrix_any"])
+    q.register("kept_matrix_grown", grown_matrix, q.ORACLES["kmer_matrix_any"])
+    q.register(
+        "kept_matrix_observed", observed_totals,
+        q.sql(q.cells(), select="SELECT 'src' || i AS sample, sum(x)::BIGINT AS total, count(*)::BIGINT AS n_rows FROM cells GROUP BY i"),
+    )
     for name, method in (("deseq", "deseq"), ("quantile", "q")):
         q.register(f"sink_normaliser_{name}", lambda s, d, m=method: kept_normaliser(s, d, m), q.ORACLES[f"norm_{name}"])
     best = f"""best AS (SELECT kmer, round(r, 6) AS r, row_number() OVER (ORDER BY abs(round(r, 6)) DESC, kmer) - 1 AS rank FROM cor

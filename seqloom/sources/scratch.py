@@ -62,6 +62,17 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as a table's location needs it."""
+    fs, where = _hadoop(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder."""
     fs, where = _hadoop(spark, path)

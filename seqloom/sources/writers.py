@@ -1,11 +1,10 @@
-"""Outputs: text matrices, FASTA, statistics tables, and the kept matrix."""
+"""Outputs: text matrices, FASTA and statistics tables."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,18 +87,3 @@ def significant(rows: DataFrame, columns: Sequence[str], path: str, samples: Seq
     tsv(rows.select(F.col("kmer").alias("k-mer"), *columns), f"{path}_cor_significant")
     matrix_text(rows, f"{path}_cor_significant_matrix", samples)
     fasta(rows, f"{path}_cor_significant.fa")
-
-
-def save_matrix(matrix: DataFrame, path: str, settings: dict) -> None:
-    """Keep the matrix as Parquet, with the settings that made it."""
-    matrix.write.mode("overwrite").parquet(f"{path}/matrix")
-    matrix.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
-
-
-def load_matrix(spark: SparkSession, path: str, settings: dict) -> DataFrame | None:
-    """The kept matrix if it exists and was made with these settings, else None."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/settings")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    kept = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/settings").collect()))
-    return spark.read.parquet(f"{path}/matrix") if kept == json.loads(json.dumps(settings)) else None

@@ -5,7 +5,7 @@ import pytest
 from seqloom.__main__ import parser
 from seqloom.plans.analysis import run
 from seqloom.plans.options import OptionError, Options
-from seqloom.sources import readers, writers
+from seqloom.sources import kept, readers, writers
 
 from .test_kmers import EXAMPLE, GOLDEN
 
@@ -53,7 +53,7 @@ def test_whole_analysis(spark, samples, tmp_path):
     assert "3 samples, k = 25" in log and "matrix: begun" in log and "statistics: " in log
     again = run(spark, options, samples, prefix)
     assert "out.db/matrix" in again.inputFiles()[0]
-    assert writers.load_matrix(spark, f"{prefix}.db", options.matrix_settings(["other"])) is None
+    assert kept.load(spark, f"{prefix}.db", options.matrix_settings(["other"])) is None
 
 
 def test_a_failed_run_leaves_its_log(spark, tmp_path):
