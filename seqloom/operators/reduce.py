@@ -1,13 +1,15 @@
 """Dimension reduction of samples: principal components and UMAP.
 
 Samples are few and k-mers many, so Spark reduces the matrix to products between samples (n x n
-numbers) and the small rest is done with numpy on the driver; n is the number of columns.
+numbers) and the small rest is done with numpy on the driver; n is the number of columns. With more
+than ``GRAM_SAMPLES`` of them the products are never made: the leading components come from a block
+Krylov space, a scan of the matrix for each of its steps, and only n x (block x steps) numbers are held.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Samples up to which all their products are made (32 MB).
+GRAM_SAMPLES = 2048
+#: Directions of a Krylov block beyond the components asked for, most steps, and the error at which steps end.
+EXTRA, STEPS, TOLERANCE = 8, 40, 1e-10
+#: Numbers of a matrix that a task looks at together.
+SLICE = 1 << 22
+
+
+def _dense(column: pa.Array, samples: int, centred: bool) -> Iterator[np.ndarray]:
+    """The rows of a batch of arrays, some at a time; centred over the samples if asked."""
+    step = max(1, SLICE // samples)
+    for at in range(0, len(column), step):
+        x = column.slice(at, step).flatten().to_numpy(zero_copy_only=False).reshape(-1, samples)
+        yield x - x.mean(axis=1, keepdims=True) if centred else x
+
+
+def _rows(matrix: DataFrame, values: str) -> DataFrame:
+    return matrix.select(F.transform(values, lambda x: x.cast("double")).alias("v"))
+
+
 def gram(matrix: DataFrame, values: str, samples: int, centred: bool = True) -> np.ndarray:
     """Sums over rows of products of samples' values, each row centred over the samples if asked.
 
@@ -27,44 +49,116 @@ def gram(matrix: DataFrame, values: str, samples: int, centred: bool = True) ->
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((samples, samples))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, samples)
-            if centred:
-                x = x - x.mean(axis=1, keepdims=True)
-            total += x.T @ x
+            for x in _dense(batch.column(0), samples, centred):
+                total += x.T @ x
         columns = [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), pa.array(total[upper])]
         yield pa.RecordBatch.from_arrays(columns, ["i", "j", "g"])
 
-    rows = matrix.select(F.transform(values, lambda x: x.cast("double")).alias("v"))
     out = np.zeros((samples, samples))
-    for r in rows.mapInArrow(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
+    for r in _rows(matrix, values).mapInArrow(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["g"]
     return out
 
 
+def times(matrix: DataFrame, values: str, samples: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that multiplies the products of :func:`gram`, which are not made, with a few vectors (samples x p).
+
+    A call is one scan: a task adds up its rows' outer products with what the vectors make of them, and Spark sums by sample.
+    """
+    spark, rows = matrix.sparkSession, _rows(matrix, values)
+
+    def product(vectors: np.ndarray) -> np.ndarray:
+        width, sent = vectors.shape[1], spark.sparkContext.broadcast(vectors)  # samples x p numbers
+        names = [f"y{j}" for j in range(width)]
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros((samples, width)), False
+            for batch in batches:
+                for x in _dense(batch.column(0), samples, True):
+                    total += x.T @ (x @ sent.value)
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), *(pa.array(c.copy()) for c in total.T)], ["i", *names])
+
+        summed = rows.mapInArrow(part, "i long, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
+        out = np.zeros((samples, width))
+        got = summed.toPandas()  # a row a sample
+        out[got["i"].to_numpy()] = got[names].to_numpy()
+        sent.destroy()
+        return out
+
+    return product
+
+
+def leading(product: Callable[[np.ndarray], np.ndarray], samples: int, wanted: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues, downwards, and their vectors, of a symmetric matrix known by its products with vectors.
+
+    Blocks of a Krylov space are made orthogonal to all before them; after each, the best approximations
+    within the space are exact up to their residuals, which end the steps. An eigenvalue that is repeated
+    more often than a block is wide is found fewer times.
+    """
+    width = min(samples, wanted + EXTRA)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((samples, width)))[0]
+    basis, image = np.zeros((samples, 0)), np.zeros((samples, 0))
+    for _ in range(STEPS):
+        block = block[:, : samples - basis.shape[1]]
+        basis, image = np.hstack([basis, block]), np.hstack([image, product(block)])
+        inside = basis.T @ image
+        size, mix = np.linalg.eigh((inside + inside.T) / 2)
+        size, mix = size[::-1][:wanted], mix[:, ::-1][:, :wanted]
+        vectors = basis @ mix
+        error = np.linalg.norm(image @ mix - vectors * size, axis=0).max()
+        if error <= TOLERANCE * max(size[0], 1e-300) or basis.shape[1] == samples:
+            break
+        block = image[:, -block.shape[1] :]
+        for _again in range(2):  # once leaves rounding errors behind
+            block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+    return size, vectors
+
+
 @dataclass
 class Components:
     scores: np.ndarray  # samples x dimensions
-    variance: np.ndarray  # of all components, padded with zeros to the number of samples
+    variance: np.ndarray  # of all components, padded with zeros to the number of samples; or only of the scores'
     ratio: np.ndarray
 
 
+def _signed(scores: np.ndarray) -> np.ndarray:
+    """A component's largest score in absolute value is positive."""
+    sign = np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(scores.shape[1])])
+    return scores * np.where(sign == 0, 1, sign)
+
+
+def pca_by_products(matrix: DataFrame, values: str, samples: int, dimensions: int = 2) -> Components:
+    """The leading components without the samples' products: for many samples, with variances of these components alone."""
+    total = _rows(matrix, values).select(F.array_size("v").alias("n"), "v").agg(
+        F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) - F.pow(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.lit(2)) / F.col("n"))
+    ).first()[0] or 0.0
+    size, vectors = leading(times(matrix, values, samples), samples, dimensions)
+    size = np.clip(size, 0, None)
+    return Components(_signed(vectors * np.sqrt(size)), size / (samples - 1), size / total if total else size)
+
+
 def pca(matrix: DataFrame, values: str, samples: int, dimensions: int = 2) -> Components:
     """Principal components of samples. A component's largest score in absolute value is positive.
 
+    Beyond ``GRAM_SAMPLES`` samples only the variances of the components asked for are worked out.
+
     The covariance of features and the singular values of the matrix give the same components, so
     there is one way to compute them.
     """
     if not 1 <= dimensions < samples:
         raise ValueError(f"dimensions must be at least 1 and below {samples}")
+    if samples > GRAM_SAMPLES:
+        return pca_by_products(matrix, values, samples, dimensions)
     g = gram(matrix, values, samples)
     # rows are centred over samples, so the samples' mean is the origin
     size, vectors = np.linalg.eigh(g)
     size, vectors = np.clip(size[::-1], 0, None), vectors[:, ::-1]
     size[size < 1e-12 * max(size[0], 1e-300)] = 0.0
     scores = vectors[:, :dimensions] * np.sqrt(size[:dimensions])
-    sign = np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(dimensions)])
     variance = size / (samples - 1)
-    return Components(scores * np.where(sign == 0, 1, sign), variance, variance / variance.sum() if variance.sum() else variance)
+    return Components(_signed(scores), variance, variance / variance.sum() if variance.sum() else variance)
 
 
 def distances(matrix: DataFrame, values: str, samples: int) -> np.ndarray:
@@ -200,7 +294,7 @@ def coordinates_table(spark: SparkSession, scores: np.ndarray, prefix: str, samp
 
 
 def variance_table(spark: SparkSession, found: Components, features: int) -> DataFrame:
-    """Variance and its ratio of the first min(samples, features) components, zeros beyond."""
+    """Variance and its ratio of the first min(samples, features) components, zeros beyond; of those found, where these are not all."""
     n = len(found.variance)
     keep = np.arange(n) < min(n, features)
     rows = np.stack([found.variance * keep, found.ratio * keep])

@@ -477,6 +477,21 @@ SELECT 1::BIGINT AS power, round(t / {N - 1}, 4) AS total FROM t1
 UNION ALL SELECT 2, round(sum(g / t / t), 8) FROM g2, t1 WHERE i = j
 UNION ALL SELECT 3, round(sum(a.g / t * b.g / t / t), 8) FROM g a JOIN g2 b ON a.i = b.j AND a.j = b.i, t1"""
 
+    # the first two components by multiplying a vector again and again, the second with the first taken out
+    power = ",\n".join(
+        f"""m{c} AS MATERIALIZED ({m}),
+it{c}(k, v) AS (SELECT 0, list_transform(range({N}), lambda i: 1.0::DOUBLE + i % 7) UNION ALL
+  SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM it{c}, m{c} WHERE k < 3000)),
+e{c} AS MATERIALIZED (SELECT v, sqrt(list_dot_product(w, w)) AS size FROM (SELECT v, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM it{c}, m{c} WHERE k = 3000))"""
+        for c, m in (
+            (1, "SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM g GROUP BY i)"),
+            (2, f"SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - size * v[i] * v[j])) AS m FROM m1, e1"),
+        )
+    ) + f""",
+pc AS (SELECT 'PCA' || c AS d, list_transform(v, lambda x: x * sqrt(size)) AS s FROM (SELECT 1 AS c, v, size FROM e1 UNION ALL SELECT 2, v, size FROM e2)),
+signed AS (SELECT d, CASE WHEN list_max(s) >= -list_min(s) THEN 1 ELSE -1 END AS g, s FROM pc)
+SELECT d AS "Dimension", {", ".join(f"round(g * s[{i + 1}], 3) AS {n}" for i, n in enumerate(SAMPLES))} FROM signed"""
+
     def variance_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = reduce.pca(_scaled(spark, sf_dir), "norm", N)
         rows = [(1, round(float(found.variance.sum()), 4)), *((k, round(float((found.ratio**k).sum()), 8)) for k in (2, 3))]
@@ -492,7 +507,13 @@ UNION ALL SELECT 3, round(sum(a.g / t * b.g / t / t), 8) FROM g a JOIN g2 b ON a
         "pca_score_distances", score_distances,
         sql(cells(), FREQ, select="SELECT a.i AS i, b.i AS j, round(sum((10000 * a.v - 10000 * b.v) * (10000 * a.v - 10000 * b.v)), 4) AS d2 FROM norm a JOIN norm b ON a.kmer = b.kmer AND a.i < b.i GROUP BY ALL"),
     )
-    register("pca_scores", lambda s, d: reduce.coordinates_table(s, reduce.pca(_scaled(s, d), "norm", N).scores, "PCA", SAMPLES))
+    def scores(spark: SparkSession, sf_dir: str, found) -> DataFrame:
+        table = reduce.coordinates_table(spark, found(_scaled(spark, sf_dir), "norm", N).scores, "PCA", SAMPLES)
+        return table.select("Dimension", *[F.round(c, 3).alias(c) for c in SAMPLES])
+
+    register("pca_scores", lambda s, d: scores(s, d, reduce.pca), "WITH RECURSIVE " + ",\n".join([cells(), FREQ, centred, *gram_ctes, power]))
+    register("pca_scores_krylov", lambda s, d: scores(s, d, reduce.pca_by_products), ORACLES["pca_scores"])
+
     def variance(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _scaled(spark, sf_dir)
         return reduce.variance_table(spark, reduce.pca(rows, "norm", N), rows.count())
