@@ -7,7 +7,9 @@ Each has the SQL that gives the same rows from the tables themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import kmers, packed, rowstats
@@ -182,6 +184,54 @@ def whole_run(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
     return tsv(spark, prefix + suffix)
 
 
+#: Statistics whose files a whole run leaves for three classes, and for two: each with its query of :mod:`queries`, of the same columns.
+THREE_CLASSES = {"_spearman": "cor_spearman", "_kendall_tau": "cor_kendall", "_entropy": "entropy", "_dids": "dids_sqrt", "_anova": "anova"}
+TWO_CLASSES = {"_ttest": "ttest_full", "_wrs": "wrs_full", "_snr_for_unnornalized": "snr_raw"}
+
+
+def statistics_files(spark: SparkSession, sf_dir: str, classes: list[int], suffixes: dict[str, str], **options) -> DataFrame:
+    """All values of the statistics' files of one run: ``(statistic, kmer, value)``, a row for each column and k-mer."""
+    y, c = (text_file(spark, [" ".join(map(str, v))], "phenotype") for v in (q.PHENOTYPE, classes))
+    prefix, out = scratch_path(spark, "run"), None
+    run(spark, Options(k=q.K, fmt="mf", thr=2, thr_rat=0.5, normalize="freq", phenotype=y if options.get("cor") else None, classes=c, **options), sequence_files(spark, sf_dir, "mf"), prefix)
+    for suffix in suffixes:
+        got = tsv(spark, prefix + suffix)
+        listed = got.unpivot("kmer", [c for c in got.columns if c != "kmer"], "statistic", "value").withColumn("statistic", F.concat(F.lit(f"{suffix}."), "statistic"))
+        out = listed if out is None else out.unionByName(listed)
+    return out.withColumn("value", four(F.col("value")))
+
+
+def four(value: Column) -> Column:
+    """Four decimals, by the same steps as in SQL; nan stays."""
+    return F.rint(value * 10_000) / 10_000
+
+
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the counts times powers of ten from -8 to 11, a power a sample, as the text of a sink."""
+    rows = q.normalized(spark, sf_dir, "freq")
+    rows = rows.select("kmer", F.array(*[F.col("norm")[i] * F.lit(float(f"1e{i - 8}")) for i in range(q.N)]).alias("v"))
+    return tsv(spark, back(rows, lambda p: writers.matrix_text(rows, p, q.COUNTS, "v")), "string")
+
+
+def number_sql() -> str:
+    """SQL for the text of numbers that are not negative, from the rule for six significant digits."""
+    return q.sql(
+        q.cells(), q.FREQ,
+        f"num AS (SELECT kmer, i, v * {q._case([f'1e{i - 8}::DOUBLE' for i in range(q.N)])} AS u FROM norm)",
+        # the shortest decimal that gives the number, as digits and the power of the first; more than six are rounded half up
+        "sci AS (SELECT kmer, i, u, split_part(u::VARCHAR, 'e', 1) AS m, coalesce(nullif(split_part(u::VARCHAR, 'e', 2), '')::INT, 0) AS x FROM num)",
+        "raw AS (SELECT *, split_part(m, '.', 1) AS whole, replace(m, '.', '') AS every FROM sci)",
+        "pow AS (SELECT kmer, i, u, ltrim(every, '0') AS l, x + len(whole) - 1 - (len(every) - len(ltrim(every, '0'))) AS p FROM raw)",
+        "cut AS (SELECT kmer, i, u, p, rtrim(l, '0') AS s, CASE WHEN len(rtrim(l, '0')) > 6 THEN l[1:6]::INT + (l[7] >= '5')::INT END AS r FROM pow)",
+        "dig AS (SELECT kmer, i, u, p + (coalesce(r, 0) = 1000000)::INT AS p, CASE WHEN r IS NULL THEN s ELSE (r::VARCHAR)[1:6] END AS d FROM cut)",
+        "len AS (SELECT *, len(d) AS n, p - len(d) + 1 AS e FROM dig)",
+        """txt AS (SELECT kmer, i, CASE WHEN u = 0 THEN '0' WHEN e = 0 THEN d
+ WHEN e > 0 OR -e >= n + 4 THEN d[1] || CASE WHEN n > 1 THEN '.' || d[2:] ELSE '' END || CASE WHEN p < 0 THEN 'e-' ELSE 'e+' END || lpad(abs(p)::VARCHAR, 2, '0')
+ WHEN -e < n THEN d[1:n + e] || '.' || d[n + e + 1:] ELSE '0.' || repeat('0', (-e - n)::INT) || d END AS t FROM len)""",
+        select=q.pivot("txt", "t"),
+    )
+
+
 def six(value: str) -> str:
     """SQL for a number as six significant digits give it back."""
     return f"printf('%.5e', {value})::DOUBLE"
@@ -240,6 +290,29 @@ QUALIFY rank < {q.TOP})"""
     q.register("run_snr", lambda s, d: tsv_rounded(whole_run(s, d, "_snr"), "snr"), q.sql(q.cells(), half, freq, q.moments("v"), select=snr))
 
 
+    normal = f"{half},\n{freq}"
+    for name, classes, suffixes, options in (
+        ("run_files_three_classes", q.THREE, THREE_CLASSES, {"cor": ("spearman", "kendall"), "entropy": True, "diff": ("dids", "anova"), "n_top": q.TOP}),
+        ("run_files_two_classes", q.TWO, TWO_CLASSES, {"diff": ("ttest", "wrs", "snr"), "snr_raw": True, "n_top": q.TOP}),
+    ):
+        q.register(
+            name, lambda s, d, c=classes, f=suffixes, o=options: statistics_files(s, d, c, f, **o),
+            " UNION ALL ".join(_listed(suffix, q.ORACLES[of], half, normal) for suffix, of in suffixes.items()),
+        )
+    q.register("sink_number_text", number_text, number_sql())
+
+
+def _listed(suffix: str, oracle: str, half: str, normal: str) -> str:
+    """SQL of a statistic over the matrix a run has, unrounded, as ``(statistic, kmer, value)`` of six digits."""
+    begin = "WITH " + q.cells()
+    body = oracle[len(begin) :].replace(f",\n{q.DESEQ}", f",\n{normal}") if q.DESEQ in oracle else f",\n{half}" + oracle[len(begin) :].replace("FROM cells", "FROM cells0")
+    ctes, _, last = body.rpartition("\nSELECT ")
+    last = re.sub(r"round\((.+?), [56]\) AS ", r"\1 AS ", last)
+    columns = re.findall(r" AS (\w+)", last.partition(" FROM ")[0])
+    parts = [f"SELECT '{suffix}.{c.replace('snr', 'snr_raw') if 'unn' in suffix else c}' AS statistic, kmer, {c}::DOUBLE AS v FROM stat" for c in columns]
+    return f"SELECT statistic, kmer, round_even({six('v')} * 10000, 0) / 10000 AS value FROM ({begin}{ctes},\nstat AS (SELECT {last})\n{' UNION ALL '.join(parts)})"
+
+
 def tsv_rounded(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.round(column, 4))
 

@@ -125,6 +125,6 @@ def test_a_run_adds_its_new_samples(spark, tmp_path):
         assert sorted(text_rows(f"{tmp_path}/x{suffix}")) == sorted(text_rows(f"{tmp_path}/y{suffix}"))
 
 
-@pytest.mark.parametrize("name", ["sink_kept_matrix", "kept_matrix_grown", "kept_matrix_observed"])
-def test_queries_of_the_kept_matrix(spark, name):
+@pytest.mark.parametrize("name", ["sink_kept_matrix", "kept_matrix_grown", "kept_matrix_observed", "sink_number_text"])
+def test_queries_through_tables_and_text(spark, name):
     against_sql(spark, name)

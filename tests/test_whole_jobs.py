@@ -25,3 +25,8 @@ def test_queries_cover_every_fold(spark, method):
 
 def test_intervals_of_every_sample(spark):
     assert set(against_sql(spark, "count_intervals_all")["sample"]) == set(queries.SAMPLES)
+
+
+@pytest.mark.parametrize(("name", "columns"), [("run_files_three_classes", 6), ("run_files_two_classes", 7)])
+def test_files_of_all_statistics(spark, name, columns):
+    assert against_sql(spark, name)["statistic"].nunique() == columns
