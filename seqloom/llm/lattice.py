@@ -6,13 +6,15 @@ the lattice cell it falls into and also asks in the ``PROBES`` neighbouring cell
 that are nearest to its projection. Whoever is filed where another one is filed or asks is a
 candidate; cosines are then computed in double precision inside the task, block by block.
 
-How large cells are and how many tables are searched goes by the number of different vectors
-(``LEVELS``): recall stays the same, while the share of unrelated pairs that meet falls.
+How large cells are and how many tables are searched (``LEVELS``) goes by the table: every level
+has the same recall, finer ones move each vector more often and compare fewer pairs. How often
+pairs meet at each level is counted on a bounded sample of the table's own vectors (``SAMPLE``), whose
+directions may have much in common, and the level that costs least for all of them is taken.
 
-A pair may meet in several cells. Every row carries the codes of all its cells, so that the place
-that counts a pair, the first at which it meets, is known there without asking. So no pair becomes
-a row: a task sums up the links of each of its vectors and passes on a spanning forest of the
-links, from which the components are made.
+A pair may meet in several cells, and counts at the first. Which cells two vectors have in common
+follows from the vectors, so a task works out the codes of those that it has found a link of, and
+only vectors travel. So no pair becomes a row: a task sums up the links of each of its vectors and
+passes on a spanning forest of the links, from which the components are made.
 
 Equal vectors are grouped first. A cell in which more vectors are filed than a task holds at once
 (``HELD_BYTES``) is cut into parts by hash: a part holds its own vectors and sees those of the parts
@@ -37,17 +39,25 @@ from seqloom.llm.components import connected_components
 
 PROBES = 1
 COSINE = 0.9
-#: Up to so many different vectors: blocks, width of a cell in units of the projections of unit vectors,
-#: tables. Measured in simulation, for pairs of cosine 0.901, 0.92 and 0.95, recall is 0.97, 0.99 and
-#: 0.995 or more at each level, and 11 %, 4 %, 1.7 %, 0.16 % and 0.016 % of unrelated pairs meet.
-LEVELS = ((100_000, 1, 2.2, 5), (1_000_000, 1, 1.8, 7), (2_500_000, 1, 1.5, 11), (25_000_000, 2, 2.0, 21), (None, 2, 1.6, 46))
+#: Blocks, width of a cell in units of the projections of unit vectors, tables. Measured in simulation, for pairs
+#: of cosine 0.901, 0.92 and 0.95, recall is 0.97, 0.99 and 0.995 or more at each level, and 11 %, 4 %, 1.7 %,
+#: 0.16 %, 0.016 % and less than 0.001 % of pairs of unrelated directions meet.
+LEVELS = ((1, 2.2, 5), (1, 1.8, 7), (1, 1.5, 11), (2, 2.0, 21), (2, 1.6, 46), (3, 1.8, 124))
+#: Different vectors whose meetings are counted to choose a level; fewer are searched at the first one.
+SAMPLE = 1000
+#: Comparisons that take as long as moving one vector once.
+MOVE = 2000
 #: Bytes of unit vectors filed in one cell that a task holds together; larger cells are cut.
 HELD_BYTES = 32 << 20
 #: Rows of a table of cut cells (16 bytes each) that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows that go by between two comparisons with the held ones, and sides of the blocks compared.
 PASSING = 8192
+#: Rows of one product of vectors and projections.
+ROWS = 64
 SIDES = (512, 2048)
+#: Links found before they are counted.
+FOUND = 1 << 16
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -95,10 +105,9 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def level(vectors: int) -> dict:
-    """Blocks, scale and tables for a number of different vectors."""
-    blocks, scale, tables = next(x[1:] for x in LEVELS if x[0] is None or vectors <= x[0])
-    return {"blocks": blocks, "scale": scale, "tables": tables}
+def level(number: int) -> dict:
+    """A level as options: blocks, scale and tables."""
+    return dict(zip(("blocks", "scale", "tables"), LEVELS[number], strict=True))
 
 
 class Hasher:
@@ -117,6 +126,12 @@ class Hasher:
         doubled = np.rint(2 * points).astype(np.int64).view(np.uint64)
         return (doubled * self.factor[table, block]).sum(axis=1, dtype=np.uint64)
 
+    def _projected(self, unit: np.ndarray, table: int, block: int) -> np.ndarray:
+        """Products of always the same shape, so that a vector's are the same to the bit whatever rows are beside it."""
+        padded = np.zeros((-(-len(unit) // ROWS), ROWS, self.dim))
+        padded.reshape(-1, self.dim)[: len(unit)] = unit
+        return (padded @ self.project[table, block]).reshape(-1, 8)[: len(unit)]
+
     def codes(self, unit: np.ndarray, asking: bool = True) -> np.ndarray:
         """Codes of 32 bits of the own cell and those asked in: rows x tables x (1 + probes). Cells of one code are one cell."""
         out = np.zeros((len(unit), self.tables, 1 + self.probes if asking else 1), np.uint64)
@@ -124,7 +139,7 @@ class Hasher:
             out[:, t] = self.start[t]
             closeness = []
             for b in range(self.blocks):
-                x = unit @ self.project[t, b]
+                x = self._projected(unit, t, b)
                 point = decode_e8(x)
                 out[:, t] += self._number(point, t, b)[:, None]
                 closeness.append((x - point) @ NEIGHBOURS.T if asking else None)
@@ -153,7 +168,7 @@ def _by_length(batch: pa.RecordBatch, column: str, kind: str, options: dict, has
 
 
 def _filed(kind: str, options: dict):
-    """(rep, members, vec) -> rows (key, asks, rep, members, code, vec) for every table and cell; code: the codes of all cells."""
+    """(rep, members, vec) -> rows (key, asks, rep, members, vec) for every table and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
@@ -161,15 +176,14 @@ def _filed(kind: str, options: dict):
             for part, unit, hasher in _by_length(batch, "vec", kind, options, hashers):
                 codes = hasher.codes(unit)
                 n, _, m = codes.shape
-                code = pa.array([c.tobytes() for c in codes], pa.binary())
                 at = pa.array(np.repeat(np.arange(n), m))
                 for t in range(hasher.tables):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(hasher.keys(codes[:, t], t).ravel()), pa.array(np.tile((np.arange(m) > 0).astype(np.int32), n)),
-                            part.column("rep").take(at), part.column("members").take(at), code.take(at), part.column("vec").take(at),
+                            part.column("rep").take(at), part.column("members").take(at), part.column("vec").take(at),
                         ],
-                        ["key", "asks", "rep", "members", "code", "vec"],
+                        ["key", "asks", "rep", "members", "vec"],
                     )
 
     return run
@@ -210,25 +224,38 @@ def _spread(filed: DataFrame, owned: DataFrame, cell: int) -> DataFrame:
     )
 
 
-class _Group:
-    """Vectors of one cell, the ``held`` first of which are filed there: counts links, and keeps a forest of them."""
+class _Links:
+    """Counts the links of rows that lie in cells, and keeps a forest of them.
+
+    ``table`` is the table of each row's cell. Codes are worked out when a row's first link is found.
+    """
 
-    def __init__(self, table: int, rep: np.ndarray, members: np.ndarray, codes: np.ndarray, unit: np.ndarray):
-        self.rep, self.members, self.unit = rep, members, unit
-        self.own, self.asks = codes[:, : table + 1, 0], codes[:, : table + 1, 1:]
+    def __init__(self, hasher: Hasher, table: np.ndarray, rep: np.ndarray, members: np.ndarray, unit: np.ndarray):
+        self.hasher, self.table, self.rep, self.members, self.unit = hasher, table, rep, members, unit
+        self.codes = np.zeros((len(rep), hasher.tables, 1 + hasher.probes), np.uint32)
+        self.known = np.zeros(len(rep), bool)
         self.linked = np.zeros(len(rep), np.int64)
         self.label = np.arange(len(rep))
         self.forest: list[np.ndarray] = []
+        self.found: list[np.ndarray] = []
+        self.waiting = 0
 
     def _counted_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of linked pairs, i being filed here, those that meet here first: see the module's text."""
-        same = self.own[i] == self.own[j]
-        j_asks = (self.asks[j] == self.own[i][:, :, None]).any(axis=2)
-        i_asks = (self.asks[i] == self.own[j][:, :, None]).any(axis=2)
-        earlier = (same | j_asks | i_asks)[:, :-1].any(axis=1)
+        rows = np.unique(np.r_[i, j])
+        rows = rows[~self.known[rows]]
+        for k in range(0, len(rows), PASSING):
+            part = rows[k : k + PASSING]
+            self.codes[part] = self.hasher.codes(self.unit[part])
+        self.known[rows] = True
+        a, b, table = self.codes[i], self.codes[j], self.table[i]
+        same = a[:, :, 0] == b[:, :, 0]
+        j_asks = (b[:, :, 1:] == a[:, :, :1]).any(axis=2)
+        i_asks = (a[:, :, 1:] == b[:, :, :1]).any(axis=2)
+        earlier = ((same | j_asks | i_asks) & (np.arange(same.shape[1]) < table[:, None])).any(axis=1)
         # in one table two vectors that ask for each other meet twice: where the smaller rep is filed counts
-        twice = ~same[:, -1] & i_asks[:, -1] & (self.rep[i] > self.rep[j])
-        return ~earlier & ~twice
+        at = np.arange(len(i)), table
+        return ~earlier & ~(~same[at] & i_asks[at] & (self.rep[i] > self.rep[j]))
 
     def _join(self, i: np.ndarray, j: np.ndarray) -> None:
         """Link i[k] and j[k]; pairs that join different labels become edges of the forest."""
@@ -245,26 +272,35 @@ class _Group:
             while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
-    def compare(self, cosine: float, held: int, inner: bool) -> None:
-        """The first ``held`` rows with the rest and, if ``inner``, with each other."""
+    def flush(self) -> None:
+        """Count the links found so far."""
+        if self.waiting:
+            i, j = np.concatenate(self.found, axis=1)
+            self.found, self.waiting = [], 0
+            fit = self._counted_here(i, j)
+            i, j = i[fit], j[fit]
+            np.add.at(self.linked, i, self.members[j])
+            np.add.at(self.linked, j, self.members[i])
+            self._join(i, j)
+
+    def compare(self, cosine: float, start: int, stop: int, held: int, inner: bool) -> None:
+        """The first ``held`` rows from ``start`` with the rest up to ``stop`` and, if ``inner``, with each other."""
         rows, columns = SIDES
-        for at in range(0, held, rows):
-            end = min(at + rows, held)
-            for to in range(at if inner else held, len(self.rep), columns):
-                stop = min(to + columns, len(self.rep))
-                near_i, near_j = np.nonzero(self.unit[at:end] @ self.unit[to:stop].T >= cosine)
-                for k in range(0, len(near_i), 1 << 16):
-                    i, j = near_i[k : k + (1 << 16)] + at, near_j[k : k + (1 << 16)] + to
+        for at in range(start, start + held, rows):
+            end = min(at + rows, start + held)
+            for to in range(at if inner else start + held, stop, columns):
+                near_i, near_j = np.nonzero(self.unit[at:end] @ self.unit[to : min(to + columns, stop)].T >= cosine)
+                for k in range(0, len(near_i), FOUND):
+                    i, j = near_i[k : k + FOUND] + at, near_j[k : k + FOUND] + to
                     fit = (j > i) & (self.rep[i] != self.rep[j])
-                    i, j = i[fit], j[fit]
-                    fit = self._counted_here(i, j)
-                    i, j = i[fit], j[fit]
-                    np.add.at(self.linked, i, self.members[j])
-                    np.add.at(self.linked, j, self.members[i])
-                    self._join(i, j)
+                    self.found.append(np.stack([i[fit], j[fit]]))
+                    self.waiting += int(fit.sum())
+                    if self.waiting >= FOUND:
+                        self.flush()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """Rows (a, b, 0), a link of the forest, and (a, null, n), n links of a counted here."""
+        self.flush()
         names = ["a", "b", "linked"]
         if self.forest:
             i, j = np.concatenate(self.forest, axis=1)
@@ -274,26 +310,32 @@ class _Group:
 
 
 def _verified(kind: str, cosine: float, options: dict, passing: int = PASSING):
-    """Rows sorted by (key, chunk, role) -> rows of :meth:`_Group.rows`."""
+    """Rows sorted by (key, chunk, role) -> rows of :meth:`_Links.rows`."""
 
-    def met(table: pa.Table, hashers: dict, done: bool) -> Iterator[pa.RecordBatch]:
-        """Whole runs of (key, chunk); ``done``: the held ones of the first run have been compared with each other."""
+    def met(table: pa.Table, hashers: dict, memory: dict, done: bool) -> Iterator[pa.RecordBatch]:
+        """Whole runs of (key, chunk); ``done``: the held ones of the first run have been compared with each other.
+
+        ``memory`` has, for each length of vectors, the codes of the held ones of the run that was last.
+        """
         if not table.num_rows:
             return
         batch = table.combine_chunks().to_batches()[0]
         opened = batch.column("key")[0].as_py(), batch.column("chunk")[0].as_py()
         for part, unit, hasher in _by_length(batch, "vec", kind, options, hashers):
             key, chunk, role, rep, members = (part.column(c).to_numpy() for c in ("key", "chunk", "role", "rep", "members"))
-            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint32).reshape(len(key), hasher.tables, -1)
-            starts = _starts(key, chunk)
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                held = int((role[s:e] == 0).sum())
-                group = _Group(int(key[s]) & 255, rep[s:e], members[s:e], codes[s:e], unit[s:e])
-                group.compare(cosine, held, not (done and (int(key[s]), int(chunk[s])) == opened))
-                yield from group.rows()
+            links = _Links(hasher, key & 255, rep, members, unit)
+            starts = _starts(key, chunk).tolist()
+            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+                run, held = (int(key[s]), int(chunk[s])), int((role[s:e] == 0).sum())
+                if s == 0 and run == memory.get(hasher.dim, [None])[0]:
+                    links.known[:held], links.codes[:held] = memory[hasher.dim][1:]
+                links.compare(cosine, s, e, held, not (done and run == opened))
+            yield from links.rows()
+            memory[hasher.dim] = run, links.known[s : s + held].copy(), links.codes[s : s + held].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
+        memory: dict[int, tuple] = {}
         rest: list[pa.RecordBatch] = []  # rows of the run that may go on
         done = False  # they are held ones, compared with each other
         for batch in _with_end(batches):
@@ -307,14 +349,14 @@ def _verified(kind: str, cosine: float, options: dict, passing: int = PASSING):
             last = len(starts) if batch is None else len(starts) - 1
             meets = (np.arange(len(starts)) < last) & (lengths > 1) & (role[starts] == 0)  # someone is held, and not alone
             goes_on = done and bool(meets[0])
-            yield from met(table.filter(pa.array(np.repeat(meets, lengths))), hashers, goes_on)
+            yield from met(table.filter(pa.array(np.repeat(meets, lengths))), hashers, memory, goes_on)
             if last == len(starts):
                 break
             tail = table.slice(starts[last])
             done = done and last == 0
             if lengths[last] - (n := int((role[starts[last] :] == 0).sum())) > passing:
                 if n:
-                    yield from met(tail, hashers, done)
+                    yield from met(tail, hashers, memory, done)
                 tail, done = tail.slice(0, n), n > 0
             rest = tail.to_batches()
 
@@ -330,19 +372,49 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
+def meetings(unit: np.ndarray, hasher: Hasher) -> int:
+    """How often two of the vectors meet in a cell, over all tables."""
+    codes, n = hasher.codes(unit), 0
+    for t in range(hasher.tables):
+        own, filed = np.unique(codes[:, t, 0], return_counts=True)
+        asked = codes[:, t, 1:].ravel()
+        at = np.searchsorted(own, asked).clip(max=len(own) - 1)
+        n += int((filed * (filed - 1) // 2).sum() + filed[at][own[at] == asked].sum())
+    return n
+
+
+def choose(classes: DataFrame, n: int, kind: str) -> dict:
+    """The level that costs ``n`` different vectors least: each travels once a cell, and meets as many others as a sample's vectors do.
+
+    The sample is the ``SAMPLE`` vectors whose hashes are smallest; only they reach the driver.
+    """
+    if n <= SAMPLE:
+        return level(0)
+    rows = classes.select("vec").orderBy(F.xxhash64(F.lit(9), "vec"), "vec").limit(SAMPLE).collect()
+    by_length: dict[int, list] = {}
+    for row in rows:
+        by_length.setdefault(len(row["vec"]), []).append(np.frombuffer(row["vec"], kind).astype(float))
+    costs = []
+    for i in range(len(LEVELS)):
+        met = sum(meetings(unit_rows(np.stack(x)), Hasher(len(x[0]), **level(i))) for x in by_length.values())
+        costs.append(n * (1 + PROBES) * level(i)["tables"] * MOVE + met * (n / len(rows)) ** 2)
+    return level(int(np.argmin(costs)))
+
+
 def links(classes: DataFrame, kind: str = "<f4", cosine: float = COSINE, cell: int | None = None, passing: int = PASSING, **options) -> DataFrame:
     """``classes(rep, members, vec)`` of different vectors -> rows ``(a, b, linked)``.
 
     vec holds numbers of the numpy ``kind``. Rows with b are links of cosine >= ``cosine`` that connect
     what all such links connect; rows without b add ``linked`` to the number of a's links, each
     link counting the members of its other end. ``cell``: vectors that a task holds of one cell;
-    ``options``: blocks, scale and tables in place of those of :func:`level`.
+    ``options``: blocks, scale and tables in place of those of :func:`choose`.
     """
     found = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vec")).alias("bytes")).first()
-    options = level(found["n"]) | options
+    if not {"blocks", "scale", "tables"} <= options.keys():
+        options = choose(classes, found["n"], kind) | options
     cell = cell or max(1, HELD_BYTES // (8 * (found["bytes"] or 8) // np.dtype(kind).itemsize))
     filed = classes.select("rep", "members", "vec").mapInArrow(
-        _filed(kind, options), "key long, asks int, rep long, members long, code binary, vec binary"
+        _filed(kind, options), "key long, asks int, rep long, members long, vec binary"
     )
     owned = classes.select("vec").mapInArrow(_own_cells(kind, options), "key long")
     return (

@@ -154,7 +154,7 @@ def test_recall_of_every_level_by_band_and_unrelated_pairs_meet_ever_less():
     rng = np.random.default_rng(7)
     x = lattice.unit_rows(rng.normal(size=(1000, 64)))
     shares = []
-    for n in (10, 1_000_000, 2_000_000, 20_000_000, 1 << 40):
+    for n in range(len(lattice.LEVELS)):
         hasher = lattice.Hasher(64, **lattice.level(n))
         codes = hasher.codes(x)
         for (low, high), least in zip(BANDS, LEAST, strict=True):
@@ -183,6 +183,60 @@ def test_lattice_recall_by_band_and_precision(spark):
     assert cut == got
 
 
+@pytest.mark.parametrize("number", range(1, len(lattice.LEVELS)))
+def test_finer_levels_end_to_end_for_short_and_long_vectors(spark, number):
+    rng = np.random.default_rng(15)
+    found, there = np.zeros(len(BANDS)), np.zeros(len(BANDS))
+    rows, links = [], []
+    for dim in (8, 64, 768):  # vectors of different lengths do not link, so one table holds all
+        x = lattice.unit_rows(rng.normal(size=(160, dim)))
+        v = np.concatenate([x, *(planted(rng, x[40 * i : 40 * (i + 1)], *band) for i, band in enumerate(BANDS))]).astype(np.float32)
+        rows += [(len(rows) + i, r.tolist()) for i, r in enumerate(v)]
+        links.append(brute(v.astype(float), 0.9)[0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(df, **lattice.level(number)).collect()}
+    for k, own in enumerate(links):
+        mine = np.array([got[320 * k + i] for i in range(320)])
+        assert (mine <= own).all()
+        for i in range(len(BANDS)):
+            at = slice(160 + 40 * i, 200 + 40 * i)
+            found[i], there[i] = found[i] + mine[at].sum(), there[i] + own[at].sum()
+    assert (found >= np.array(LEAST) * there - 2).all() and (there >= 120).all()
+    cut = lattice.near_duplicates(df.repartition(3), cell=5, passing=8, **lattice.level(number))
+    assert {r["vec_id"]: r["n_links"] for r in cut.collect()} == got
+
+
+def test_a_level_is_chosen_by_what_meets_in_the_table(spark):
+    rng = np.random.default_rng(16)
+    x, common = lattice.unit_rows(rng.normal(size=(1500, 64))), lattice.unit_rows(rng.normal(size=(1, 64)))
+    chosen = []
+    for share in (0, 0.25, 0.5):  # mean cosine of the vectors
+        v = (np.sqrt(1 - share) * x + np.sqrt(share) * common).astype("<f4")
+        classes = spark.createDataFrame([(bytes(r.tobytes()),) for r in v], "vec binary")
+        levels = [lattice.choose(classes, n, "<f4")["tables"] for n in (1000, 10_000, 1_000_000, 100_000_000)]
+        assert levels == sorted(levels) and levels[0] == lattice.LEVELS[0][2] < levels[-1]
+        assert levels == [lattice.choose(classes.repartition(5), n, "<f4")["tables"] for n in (1000, 10_000, 1_000_000, 100_000_000)]
+        chosen.append(levels)
+    assert all(a <= b for few, more in zip(chosen, chosen[1:], strict=False) for a, b in zip(few, more, strict=True))
+    assert chosen[0][2] < chosen[2][2]
+    # meetings are those of a plain count
+    hasher = lattice.Hasher(64, **lattice.level(1))
+    codes = hasher.codes(x[:60])
+    plain = sum(
+        int(codes[i, t, 0] == codes[j, t, 0]) + int(codes[j, t, 0] in codes[i, t, 1:]) + int(codes[i, t, 0] in codes[j, t, 1:])
+        for t in range(hasher.tables) for i in range(60) for j in range(i)
+    )
+    assert lattice.meetings(x[:60], hasher) == plain > 0
+
+
+def test_codes_do_not_depend_on_the_rows_beside():
+    x = lattice.unit_rows(np.random.default_rng(17).normal(size=(500, 96)))
+    hasher = lattice.Hasher(96, **lattice.level(3))
+    codes = hasher.codes(x)
+    for at, n in ((0, 1), (7, 3), (63, 65), (100, 128), (499, 1)):
+        assert np.array_equal(codes[at : at + n], hasher.codes(x[at : at + n]))
+
+
 def test_lattice_equals_its_sql_where_links_are_close(spark):
     import duckdb
 
