@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +151,19 @@ def _super(k: int, canonical: bool, place: dict[str, int], bloom) -> Callable:
     return run
 
 
+def _weights(k: int, canonical: bool, place: dict[str, int], bloom) -> Callable:
+    """mapInArrow function: (sample, seq) -> (bin, n), windows of each minimizer in a stretch of sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, _ in _stretches(batch, k, place):
+                bins = packed.minimizers(s.codes, k, min(MINIMIZER, k))
+                found, n = np.unique(bins[np.flatnonzero(_kept(s, k, canonical, bloom and bloom.value))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["bin", "n"])
+
+    return run
+
+
 # ---------------------------------------------------------------- tasks behind the exchange
 
 
@@ -168,10 +182,12 @@ def _cut(batch: pa.RecordBatch, k: int, canonical: bool) -> tuple[list[np.ndarra
 
 
 def _single(k: int, canonical: bool) -> Callable:
-    """mapInArrow function: runs of hot minimizers -> windows by themselves, counted, with their own hashes as bins."""
+    """mapInArrow function: runs, and whether their minimizer is hot -> those of hot ones as windows by themselves, counted, with their own hashes as bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for both in batches:
+            yield both.filter(pc.invert(both.column(5))).select(range(5))
+            batch = both.filter(both.column(5)).select(range(5))
             if batch.num_rows:
                 words, i, times, _ = _cut(batch, k, canonical)
                 words, i, times = packed.tally(words, i, times)
@@ -251,15 +267,17 @@ def short_counts(reads: DataFrame, samples: Sequence[str], k: int, canonical: bo
 def super_kmers(reads: DataFrame, samples: Sequence[str], k: int, canonical: bool = True, bloom=None, hot: int = HOT) -> DataFrame:
     """``reads(sample, seq)`` -> runs ``(i, bin, bases, times, seq)``; every occurrence of a k-mer is in one bin.
 
-    ``i`` is the sample's number, ``seq`` two bits a base. The runs are kept once, in the scratch folder, to learn which
-    minimizers are hot: those of more than ``hot`` windows, so at most one for each ``hot`` windows of the input.
+    ``i`` is the sample's number, ``seq`` two bits a base. Sequences are read twice: first to learn which minimizers are
+    hot, those of more than ``hot`` windows. There are fewer than 4^11 minimizers, so the table of hot ones may be broadcast.
     """
-    kept = materialize(_input(reads).mapInArrow(_super(k, canonical, _place(samples), bloom), RUN), "super-kmers")
-    heavy = materialize(kept.groupBy("bin").agg(F.sum(F.col("bases") - (k - 1)).alias("n")).where(F.col("n") > hot).select("bin"), "hot-minimizers")
+    own, place = _input(reads), _place(samples)
+    weighed = own.mapInArrow(_weights(k, canonical, place, bloom), "bin long, n long")
+    heavy = materialize(weighed.groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("bin"), "hot-minimizers")
+    kept = own.mapInArrow(_super(k, canonical, place, bloom), RUN)
     if heavy.isEmpty():
         return kept
-    single = kept.join(F.broadcast(heavy), "bin", "left_semi").select("i", "bin", "bases", "times", "seq").mapInArrow(_single(k, canonical), RUN)
-    return kept.join(F.broadcast(heavy), "bin", "left_anti").select("i", "bin", "bases", "times", "seq").unionByName(single)
+    told = kept.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "bin", "left").select("i", "bin", "bases", "times", "seq", F.coalesce("hot", F.lit(False)).alias("hot"))
+    return told.mapInArrow(_single(k, canonical), RUN)
 
 
 def cut(n: Column, ci: int = 1, cx: int = 4_000_000_000, cs: int = 65_535) -> Column:
