@@ -1,7 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, the sets decide.
+"""Links of texts by the Jaccard similarity of their word shingles: SimHash classes and MinHash bands propose, the sets decide.
 
-A text's set holds the hashes of its word shingles. Texts that agree in a band of ``ROWS`` minima
-share a bucket; with ``BANDS`` bands a pair of similarity 0.8 misses all buckets with probability
+A text's set holds the hashes of its word shingles. Texts whose SimHash fingerprints are linked within three
+bits share a bucket (:mod:`simhash` makes these classes). A similarity of 0.8 is mostly farther apart in bits, so
+bands propose the rest: texts that agree in a band of ``ROWS`` minima share a bucket; with ``BANDS`` bands a pair of similarity 0.8 misses all buckets with probability
 7e-5, one of 0.9 practically never. Equal sets count once, and of buckets with the same members one
 is looked at. Members meet inside a task with their whole sets, every link is verified on them,
 and only a spanning forest of the links leaves the task.
@@ -56,6 +57,16 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts], dtype=np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of shingle hashes: a bit is set if it is in over half of them; zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        block = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
 def set_name(shingles: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(shingles.tobytes(), 42) if len(shingles) else "0" * 32
 
@@ -94,7 +105,7 @@ def name_arrays(width: int = WIDTH):
 def _band_arrays(width: int):
     def arrays(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_set(t, width) for t in texts]
-        return [pa.array([set_name(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets])]
+        return [pa.array([set_name(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets]), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64), pa.int64())]
 
     return arrays
 
@@ -239,9 +250,14 @@ def _visits(members: DataFrame, sets: DataFrame, similarity: float, bucket: int)
     return plain.unionByName(parts.select("band", "part", (F.col("part") < F.col("home")).alias("passes"), "fp")), linked
 
 
-def links(docs: DataFrame, unique: DataFrame, width: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """``unique(fp, name, size, bands)`` of ``docs`` -> links ``(a, b)`` of different sets, each verified."""
+def links(docs: DataFrame, unique: DataFrame, width: int, similarity: float, bucket: int = BUCKET, classes: DataFrame | None = None) -> DataFrame:
+    """``unique(fp, name, size, bands)`` of ``docs`` -> links ``(a, b)`` of different sets, each verified.
+
+    ``classes(fp, size, band)``: buckets beside those of the bands.
+    """
     rows = unique.select("fp", "size", F.explode("bands").alias("band"))
+    if classes is not None:
+        rows = rows.unionByName(classes)
     shared = rows.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.expr("bit_xor(xxhash64(fp))").alias("mark")
     )
@@ -262,12 +278,12 @@ def links(docs: DataFrame, unique: DataFrame, width: int, similarity: float, buc
 
 
 def numbered(own: DataFrame) -> DataFrame:
-    """``own(doc_id, name, size, bands)`` -> a scratch table ``(fp, name, size, bands)`` of the different sets, numbered."""
-    different = own.groupBy("name").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    return materialize(different.select(F.monotonically_increasing_id().alias("fp"), "name", "size", "bands"), "shingle-unique")
+    """``own(doc_id, name, size, bands, bits)`` -> a scratch table ``(fp, name, size, bands, bits)`` of the different sets, numbered."""
+    different = own.groupBy("name").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    return materialize(different.select(F.monotonically_increasing_id().alias("fp"), "name", "size", "bands", "bits"), "shingle-unique")
 
 
 def banded(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, name, size, bands)``; name stands for the set."""
+    """``docs(doc_id, text)`` -> ``(doc_id, name, size, bands, bits)``; name stands for the set, bits are its SimHash fingerprint."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(named, ["doc_id"], _band_arrays(width), "name string, size long, bands array<long>").select("rec.doc_id", "name", "size", "bands")
+    return map_texts(named, ["doc_id"], _band_arrays(width), "name string, size long, bands array<long>, bits long").select("rec.doc_id", "name", "size", "bands", "bits")

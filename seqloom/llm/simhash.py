@@ -46,16 +46,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     if len(words) <= width:
-        shingles = [b" ".join(words)]
+        parts = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        block = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        parts = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return shingles.majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in parts], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -264,16 +258,29 @@ def _digits(fp: Column) -> Column:
 def similar(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY, bucket: int = shingles.BUCKET) -> DataFrame:
     """Like :func:`near_duplicates`, over links of texts whose sets of ``width``-word shingles are at least ``similarity`` alike.
 
-    fingerprint: 32 hex digits, a hash of the set.
+    Sets whose SimHash fingerprints are linked within three bits are compared, and those that share a MinHash band,
+    as most pairs of 0.8 differ in more bits. fingerprint: 32 hex digits, a hash of the set.
     """
     own = materialize(shingles.banded(docs, width), "shingle-bands")
     unique = shingles.numbered(own)
-    found = shingles.links(docs, unique, width, similarity, bucket)
+    classes = materialize(_bit_classes(unique), "simhash-buckets")
+    found = shingles.links(docs, unique, width, similarity, bucket, classes)
     numbers = materialize(own.select("doc_id", "name").join(unique.select("fp", "name"), "name"), "shingle-numbers")
-    discard(own, unique)
+    discard(own, unique, classes)
     return _classes(numbers, found, F.col("name"))
 
 
+def _bit_classes(unique: DataFrame) -> DataFrame:
+    """``unique(fp, size, bits)`` -> ``(fp, size, band)``: a bucket for each component of fingerprints within three bits; sets without shingles are in none.
+
+    Every two sets within three bits share a bucket.
+    """
+    sets = unique.where("size > 0").select("fp", "size", "bits")
+    roots = connected_components(links(sets.select(F.col("bits").alias("fp")).distinct()))
+    named = sets.join(roots.withColumnRenamed("node", "bits"), "bits", "left")
+    return named.select("fp", "size", F.xxhash64(F.lit(3), F.coalesce("root", "bits")).alias("band"))
+
+
 def _classes(own: DataFrame, found: DataFrame, fingerprint: Column) -> DataFrame:
     """Rows ``own(doc_id, fp, ...)`` with the components of the links ``found(a, b)`` among their fps."""
     unique = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))

@@ -139,3 +139,17 @@ def test_names_that_agree_in_64_bits_lose_no_document(spark, monkeypatch):
     texts = edited_texts()[:40]
     docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
     assert len(simhash.keep_one(docs, width=5, similarity=0.8).collect()) == len(set(brute(texts)))
+
+
+def test_stage_finds_pairs_within_three_bits_by_simhash_alone(spark, monkeypatch):
+    """Without any band, the fingerprints' classes propose what lies within three bits, and the sets decide."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(["head", *base]), " ".join(f"v{i}" for i in range(400)), "", None]
+    bits = [shingles.majority(shingles.shingle_set(t)) for t in texts[:4]]
+    assert max((bits[0] ^ b).bit_count() for b in bits[1:3]) <= simhash.MAX_BITS < (bits[0] ^ bits[3]).bit_count()
+    monkeypatch.setattr(shingles, "bands", lambda s: [])
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(brute(texts))) == [0, 3, 4]
+    # linked by bits, but not alike enough
+    kept = simhash.keep_one(docs, width=5, similarity=0.9999)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4]
