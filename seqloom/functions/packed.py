@@ -61,8 +61,8 @@ class Stretch:
     rows: np.ndarray
 
 
-def stretches(offsets: np.ndarray, data: np.ndarray, k: int) -> Iterator[Stretch]:
-    """Sequences ``data[offsets[i]:offsets[i + 1]]`` in stretches of bounded size, long ones cut into overlapping pieces."""
+def stretches(offsets: np.ndarray, data: np.ndarray, k: int, size: int = SLICE) -> Iterator[Stretch]:
+    """Sequences ``data[offsets[i]:offsets[i + 1]]`` in stretches of about ``size`` bases, long ones cut into overlapping pieces."""
     lengths = np.diff(offsets)
     keep = np.flatnonzero(lengths >= k)
     count = (lengths[keep] - k) // PIECE + 1
@@ -73,7 +73,7 @@ def stretches(offsets: np.ndarray, data: np.ndarray, k: int) -> Iterator[Stretch
     total, at = np.cumsum(stops - starts), 0
     while at < len(rows):
         done = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        end = max(at + 1, int(np.searchsorted(total, done + size, "right")))
         codes = _CODES[np.concatenate([data[a:b] for a, b in zip(starts[at:end], stops[at:end], strict=True)])]
         yield Stretch(codes, total[at:end] - done, rows[at:end])
         at = end

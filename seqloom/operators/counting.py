@@ -41,6 +41,9 @@ LONGEST = 64
 FILTER_KEYS = 1 << 24
 #: Cells of the dense matrix in one batch.
 CELLS = 1 << 20
+#: Cells of all possible k-mers and samples up to which a task counts into one array (32 MB), and the bases it then works on at once.
+TABLE = 1 << 22
+BASES = 1 << 19
 
 
 # ---------------------------------------------------------------- Bloom filter
@@ -86,7 +89,7 @@ def bloom_filter(keys: DataFrame, k: int, most: int = FILTER_KEYS) -> Bloom | No
 # ---------------------------------------------------------------- tasks before the exchange
 
 
-def _stretches(batch: pa.RecordBatch, k: int, place: dict[str, int]) -> Iterator[tuple[packed.Stretch, np.ndarray]]:
+def _stretches(batch: pa.RecordBatch, k: int, place: dict[str, int], size: int = packed.SLICE) -> Iterator[tuple[packed.Stretch, np.ndarray]]:
     """Stretches of a batch (sample, seq), with the sample's number for each row; other samples' rows are left out."""
     samples = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], dtype=np.int64)
     seq = batch.column(1).cast(pa.large_binary())
@@ -100,7 +103,7 @@ def _stretches(batch: pa.RecordBatch, k: int, place: dict[str, int]) -> Iterator
         pieces = [data[offsets[i] : offsets[i + 1]] for i in listed]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         data, samples = np.concatenate(pieces) if pieces else data[:0], samples[listed]
-    for s in packed.stretches(offsets, data, k):
+    for s in packed.stretches(offsets, data, k, size):
         yield s, samples
 
 
@@ -114,7 +117,21 @@ def _kept(s: packed.Stretch, k: int, canonical: bool, bloom: Bloom | None, words
 
 
 def _counts(k: int, canonical: bool, place: dict[str, int], bloom) -> Callable:
-    """mapInArrow function: (sample, seq) -> (w0, ..., i, n), counted in each slice of a batch."""
+    """mapInArrow function: (sample, seq) -> (w0, ..., i, n), counted over the whole task where there are few cells, else in each slice of a batch."""
+    cells = len(place) << 2 * k
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for s, samples in _stretches(batch, k, place, max(BASES, cells)):
+                words = packed.windows(s.codes, k, canonical)
+                ok = np.flatnonzero(_kept(s, k, canonical, bloom and bloom.value, words))
+                rows = samples[s.rows[np.searchsorted(s.ends, ok, "right")]]
+                total += np.bincount(rows << 2 * k | words[0][ok], minlength=cells)
+        at = np.flatnonzero(total)
+        for begin in range(0, len(at), CELLS):
+            own = at[begin : begin + CELLS]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own & (1 << 2 * k) - 1, own >> 2 * k, total[own])], [*packed.columns(k), "i", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +142,7 @@ def _counts(k: int, canonical: bool, place: dict[str, int], bloom) -> Callable:
                 found, rows, n = packed.tally([w[ok] for w in words], rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*found, rows, n)], [*packed.columns(k), "i", "n"])
 
-    return run
+    return table if cells <= TABLE else run
 
 
 RUN = "i long, bin long, bases int, times long, seq binary"

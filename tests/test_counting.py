@@ -181,3 +181,25 @@ def test_super_kmers_shuffle_a_fifth_of_the_windows(spark):
 
 def test_counter_of_plain_counts():
     assert plain_counts(["ACGTN"], 4, True) == Counter({"ACGT": 1})
+
+
+@pytest.mark.parametrize("canonical", [True, False])
+def test_a_task_counts_short_kmers_in_one_table(canonical):
+    """However many batches and slices there are, a k-mer of a sample leaves the task once, and little memory is taken."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    names, reads = ["a", "b", "c"], ["".join(r.choices("ACGTN", [9, 9, 9, 9, 0.3], k=2_000)) for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([names[i % 2], "other", "c"]), pa.array([seq, seq, None])], ["sample", "seq"]) for i, seq in enumerate(reads)]
+    got = [row for b in counting._counts(6, canonical, {s: i for i, s in enumerate(names)}, None)(iter(batches)) for row in zip(*b.to_pydict().values(), strict=True)]
+    want = {i: plain_counts(reads[i::2], 6, canonical) for i in range(2)}
+    kmers = {(i, w): n for i, per in want.items() for w, n in per.items()}
+    codes = dict(zip(kmers, packed.encode([w for _, w in kmers], 6)[0], strict=True))
+    assert sorted(got) == sorted((codes[x], x[0], n) for x, n in kmers.items())
+    long = [pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["ACGTTGCA" * 500_000])], ["sample", "seq"])]
+    tracemalloc.start()
+    assert sum(n for b in counting._counts(6, canonical, {"a": 0}, None)(iter(long)) for n in b.column(2).to_pylist()) == 4_000_000 - 5
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
