@@ -52,8 +52,10 @@ class Quantiles:
         size = self.mapping.agg(F.coalesce(F.max("value"), F.lit(0)).alias("most")).first()["most"]
         if 8 * (size + 1) * self.samples > LOOKUP_BYTES:
             return self._by_join(matrix, out)
-        per_sample = self.mapping.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("value", "mapped"))).alias("m"))
-        dense = per_sample.select("sample", F.transform(F.sequence(F.lit(0), F.lit(size)), lambda v: F.col("m")[v]).alias("at"))
+        # each count's place is joined, as looking it up in a map would take all counts of the sample each time
+        counts = self.mapping.select("sample").distinct().withColumn("value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size).cast("long"))))
+        filled = counts.join(self.mapping, ["sample", "value"], "left").groupBy("sample")
+        dense = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("value", "mapped"))), lambda c: c["mapped"]).alias("at"))
         row = dense.agg(F.map_from_entries(F.collect_list(F.struct("sample", "at"))).alias("m")).select(
             F.transform(F.sequence(F.lit(0), F.lit(self.samples - 1)), lambda i: F.col("m")[i]).alias("__tables")
         )  # one row of at most LOOKUP_BYTES

@@ -205,3 +205,16 @@ def test_components_and_umap(spark):
             reduce.pca(df, "norm", 6, d)
     a, b = reduce._curve(1.0, 0.1)
     assert a == pytest.approx(1.577, abs=0.02) and b == pytest.approx(0.895, abs=0.02)
+
+
+def test_quantile_tables_are_filled_without_map_lookups(spark, monkeypatch):
+    """A place for each count up to the largest; a lookup in a map of counts for each place would be quadratic."""
+    from seqloom.operators import normalize
+
+    rows = [(f"k{i}", [i * i % 977, i, 60_000 - i]) for i in range(200)]
+    matrix = spark.createDataFrame(rows, "kmer string, counts array<long>")
+    model = normalize.learn(matrix, 3, "q")
+    by_table = model.transform(matrix)
+    assert "map_from_entries(collect_list(struct(value" not in by_table._jdf.queryExecution().optimizedPlan().toString().replace("named_", "")
+    monkeypatch.setattr(normalize, "LOOKUP_BYTES", 0)
+    assert {r["kmer"]: r["norm"] for r in by_table.collect()} == {r["kmer"]: r["norm"] for r in model.transform(matrix).collect()}
