@@ -246,4 +246,4 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
         return out
 
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return map_texts(docs, keep, run, added)
+    return map_texts(docs, keep, run, added, done=lambda: codec_of(shared.value).words.clear())

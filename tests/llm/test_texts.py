@@ -6,6 +6,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import boosting, bpe, common, langid, quality_mil, quality_rules, toxicity
@@ -392,3 +393,15 @@ def test_passages_are_encoded_as_defined():
     backwards = quality_mil.encode(" ".join(t[::-1] for t in tokens))
     letters = slice(quality_mil._KINDS * (quality_mil._KINDS + 1), quality_mil._KINDS * (quality_mil._KINDS + 1) + quality_mil.TRIGRAMS)
     assert np.abs(got[:, letters] - backwards[:, letters]).max() > 0.1 and got[:, letters].sum() > 0
+
+
+def test_texts_travel_once_and_tasks_end_with_a_call(spark, tmp_path):
+    """A text among the kept columns is no second column, and what a function remembers goes with its task."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "ü")], "doc_id long, text string").coalesce(1)
+    mark = str(tmp_path / "done")
+    told = common.map_texts(docs, None, lambda texts: [pa.array([t and t.upper() for t in texts])], "big string", 2, done=lambda: open(mark, "a").write("x"))
+    assert sorted((r["rec"]["doc_id"], r["rec"]["text"], r["big"]) for r in told.collect()) == [(1, "a b", "A B"), (2, None, None), (3, "ü", "Ü")]
+    with open(mark) as f:
+        assert f.read() == "x"
+    given = told._jdf.queryExecution().optimizedPlan().children().head().output()
+    assert given.size() == 1
