@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import kmers, packed
 from seqloom.operators import counting
-from seqloom.operators.counting import WIDE, cut
+from seqloom.operators.counting import WIDE, at_least, cut
 from seqloom.sources.scratch import materialize
 
 
@@ -62,11 +63,6 @@ def merge(
     return matrix.where(F.exists("counts", lambda c: c > 0))
 
 
-def at_least(counts: Column, threshold: int = 1, ratio: float = 0.0) -> Column:
-    """Whether at least this ratio of samples has a count of ``threshold`` or more; ratio 0 holds for every row."""
-    return F.size(F.filter(counts, lambda c: c >= threshold)) / F.size(counts) >= ratio
-
-
 def filter_rows(matrix: DataFrame, threshold: int = 1, ratio: float = 0.0, keep: DataFrame | None = None, drop: DataFrame | None = None) -> DataFrame:
     """Rows that pass the threshold, are in the set ``keep(kmer)`` if given, and not in ``drop(kmer)``."""
     if ratio > 0:
@@ -78,9 +74,9 @@ def filter_rows(matrix: DataFrame, threshold: int = 1, ratio: float = 0.0, keep:
     return matrix
 
 
-def packed_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_000_000_000) -> DataFrame:
+def packed_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_000_000_000, codes: np.ndarray = packed.DNA) -> DataFrame:
     """Different k-mers of ``sequences(seq)`` as integers ``(w0, ...)``, for filters; those above ``cx`` do not count."""
-    return counting.packed_set(sequences, k, canonical, cx)
+    return counting.packed_set(sequences, k, canonical, cx, codes)
 
 
 def kmer_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_000_000_000) -> DataFrame:
@@ -91,18 +87,21 @@ def kmer_set(sequences: DataFrame, k: int, canonical: bool = True, cx: int = 4_0
 def of_reads(
     reads: DataFrame, samples: Sequence[str], k: int, canonical: bool = True, ci: int = 1, cx: int = 4_000_000_000, cs: int = 65_535,
     keep: DataFrame | None = None, drop: DataFrame | None = None, hot: int = counting.HOT, partitions: int | None = None,
+    threshold: int = 1, ratio: float = 0.0, codes: np.ndarray = packed.DNA,
 ) -> DataFrame:
     """``reads(sample, seq)`` -> matrix over ``samples``, without rows that no sample holds after the cutoffs.
 
     ``keep`` and ``drop`` are sets of :func:`packed_set`. Occurrences outside ``keep`` go before the exchange,
     as far as a Bloom filter tells them, the rest in a semi-join behind it; no k-mer of the set is lost.
+    ``threshold`` and ``ratio`` are those of :func:`filter_rows`, held where k-mers are counted; ``codes`` says what bytes
+    other than A, C, G and T stand for (:func:`packed.alphabet`).
     """
     keys = packed.columns(k)
     if keep is not None:
         keep = materialize(keep.select(*keys), "filter-set")  # read to build the filter, and to join
         found = counting.bloom_filter(keep, k)
     bloom = reads.sparkSession.sparkContext.broadcast(found) if keep is not None and found is not None else None
-    matrix = counting.packed_matrix(reads, samples, k, canonical, bloom, ci, cx, cs, hot, partitions)
+    matrix = counting.packed_matrix(reads, samples, k, canonical, bloom, ci, cx, cs, hot, partitions, threshold, ratio, codes)
     if keep is not None:
         matrix = matrix.join(keep, keys, "left_semi")
     if drop is not None:

@@ -81,7 +81,7 @@ class Analysis:
         """``reads(sample, seq)`` -> the filtered matrix over ``names`` (else all); ``keep`` are sequences whose k-mers alone remain."""
         o = self.options
         wanted = None if keep is None else mx.packed_set(keep, o.k, o.canonical, o.cx)
-        return mx.filter_rows(mx.of_reads(reads, names or self.names, o.k, o.canonical, o.ci, o.cx, o.cs, wanted), o.thr, o.thr_rat)
+        return mx.of_reads(reads, names or self.names, o.k, o.canonical, o.ci, o.cx, o.cs, wanted, threshold=o.thr, ratio=o.thr_rat)
 
     def normalized(self, matrix: DataFrame) -> DataFrame:
         """Adds ``norm`` if a normalisation is asked for."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions import kmers, rowstats
+from seqloom.functions import kmers, packed, rowstats
 from seqloom.operators import matrix as mx
 from seqloom.operators import normalize, pvalues, reduce, select
 from seqloom.sources import readers
@@ -46,12 +46,14 @@ def base(spark: SparkSession, sf_dir: str, canonical: bool = True, **cutoffs) ->
 
 #: Bases of the long k-mers, which cross the ends of words: documents are read as one run of their letters.
 LONG = 25
+LETTERS = packed.alphabet(kmers.LETTERS, kmers.BASES, packed.SKIP)
 
 
 def long_reads(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """Whole texts as sequences, to be read by ``LETTERS``."""
     rows = readers.spread(table(spark, sf_dir, name))
     sample = F.col("source") if "source" in rows.columns else F.lit("")
-    return rows.select(sample.alias("sample"), kmers.pseudo_dna(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    return rows.select(sample.alias("sample"), F.col("text").alias("seq"))
 
 
 def normalized(spark: SparkSession, sf_dir: str, method: str = "deseq") -> DataFrame:
@@ -246,12 +248,12 @@ def _counting() -> None:
     shared = 4
     register(
         "kmer_matrix_long",
-        lambda s, d: wide(mx.filter_rows(mx.of_reads(long_reads(s, d), SAMPLES, LONG), 1, shared / N)),
+        lambda s, d: wide(mx.of_reads(long_reads(s, d), SAMPLES, LONG, threshold=1, ratio=shared / N, codes=LETTERS)),
         sql(long_cells(), f"often AS (SELECT kmer FROM cnt GROUP BY kmer HAVING count(*) >= {shared})", select=long_pivot("kmer IN (SELECT kmer FROM often)")),
     )
     register(
         "kmer_filter_set_long",
-        lambda s, d: wide(mx.of_reads(long_reads(s, d), SAMPLES, LONG, keep=mx.packed_set(long_reads(s, d, "benchmark").select("seq"), LONG))),
+        lambda s, d: wide(mx.of_reads(long_reads(s, d), SAMPLES, LONG, keep=mx.packed_set(long_reads(s, d, "benchmark").select("seq"), LONG, codes=LETTERS), codes=LETTERS)),
         sql(long_cells(), select=long_pivot("kmer IN (SELECT kmer FROM lset)")),
     )
     register(

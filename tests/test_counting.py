@@ -203,3 +203,98 @@ def test_a_task_counts_short_kmers_in_one_table(canonical):
     assert sum(n for b in counting._counts(6, canonical, {"a": 0}, None)(iter(long)) for n in b.column(2).to_pylist()) == 4_000_000 - 5
     assert tracemalloc.get_traced_memory()[1] < 150e6
     tracemalloc.stop()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGT", min_size=0, max_size=9), st.integers(1, 12)), min_size=1, max_size=6), st.sampled_from([13, 25, 29, 30, 31, 32, 62, 63, 70]), st.booleans(), st.randoms())
+def test_windows_of_packed_runs_are_those_of_the_text(tails, k, canonical, r):
+    texts = ["".join(r.choices("ACGT", k=k - 1 + n)) + tail for tail, n in tails]  # windows behind the first n are not asked for
+    n = np.array([n for _, n in tails])
+    codes = np.concatenate([stretch(t, 1).codes for t in texts])
+    lengths = np.array([len(t) for t in texts])
+    data, offsets = packed.pack_runs(codes, np.cumsum(lengths) - lengths, n + k - 1)
+    want = [t[i : i + k] for t, m in zip(texts, n, strict=True) for i in range(m)]
+    want = [min(w, reverse_complement(w)) for w in want] if canonical else want
+    assert [w.tolist() for w in packed.run_windows(data, offsets[:-1], n, k, canonical)] == packed.encode(want, k)
+
+
+@pytest.mark.parametrize("k", [6, 25])
+def test_thresholds_are_held_where_kmers_are_counted(spark, k):
+    data = {"a": random_reads(1), "b": random_reads(1)[:25] + random_reads(2), "c": random_reads(2)[10:], "d": []}
+    rows, names = frame(spark, data).repartition(2), list(data)
+    whole = as_dict(mx.of_reads(rows, names, k, cs=5))
+    for threshold, ratio in [(1, 0.5), (1, 0.75), (2, 0.5), (5, 0.25), (6, 0.25), (1, 1.0), (0, 1.0), (3, 0.0)]:
+        want = {w: v for w, v in whole.items() if ratio == 0 or sum(c >= threshold for c in v) / 4 >= ratio}
+        assert as_dict(mx.of_reads(rows, names, k, cs=5, threshold=threshold, ratio=ratio)) == want
+
+
+def test_kmers_below_a_threshold_leave_no_task_and_runs_share_rows(spark):
+    r = random.Random(11)
+    rows = spark.createDataFrame([("a", "".join(r.choices("ACGT", k=1_500_000)))], "sample string, seq string").coalesce(1)
+    matrix = mx.of_reads(rows, ["a", "b"], 25, ratio=1.0)
+    assert matrix.count() == 0
+    assert 0 < written(matrix) <= counting.BUCKETS  # there are about 190,000 runs
+    plans, counted = [matrix._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        children = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        plans += children
+        if kind == "MapInArrowExec":
+            counted.append(plan.metrics().apply("pythonNumRowsReceived").value())
+    assert sorted(counted)[0] == 0 and len(counted) == 2
+
+
+@pytest.mark.parametrize("k", [5, 25])
+def test_texts_are_read_by_an_alphabet(spark, k):
+    letters = packed.alphabet("ABCDabcd", "ACGTACGT", packed.SKIP)
+    r = random.Random(k)
+    texts = ["".join(r.choices("abcdABCD é\n\0漢.", k=r.choice([0, 3, 60, 400]))) for _ in range(40)] + [None, "", "éé", "x" * 90, "abcd" * 20]
+    plain = [None if t is None else "".join("ACGT"["abcd".index(c.lower())] for c in t if c in "abcdABCD") for t in texts]
+    rows = spark.createDataFrame([("ab"[i % 2], t) for i, t in enumerate(texts)] + [("other", "abcd" * 30)], "sample string, seq string").repartition(3)
+    want = plain_matrix({"a": [t for t in plain[0::2] if t], "b": [t for t in plain[1::2] if t]}, k, True)
+    assert as_dict(mx.of_reads(rows, ["a", "b"], k, codes=letters)) == want and want
+
+
+@pytest.mark.parametrize("k", [13, 25, 40])
+@pytest.mark.parametrize("split", [0, 2, 1])
+def test_gathered_runs_give_all_counts_in_small_portions(monkeypatch, k, split):
+    """Tasks that gather little at once, rows of few runs, and no, half or all minimizers split."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    for name, value in (("GATHERED", 1024), ("BASES", 300), ("SPLIT", 100), ("ROW", 3), ("CHUNK", 64)):
+        monkeypatch.setattr(counting, name, value)
+    data = {"a": [x or "" for x in random_reads(5)], "b": [x or "" for x in random_reads(6)] * 2}
+    place, none = {"a": 0, "b": 1}, packed.DNA
+    batches = [pa.RecordBatch.from_arrays([pa.array([s] * 5), pa.array(reads[i : i + 5], pa.string())], ["sample", "seq"]) for s, reads in data.items() for i in range(0, len(reads) - 4, 5)]
+    data = {s: reads[: len(reads) // 5 * 5] for s, reads in data.items()}
+    bins = np.unique(np.concatenate([r.bins for r in counting._super(k, True, place, None, none, None)(iter(batches))]))
+    heavy = SimpleNamespace(value=bins[::split]) if split else None
+    rows = list(counting._gathered(k, 2, counting._super(k, True, place, None, none, heavy))(iter(batches)))
+    parts = pa.Table.from_batches(rows).sort_by("bin").combine_chunks().to_batches(max_chunksize=7)
+    names = packed.columns(k)
+    got = {}
+    for batch in counting._dense(k, True, 2, 1, 4_000_000_000, 65_535, 1, 0.0)(iter(parts)):
+        for *words, counts in zip(*(batch.column(c).to_pylist() for c in [*names, "counts"]), strict=True):
+            assert tuple(words) not in got
+            got[tuple(words)] = counts
+    want = plain_matrix(data, k, True)
+    codes = zip(*packed.encode(list(want), k), strict=True)
+    assert got == dict(zip(codes, want.values(), strict=True))
+
+
+def test_minimizers_of_many_windows_are_found_over_many_tasks(spark):
+    data = {"a": ["A" * 900, *random_reads(2)], "b": ["AC" * 900, *random_reads(3)]}
+    rows = frame(spark, data)
+    total = Counter()
+    for reads in data.values():
+        for text in reads:
+            if text and len(text) >= 21:
+                whole = stretch(text, 21)
+                total.update(packed.minimizers(whole.codes, 21, 11)[packed.valid(whole, 21)].tolist())
+    for parts in (1, 13):
+        heavy = counting.heavy_minimizers(rows.repartition(parts), ["a", "b"], 21, hot=200).value.tolist()
+        assert {b for b, n in total.items() if n > 200} <= set(heavy) <= {b for b, n in total.items() if n > 100} and heavy == sorted(heavy)
+    assert counting.heavy_minimizers(rows, ["a", "b"], 21) is None
